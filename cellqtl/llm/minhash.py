@@ -6,8 +6,8 @@ separate tables would take. Two documents are candidates when any table holds bo
 0.997 of pairs, at 0.9 all but one in 10,000.
 
 Documents with equal shingle sets are one class and compared once. Inside a table's bucket each class is first compared
-with two hubs only, so large groups of copies join in linear work; only classes of one bucket that are still in different
-components are then compared with each other, where a 1-bit sketch of ``BITS`` minhashes rules out pairs far (over four
+with two hubs only, so large groups of copies join in linear work; only classes that share a table and are still in
+different components are then compared with each other, where a 1-bit sketch of ``BITS`` minhashes rules out pairs far (over four
 and a half standard deviations) below the threshold. Every link is confirmed on whole sets, in cells of pairs that bring
 each set once per cell.
 
@@ -184,18 +184,20 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     first = save(verified(plausible(near), sets), "links")
     label = save(components(first), "label")
-    open_ = (
-        full.select("key", "id")
-        .join(label, "id", "left")
-        .select("key", "id", F.coalesce("c", "id").alias("c"))
+    # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
+    # and has to share a hash of the second collection, which makes it a pair of the same tables
+    placed = classes.join(nodes, "id", "left_semi").join(label, "id", "left").select("id", F.coalesce("c", "id").alias("c"), "n_shingles", "a", "b", "sketch")
+    mixed = (
+        placed.select("c", F.posexplode("a").alias("band", "v")).groupBy("band", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "v")
     )
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = save(open_.join(mixed, "key", "left_semi").join(slim, "id"), "open")
-    x = rest.select("key", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-    y = rest.select("key", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
-    apart = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-    sized = 100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")
-    cross = x.alias("l").join(y.alias("r"), (F.col("l.key") == F.col("r.key")) & apart & sized & (_agree("sx", "sy") >= LEAST_AGREE)).select("x", "y").distinct()
+    rest = placed.select("*", F.posexplode("a").alias("band", "v")).join(mixed, ["band", "v"], "left_semi")
+    pair = [f"l.a[{i}] = r.a[{i}]" for i in range(BANDS)]
+    meets = "CASE " + " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(pair)) + " END = l.band"
+    tabled = " OR ".join(p.replace(".a[", ".b[") for p in pair)
+    sized = f"100 * least(l.n_shingles, r.n_shingles) >= {PERCENT} * greatest(l.n_shingles, r.n_shingles)"
+    on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized} AND {meets} AND ({tabled})")
+    on = on & (_agree("l.sketch", "r.sketch") >= LEAST_AGREE)
+    cross = rest.alias("l").join(rest.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     second = save(verified(cross, sets), "links")
     if not second.limit(1).count():
         return label
