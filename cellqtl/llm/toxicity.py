@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Largest span of a subsequence, decay for each character of span, letters of a window of a long word.
 SPAN, DECAY, LETTERS = 5, 0.7, 24
 #: Bounds of the labelled sample that the classifier is fitted on, and the longest text (characters) taken into it.
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 5000, 60_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 60_000
 LANDMARKS = 240
 THRESHOLD = 0.7
 #: Words whose margins a Python worker remembers.
@@ -99,8 +99,8 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     for i, w in enumerate(words):
         at[len(w)].append(i)
     for idx in at.values():
-        for k in range(0, len(idx), 20_000):
-            part = idx[k : k + 20_000]
+        for k in range(0, len(idx), 5000):
+            part = idx[k : k + 5000]
             yield np.array(part), [words[i] for i in part]
 
 
@@ -235,67 +235,70 @@ def copy_groups(texts: list[str]) -> list[int]:
     return [root(i) for i in range(len(texts))]
 
 
-def _explaining(toxic: list[set[str]], groups: list[int], clean: list[set[str]]) -> tuple[list[str], Counter]:
-    """Words that tell toxic texts from clean ones beyond chance among all words seen, and in how many groups of copies
-    each word of the toxic texts is. With few toxic texts, also those that explain two which no such word explains."""
-    in_clean, holds = Counter(w for t in clean for w in t), defaultdict(set)
-    for i, t in enumerate(toxic):
-        for w in t:
-            holds[w].add(groups[i])
-    held = Counter({w: len(s) for w, s in holds.items()})
-    n = len(set(groups))
-    base = n / (n + len(clean)) if n else 0.5
-    bound = math.log(len(held) + len(in_clean) + 1)
-    chosen = []
-    for w, k in held.items():
-        total = k + in_clean[w]
-        share = k / total
-        if share > base and in_clean[w] <= 0.02 * total:
-            gain = share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0)
-            if total * gain > bound + 1:
-                chosen.append(w)
+def _explaining(toxic: list[np.ndarray], groups: list[int], in_clean: np.ndarray, n_clean: int) -> tuple[list[int], np.ndarray]:
+    """Word numbers that tell toxic texts from clean ones beyond chance among all words seen, and in how many groups of
+    copies each word of the toxic texts is. With few toxic texts, also those that explain two which no such word does."""
+    size = len(in_clean)
+    number = {g: i for i, g in enumerate(sorted(set(groups)))}
+    n = len(number)
+    pairs = np.unique(np.concatenate([t.astype(np.int64) * n + number[g] for t, g in zip(toxic, groups, strict=True)] or [np.zeros(0, np.int64)]))
+    held = np.bincount(pairs // max(n, 1), minlength=size)
+    base = n / (n + n_clean) if n else 0.5
+    total = np.maximum(held + in_clean, 1)
+    share = held / total
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
+    good = (share > base) & (in_clean <= 0.02 * total) & (total * gain > math.log(size + 1) + 1)
+    chosen = np.nonzero(good)[0].tolist()
     if n < 100:
-        left = set(groups) - set().union(*(holds[w] for w in chosen))
-        for w, k in sorted(held.items(), key=lambda p: (-p[1], p[0])):
-            if k > 1 and not in_clean[w] and len(holds[w] & left) > 1:
+        of = defaultdict(set)
+        for p in pairs.tolist():
+            of[p // n].add(p % n)
+        left = set(range(n)) - set().union(*(of[w] for w in chosen))
+        for w in sorted(of, key=lambda w: (-len(of[w]), w)):
+            if len(of[w]) > 1 and not in_clean[w] and len(of[w] & left) > 1:
                 chosen.append(w)
-                left -= holds[w]
-    return sorted(chosen), held
+                left -= of[w]
+    return chosen, held
 
 
 def fit(texts: list[str | None], labels: list[int]) -> Model:
-    """Fit on labelled texts held by the driver (a bounded sample)."""
+    """Fit on labelled texts held by the driver (a bounded sample). Words are numbered in code point order, so the model does
+    not depend on the order of the texts."""
     seen: dict[str, int] = {}
     for t, y in zip(texts, labels, strict=True):
         seen[t or ""] = max(y, seen.get(t or "", 0))
-    spread = lambda t: {x for c in chunks_of(t) for w in words_of(c) for x in windows(w)}
-    bags = {1: [], 0: []}
-    for t, y in sorted(seen.items()):
-        bags[int(y > 0)].append(spread(t))
-    toxic, clean = bags[1], bags[0]
-    groups = copy_groups([t for t, y in sorted(seen.items()) if y > 0])
-    positive, held = _explaining(toxic, groups, clean)
-    pool = sorted({w for t in clean for w in t})
-    if not positive or not pool:
+    rows = sorted(seen.items())
+    numbers: dict[str, int] = {}
+    bags = []
+    for t, _ in rows:
+        found = {x for c in chunks_of(t) for w in words_of(c) for x in windows(w)}
+        bags.append(np.array([numbers.setdefault(w, len(numbers)) for w in found], np.int32))
+    words = sorted(numbers)
+    place = np.empty(len(words), np.int32)
+    for i, w in enumerate(words):
+        place[numbers[w]] = i
+    bags = [place[b] for b in bags]
+    toxic, clean = ([b for b, (_, y) in zip(bags, rows, strict=True) if (y > 0) == want] for want in (True, False))
+    in_clean = np.zeros(len(words), np.int64)
+    for b in clean:
+        in_clean[b] += 1
+    positive, held = _explaining(toxic, copy_groups([t for t, y in rows if y > 0]), in_clean, len(clean))
+    pool = np.nonzero(in_clean)[0]
+    if not positive or not len(pool):
         return EMPTY_MODEL
     rng = np.random.default_rng(7)
-    negative = [pool[i] for i in np.sort(rng.choice(len(pool), min(3000, len(pool)), replace=False))]
-    known = set(pool)
-    model = _fit_svm(positive, negative)
+    negative = set(rng.choice(pool, min(3000, len(pool)), replace=False).tolist())
+    named = lambda idx: [words[i] for i in sorted(idx)]
+    model = _fit_svm(named(positive), named(negative))
     for _ in range(3):
-        m = model.margins(pool)
-        hard = [pool[i] for i in np.argsort(-m, kind="stable")[:1500]]
-        negative = sorted(set(negative) | set(hard))
+        m = model.margins(words)
+        negative |= set(pool[np.argsort(-m[pool], kind="stable")[:1500]].tolist())
         # words of several toxic texts that clean ones never hold and that lie on the positive side are of the class, too
-        words = sorted(w for w, k in held.items() if k > 2 and w not in known)
-        more = [w for w, v in zip(words, model.margins(words), strict=True) if v > 0.3]
-        positive = sorted(set(positive) | set(more))
-        model = _fit_svm(positive, negative)
-    cache: dict[str, float] = {}
-    every = sorted(set(pool) | {w for t in toxic for w in t})
-    cache.update(zip(every, model.margins(every).tolist(), strict=True))
-    best = lambda t: max((cache[w] for w in t), default=-9.0)
-    up, down = np.array([best(t) for t in toxic]), np.array([best(t) for t in clean])
+        positive = set(positive) | set(np.nonzero((held > 2) & (in_clean == 0) & (m > 0.3))[0].tolist())
+        model = _fit_svm(named(positive), named(negative))
+    m = model.margins(words)
+    up, down = (np.array([m[b].max(initial=-9.0) for b in side]) for side in (toxic, clean))
     # 0.7 lies two fifths of the way from the clean texts' upper end to the toxic texts' median
     low, high = np.quantile(down, 0.999), np.median(up)
     if high <= low:
@@ -323,8 +326,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [ids.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     rows = picked[0].union(picked[1]).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").toPandas()
-    return fit(sample["text"].tolist(), sample["toxic"].tolist())
+    sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").collect()
+    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
 
 
 _memory: dict[str, float] = {}
