@@ -1,7 +1,7 @@
 """Media columns: content-addressed images in tar shards.
 
 A text's bytes, filled up with zeros to a positive multiple of 64, become the samples of an 8-bit greyscale PNG 64 pixels
-wide, which is lossless. Each distinct content is stored once. A task appends its images to a tar shard of its own in the
+wide, which is lossless. A task stores each distinct content once. It appends the images to a tar shard of its own in the
 shared folder and returns rows of digest, shard, offset and length; these rows are written as a table, so only shards of
 tasks that Spark committed are ever referred to and a task run again leaves at most an unused shard. Readers fetch the
 first HEADER bytes of a member for the metadata columns, and the member's range for features.
@@ -13,7 +13,6 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -114,28 +113,34 @@ class _Shard:
         self.out.close()
 
 
-def write_shards(contents: DataFrame, folder: str) -> DataFrame:
-    """``contents``: digest binary, text string, each digest once. Returns digest, shard, offset, length of each member,
-    named by its digest; to be written before it is used."""
+def write_shards(docs: DataFrame, folder: str) -> DataFrame:
+    """doc_id, digest, shard, offset, length of every row: a task stores each content it meets once, named by its digest, and
+    gives equal texts the same place. To be written before it is used."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        shard = None
+        shard, known = None, {}
         for b in batches:
             rows = []
-            for digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                media = encode_png((text or "").encode())
-                shard = shard or _Shard(folder)
-                rows.append((digest, shard.uri, shard.add(digest.hex() + ".png", media), len(media)))
-                if shard.at > SHARD_BYTES:
-                    shard.close()
-                    shard = None
+            for text in b.column(1).to_pylist():
+                data = (text or "").encode()
+                digest = hashlib.sha256(data).digest()
+                if digest not in known:
+                    media = encode_png(data)
+                    shard = shard or _Shard(folder)
+                    known[digest] = (digest, shard.uri, shard.add(digest.hex() + ".png", media), len(media))
+                    if shard.at > SHARD_BYTES:
+                        shard.close()
+                        shard = None
+                rows.append(known[digest])
             columns = list(zip(*rows, strict=True)) or [[], [], [], []]
             kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["digest", "shard", "offset", "length"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "digest", "shard", "offset", "length"])
         if shard:
             shard.close()
 
-    return contents.select("digest", "text").mapInArrow(run, MEMBER)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {MEMBER}")
 
 
 def read_metadata(members: DataFrame) -> DataFrame:
@@ -196,22 +201,12 @@ def read_features(members: DataFrame) -> DataFrame:
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest) of every row, and the members table. Which row writes a content is settled on digests alone; texts
-    are read again and go straight from their scan to a shard."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.unhex(F.sha2(text.cast("binary"), 256))
-    # a row's place: the writer of a content is the first by id, and the first of equal ids by being one per partition
-    rows = docs.select("doc_id", digest.alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("_first"))
-    winners = first.select(F.col("digest").alias("_digest"), "_first")
-    folder = new_path(spark, "shards")
-    payload = docs.select("doc_id", text.alias("text"), digest.alias("digest"))
-    picked = payload.join(winners, (payload["digest"] == winners["_digest"]) & payload["doc_id"].eqNullSafe(winners["_first"]), "left_semi")
-    members = save(write_shards(picked, folder), "members")
-    # equal ids with equal text write their content twice; one member is kept
-    once = members.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
-    return rows, once
+    """(doc_id, digest) of every row, and the members table with one place for each digest. Texts go straight from their scan
+    to a shard and are never shuffled; what moves are digests and places. A content that several tasks met has as many
+    copies in shards, of which the members table names one."""
+    rows = save(write_shards(docs, new_path(docs.sparkSession, "shards")), "members")
+    members = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("m")).select("digest", "m.*")
+    return rows.select("doc_id", "digest"), members
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
