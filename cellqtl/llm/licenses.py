@@ -64,12 +64,12 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?<!{word})" + GAP.join(phrase.split()) + f"(?!{word})"
 
 
-def phrase_places(words: Column, text: Column, phrase: str) -> Column:
-    """Word places where the phrase starts; the words are looked through only where the text holds the phrase."""
+def phrase_places(words: str, phrase: str) -> Column:
+    """Word places where the phrase starts. ``words`` names a column: an expression would be evaluated anew for each place."""
     want = phrase.split()
     at = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == w for k, w in enumerate(want)])
-    found = F.filter(F.sequence(F.lit(0), F.size(words) - len(want)), at)
-    return F.when(text.rlike(phrase_pattern(phrase)), found).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.size(words) >= len(want), F.sequence(F.lit(0), F.size(words) - len(want)))
+    return F.coalesce(F.filter(starts, at), F.array().cast("array<int>"))
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -122,18 +122,23 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id with word counts, base places and labels, and all labels and the best containment."""
     text = F.coalesce(F.col("text"), F.lit(""))
     low = docs.select("doc_id", lower(text).alias("low")).withColumn("key", F.xxhash64("low"))
-    words = tokens(F.col("low"))
-    places = [(label, phrase_places(words, F.col("low"), phrase)) for phrase, label in sorted(BASE.items())]
     any_phrase = F.col("low").rlike("|".join(phrase_pattern(p) for p in sorted(BASE)))
-    all_places = F.concat(*[p for _, p in places])
-    label_list = F.array_compact(F.array(*[F.when(F.size(p) > 0, F.lit(label)) for label, p in places]))
     no_places, no_labels = F.array().cast("array<int>"), F.array().cast("array<string>")
-    base = low.select(
+    counted = low.select(
         "doc_id",
         "key",
         F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(any_phrase, all_places).otherwise(no_places).alias("places"),
-        F.when(any_phrase, label_list).otherwise(no_labels).alias("base"),
+        F.when(any_phrase, tokens(F.col("low"))).otherwise(no_labels).alias("words"),
+    )
+    labels = sorted(BASE.values())
+    found = counted.select("doc_id", "key", "n_words", *(phrase_places("words", p).alias(f"at_{i}") for i, (p, _) in enumerate(sorted(BASE.items(), key=lambda x: x[1]))))
+    at = [F.col(f"at_{i}") for i in range(len(labels))]
+    base = found.select(
+        "doc_id",
+        "key",
+        "n_words",
+        F.concat(*at).alias("places"),
+        F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(at, labels, strict=True)])).alias("base"),
     )
     matched = (
         similarity_join(low, ["doc_id", "key"], TEMPLATES)
