@@ -33,7 +33,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 60_000
 LANDMARKS = 240
 THRESHOLD = 0.7
 #: Words whose margins a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){3,}(?=\s|$)")
