@@ -200,7 +200,7 @@ def test_topk(spark):
         assert [(-int(s), int(j)) for s, j in zip(scores[i], ids[i], strict=True)] == want
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (1, [0.5, 0.5])]
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()] == [(0, 1, 1, 384 * 128), (0, 2, 1, 384 * 128)]
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0"), 5).collect()] == [(0, 1, 1, 768 * 128), (0, 2, 1, 768 * 128)]
 
 
 def test_chat_round_trip(spark):
