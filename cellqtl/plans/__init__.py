@@ -1 +1,3 @@
-"""Part of the cellqtl library."""
+"""Queries on inputs derived from the test tables."""
+
+from . import association, expression, files, metadata, queries  # noqa: F401

@@ -9,21 +9,8 @@ from ..functions import scalars as S
 from ..operators import cells as C
 from ..operators import compare as X
 from ..operators import effects as E
-from .views import oracle, view
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = oracle(sql)
-        return f
-
-    return add
-
+from .registry import QUERIES, SQL, query as _query
+from .views import view
 
 def _effects(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
     e = view(spark, d, "v_effects")

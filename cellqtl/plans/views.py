@@ -13,6 +13,10 @@ VIEWS = {
     "v_genes": "SELECT p_partkey AS gene, p_name AS symbol, p_brand = 'Brand#1' AS is_rb, p_type = 'ECONOMY' AS is_mt, 1 + p_partkey % 22 AS chr, (p_partkey * 7919) % 10000000 AS chr_start, (p_partkey * 7919) % 10000000 + 100 * p_size AS chr_end, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part",
     "v_variants": "SELECT s_suppkey AS snp, 1 + s_suppkey % 22 AS chr, (s_suppkey * 104729) % 10000000 AS pos, CASE s_nationkey % 4 WHEN 0 THEN 'A/G' WHEN 1 THEN 'G/A' WHEN 2 THEN 'T/C' ELSE 'CT/C' END AS alleles FROM supplier",
     "v_effects": "SELECT flag, gene, snp, p, beta, ea, n FROM (SELECT l_returnflag AS flag, l_partkey AS gene, l_suppkey AS snp, CAST((l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 9973 + 1 AS DOUBLE) / CAST(9974 AS DOUBLE) AS p, l_discount - CAST(0.05 AS DOUBLE) AS beta, CASE WHEN l_orderkey % 2 = 0 THEN 'A' ELSE 'G' END AS ea, CAST(l_quantity AS BIGINT) AS n, ROW_NUMBER() OVER (PARTITION BY l_returnflag, l_partkey, l_suppkey ORDER BY (l_orderkey * 31 + l_linenumber * 17 + l_partkey * 7) % 9973, l_orderkey, l_linenumber, l_extendedprice, l_discount, l_quantity) AS rn FROM lineitem) x WHERE rn = 1",
+    "v_donors": "SELECT c_custkey AS sample, c_mktsegment AS dataset, n_nationkey AS pool, r_name AS ancestry FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "v_genotypes": "SELECT s_suppkey AS snp, c_custkey AS sample, CASE WHEN (s_suppkey * 31 + c_custkey * 17) % 97 = 0 THEN NULL ELSE CAST((s_suppkey * 31 + c_custkey * 17) % 97 % 3 AS DOUBLE) END AS dosage FROM supplier CROSS JOIN customer WHERE c_custkey % 10 = 0",
+    "v_expr": "SELECT l_partkey AS gene, o_custkey AS sample, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custkey",
+    "v_dense": "SELECT l_partkey % 60 AS gene, o_custkey % 40 AS sample, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey % 60, o_custkey % 40",
     "v_calls": "SELECT a.event_id AS barcode, a.user_id % 10 AS pool, a.event_type AS tool_a, b.event_type AS tool_b FROM events a JOIN events b ON b.event_id = a.event_id + 1",
     "v_qc": "SELECT event_id AS barcode, value AS feature, event_type AS dataset, user_id % 5 AS cell_type FROM events",
 }
