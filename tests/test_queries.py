@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellqtl.functions.scalars import pvalue_to_zscore
+from cellqtl.operators.expression import inverse_normal_rank
+from cellqtl.operators.genetics import rb
 from cellqtl.plans.queries import QUERIES, SQL, entry_query
 
 DIR = "/root/testdata/sf0.001"
@@ -41,5 +43,29 @@ def test_zscores_follow_the_normal_distribution(spark):
         assert math.isclose(r.z, NormalDist().inv_cdf(r.p / 2), rel_tol=1e-9, abs_tol=1e-12)
 
 
+def test_inverse_normal_ranks_follow_the_normal_distribution(spark):
+    e = spark.createDataFrame([("g", s, v) for s, v in enumerate([5.0, 1.0, 5.0, 9.0])], "gene string, sample int, value double")
+    got = {r["sample"]: r for r in inverse_normal_rank(e).collect()}
+    assert [got[s]["u"] for s in range(4)] == [0.5, 0.2, 0.5, 0.8]
+    assert all(math.isclose(r["z"], NormalDist().inv_cdf(r["u"]), abs_tol=1e-9) for r in got.values())
+
+
+def test_rb_standard_error_leaves_out_each_row(spark):
+    data = [(0.1, 0.2), (0.4, 0.3), (-0.3, -0.1), (0.7, 0.9), (0.2, -0.2)]
+
+    def estimate(rows):
+        n, (x, y) = len(rows), zip(*rows, strict=True)
+        mx, my = sum(x) / n, sum(y) / n
+        cov = sum((a - mx) * (b - my) for a, b in rows) / (n - 1)
+        va, vb = sum((a - mx) ** 2 for a in x) / (n - 1) - 1e-4, sum((b - my) ** 2 for b in y) / (n - 1) - 1e-4
+        return max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
+
+    out = [estimate(data[:i] + data[i + 1 :]) for i in range(5)]
+    mean = sum(out) / 5
+    got = rb(spark.createDataFrame([(a, 0.01, b, 0.01) for a, b in data], "b1 double, se1 double, b2 double, se2 double")).first()
+    assert math.isclose(got["rb"], estimate(data), rel_tol=1e-9)
+    assert math.isclose(got["se"], math.sqrt(4 / 5 * sum((o - mean) ** 2 for o in out)), rel_tol=1e-9)
+
+
 def test_entry_has_rows(spark):
     assert entry_query(spark, DIR).limit(1).count() == 1
