@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from hashlib import sha256
+from html.parser import HTMLParser
 from pathlib import Path
 
 import numpy as np
@@ -65,6 +66,32 @@ def test_html():
     assert html.blocks(None) == [] and html.blocks("<p>x<!-- cut") == [("other", "x", 0)]
 
 
+def test_html_gives_the_articles_of_the_pages(spark):
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.parts = False, []
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.parts += [" "] * (tag in ("p", "h1", "br"))
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            self.parts += [" "] * (tag in ("p", "h1"))
+
+        def handle_data(self, data):
+            self.parts += [data] * self.inside
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    for page in pages.collect():
+        parser = Articles()
+        parser.feed(page.html)
+        parser.close()
+        assert got[page.page_id] == " ".join("".join(parser.parts).split())
+
+
 def test_html_suffixes_remove_what_pages_share(spark):
     shared = "subscribe to our great weekly letter and get all of the news first"
     own = ["alpha beta gamma", "delta epsilon zeta", "eta theta iota"]
@@ -114,6 +141,23 @@ def test_minhash_matches_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_sketches_keep_links_and_rule_out_others(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (3, 20, 150, 1200, 9000):
+        for same in (0.2, 0.86):
+            for _ in range(40):
+                both, apart = round(n * same), n - round(n * same)
+                h = rng.integers(0, 2**64, both + apart, dtype=np.uint64)
+                half = apart // 2
+                x, y = np.unique(h[: both + half]), np.unique(np.r_[h[:both], h[both + half :]])
+                rows.append((n, same, minhash.sketch(x).tolist(), minhash.sketch(y).tolist()))
+    pairs = spark.createDataFrame(rows, "n int, same double, p array<long>, q array<long>").withColumn("may", minhash.may_link("p", "q"))
+    seen = {(r.n, r.same, r.may) for r in pairs.collect()}
+    assert all((n, 0.86, False) not in seen for n in (3, 20, 150, 1200, 9000))
+    assert all((n, 0.2, True) not in seen for n in (150, 1200, 9000))
+
+
 def test_minhash_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()), key=repr)
     n = len(minhash.shingles(LONG))
