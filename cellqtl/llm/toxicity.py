@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import slices, table
+
 #: Largest span of a subsequence, decay for each character of span, letters of a window of a long word.
 SPAN, DECAY, LETTERS = 5, 0.7, 24
 #: Bounds of the labelled sample that the classifier is fitted on, and the longest text (characters) taken into it.
@@ -357,7 +359,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     token = id(shared) ^ hash(model.values.tobytes())
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 500):
             p = shared.value.probability(best_margins(b.column(1).to_pylist(), shared.value, token))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype("int32"))], ["doc_id", "score", "predicted"])
 
@@ -374,7 +376,7 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 500):
             p = shared.value.probability(best_margins(b.column(at).to_pylist(), shared.value, token))
             yield b.filter(pa.array(p < THRESHOLD))
 
@@ -382,8 +384,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .shared import table
-
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score_texts(docs, model).select("doc_id", is_held_out().alias("held_out"), "score", "predicted")
