@@ -38,14 +38,14 @@ def f6(spark, d):
 _STATS = "SELECT snp, COUNT(*) AS n, COUNT(dosage) AS called, SUM(dosage) / 2 / COUNT(dosage) AS af, COUNT(*) FILTER (dosage = 0) AS n0, COUNT(*) FILTER (dosage = 1) AS n1, COUNT(*) FILTER (dosage = 2) AS n2 FROM v_genotypes GROUP BY snp"
 
 
-@query("a22_variant_stats", f"SELECT snp, n, n0, n1, n2, ROUND(CAST(called AS DOUBLE) / n, 6) AS call, ROUND(LEAST(af, 1 - af), 6) AS maf FROM ({_STATS}) x")
-def a22(spark, d):
-    return _round(G.variant_stats(view(spark, d, "v_genotypes")), "call", "maf")
+@query("a22_variant_stats", f"SELECT snp, n, n0, n1, n2, ROUND(CAST(called AS DOUBLE) / n, 6) AS call, ROUND(LEAST(af, 1 - af), 6) AS maf FROM ({_STATS}) x", whole=("v_genotypes", "v_genotypes_all"))
+def a22(spark, d, genotypes="v_genotypes"):
+    return _round(G.variant_stats(view(spark, d, genotypes)), "call", "maf")
 
 
-@query("f12_filter_variants", f"SELECT snp FROM ({_STATS}) x WHERE CAST(called AS DOUBLE) / n >= 0.9 AND LEAST(af, 1 - af) >= 0.45 AND snp IN (SELECT snp FROM v_variants WHERE chr < 12)")
-def f12(spark, d):
-    return G.filter_variants(G.variant_stats(view(spark, d, "v_genotypes")), {"call": 0.9, "maf": 0.45}, view(spark, d, "v_variants").where("chr < 12")).select("snp")
+@query("f12_filter_variants", f"SELECT snp FROM ({_STATS}) x WHERE CAST(called AS DOUBLE) / n >= 0.9 AND LEAST(af, 1 - af) >= 0.45 AND snp IN (SELECT snp FROM v_variants WHERE chr < 12)", whole=("v_genotypes", "v_genotypes_all"))
+def f12(spark, d, genotypes="v_genotypes"):
+    return G.filter_variants(G.variant_stats(view(spark, d, genotypes)), {"call": 0.9, "maf": 0.45}, view(spark, d, "v_variants").where("chr < 12")).select("snp")
 
 
 @query("f13_filter_matrix", "SELECT gene, sample, value FROM v_expr WHERE gene IN (SELECT gene FROM v_genes WHERE chr = 3) AND sample IN (SELECT sample FROM v_donors WHERE dataset = 'BUILDING')")
@@ -63,9 +63,9 @@ def j6(spark, d):
     return G.assemble_qtl_chunks(view(spark, d, "v_effects").select("gene", "snp", "flag"), view(spark, d, "v_genes").select("gene", "symbol"), view(spark, d, "v_variants").select("snp", "pos"))
 
 
-@query("j10_genotype_concordance", "SELECT sample, COUNT(*) AS compared, COUNT(*) FILTER (dosage = CASE WHEN snp % 5 = 0 THEN 0 ELSE dosage END) AS equal FROM v_genotypes WHERE dosage IS NOT NULL GROUP BY sample")
-def j10(spark, d):
-    g = view(spark, d, "v_genotypes")
+@query("j10_genotype_concordance", "SELECT sample, COUNT(*) AS compared, COUNT(*) FILTER (dosage = CASE WHEN snp % 5 = 0 THEN 0 ELSE dosage END) AS equal FROM v_genotypes WHERE dosage IS NOT NULL GROUP BY sample", whole=("v_genotypes", "v_genotypes_all"))
+def j10(spark, d, genotypes="v_genotypes"):
+    g = view(spark, d, genotypes)
     return G.genotype_concordance(g, g.withColumn("dosage", F.when((F.col("snp") % 5 == 0) & F.col("dosage").isNotNull(), 0).otherwise(F.col("dosage"))))
 
 
@@ -94,9 +94,9 @@ def j17(spark, d):
     return G.compare_engines(_top(spark, d, "A"), _top(spark, d, "R"))
 
 
-@query("j18_attach_variant_info", f"SELECT gene, snp, p, string_split(alleles, '/')[1] AS oa, string_split(alleles, '/')[2] AS ea, n0 FROM (SELECT gene, snp, p FROM v_effects WHERE flag = 'A') e LEFT JOIN (SELECT snp, alleles FROM v_variants) v USING (snp) LEFT JOIN ({_STATS}) s USING (snp)")
-def j18(spark, d):
-    stats = G.variant_stats(view(spark, d, "v_genotypes")).select("snp", "n0")
+@query("j18_attach_variant_info", f"SELECT gene, snp, p, string_split(alleles, '/')[1] AS oa, string_split(alleles, '/')[2] AS ea, n0 FROM (SELECT gene, snp, p FROM v_effects WHERE flag = 'A') e LEFT JOIN (SELECT snp, alleles FROM v_variants) v USING (snp) LEFT JOIN ({_STATS}) s USING (snp)", whole=("v_genotypes", "v_genotypes_all"))
+def j18(spark, d, genotypes="v_genotypes"):
+    stats = G.variant_stats(view(spark, d, genotypes)).select("snp", "n0")
     return G.attach_variant_info(_flag(spark, d, "A").select("gene", "snp", "p"), view(spark, d, "v_variants").select("snp", "alleles"), stats)
 
 

@@ -34,10 +34,10 @@ def j2(spark, d):
 
 
 @query("j11_sample_overlap", """SELECT sample, sample IN (SELECT sample FROM v_genotypes) AS in_vcf, sample IN (SELECT sample FROM v_expr) AS in_expr, TRUE AS in_gte FROM v_donors
-UNION SELECT sample, FALSE, TRUE, FALSE FROM v_expr WHERE sample NOT IN (SELECT sample FROM v_donors)""")
-def j11(spark, d):
+UNION SELECT sample, FALSE, TRUE, FALSE FROM v_expr WHERE sample NOT IN (SELECT sample FROM v_donors)""", whole=("v_genotypes", "v_genotypes_all"))
+def j11(spark, d, genotypes="v_genotypes"):
     pick = lambda n: view(spark, d, n).select("sample").distinct()
-    return M.sample_overlap({"gte": pick("v_donors"), "vcf": pick("v_genotypes"), "expr": pick("v_expr")})
+    return M.sample_overlap({"gte": pick("v_donors"), "vcf": pick(genotypes), "expr": pick("v_expr")})
 
 
 @query("j14_barcode_sources", "SELECT barcode, bool_or(s = 1) AS in_all, bool_or(s = 2) AS in_open FROM (SELECT barcode, 1 AS s FROM v_cells UNION ALL SELECT barcode, 2 FROM v_counts_open) x GROUP BY barcode")
@@ -161,6 +161,13 @@ def u4(spark, d):
     return M.merge_genotypes({"x": g.where("snp % 2 = 0"), "y": g.where("snp % 2 = 1 AND sample % 20 = 0")}).select("snp", "sample", "dosage")
 
 
+@query("u4_merge_vcfs_all", """SELECT snp, CASE WHEN k = 1 THEN CAST(sample AS VARCHAR) WHEN snp % 2 = 0 THEN 'x_' || sample ELSE 'y_' || sample END AS sample, dosage
+FROM v_genotypes_all JOIN (SELECT sample, COUNT(DISTINCT snp % 2) AS k FROM v_genotypes_all GROUP BY sample) n USING (sample)""")
+def u4_all(spark, d):
+    g = view(spark, d, "v_genotypes_all")
+    return M.merge_genotypes({"x": g.where("snp % 2 = 0"), "y": g.where("snp % 2 <> 0")}).select("snp", "sample", "dosage")
+
+
 @query("u5_dataset_covariate", "SELECT sample, 'dataset' AS covariate, dataset AS value FROM v_donors")
 def u5(spark, d):
     return M.dataset_covariate(view(spark, d, "v_donors").withColumnRenamed("sample", "expression_id"))

@@ -8,13 +8,16 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` may use the views."""
+def query(name: str, sql: str | None = None, whole: tuple[str, str] | None = None):
+    """Register a query; ``sql`` may use the views. ``whole`` names the view that the query reads by default and one that no
+    filter or fold has cut: the same query on that one is registered, too, as ``name``_all."""
 
     def add(f):
         QUERIES[name] = f
         if sql:
             SQL[name] = oracle(sql)
+        if whole:
+            query(f"{name}_all", sql and sql.replace(*whole))(lambda spark, d: f(spark, d, whole[1]))
         return f
 
     return add

@@ -69,3 +69,17 @@ def test_rb_standard_error_leaves_out_each_row(spark):
 
 def test_entry_has_rows(spark):
     assert entry_query(spark, DIR).limit(1).count() == 1
+
+
+GENOTYPES = "s3_read_vcf f17_split_multiallelic a22_variant_stats f12_filter_variants j10_genotype_concordance j11_sample_overlap j18_attach_variant_info u4_merge_vcfs".split()
+
+
+@pytest.mark.parametrize("name", GENOTYPES)
+def test_genotype_queries_have_a_form_without_a_filter(spark, con, name):
+    assert f"{name}_all" in QUERIES and QUERIES[f"{name}_all"](spark, DIR).limit(1).count() == 1
+
+
+def test_genotypes_are_of_every_line_item(spark, con):
+    want = con.sql("SELECT COUNT(*) FROM (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x").fetchall()[0][0]
+    assert QUERIES["a22_variant_stats_all"](spark, DIR).agg(F.sum("n")).first()[0] == want
+    assert QUERIES["u4_merge_vcfs_all"](spark, DIR).count() == want
