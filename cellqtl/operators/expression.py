@@ -61,7 +61,7 @@ def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[st
 
 
 def outliers(scores: DataFrame, z: float = 3.0) -> DataFrame:
-    """H7. Samples of which some component lies z or more standard deviations from its mean."""
-    m = scores.groupBy("component").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+    """H7. Samples of which some component lies z or more standard deviations from its mean; one that does not vary has none."""
+    m = scores.groupBy("component").agg(F.avg("value").alias("_m"), F.nullif(F.stddev_samp("value"), F.lit(0.0)).alias("_s"))
     far = F.abs((F.col("value") - F.col("_m")) / F.col("_s"))
-    return scores.join(F.broadcast(m), "component").groupBy("sample").agg(F.max(far).alias("max_z")).withColumn("outlier", F.col("max_z") >= z)
+    return scores.join(m, "component").groupBy("sample").agg(F.max(far).alias("max_z")).withColumn("outlier", F.col("max_z") >= z)

@@ -147,6 +147,12 @@ def u2(spark, d):
     return M.combine_expression([e.where("sample < 20"), e.where("sample >= 20")], e.select("sample").distinct().count())
 
 
+@query("u2_combine_expression_all", "SELECT gene, sample, value FROM v_tall WHERE gene IN (SELECT gene FROM v_tall GROUP BY gene HAVING COUNT(*) = (SELECT COUNT(DISTINCT sample) FROM v_tall))")
+def u2_all(spark, d):
+    e = view(spark, d, "v_tall")
+    return M.combine_expression([e.where("sample < 6"), e.where("sample >= 6")], e.select("sample").distinct().count())
+
+
 @query("u3_merge_covariates", "SELECT sample, covariate, value FROM (SELECT sample, unnest(['dataset', 'type']) AS covariate, unnest([dataset, c]) AS value FROM v_donors JOIN (SELECT sample, MIN(cell_type) AS c FROM v_cells GROUP BY sample) x USING (sample)) y")
 def u3(spark, d):
     a = view(spark, d, "v_donors").select("sample", F.lit("dataset").alias("covariate"), F.col("dataset").alias("value"))

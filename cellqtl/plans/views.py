@@ -18,6 +18,7 @@ VIEWS = {
     "v_expr": "SELECT l_partkey AS gene, o_custkey AS sample, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custkey",
     "v_dense": "SELECT l_partkey % 60 AS gene, o_custkey % 40 AS sample, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey % 60, o_custkey % 40",
     "v_genotypes_all": "SELECT l_suppkey AS snp, o_custkey AS sample, CASE WHEN CAST(SUM(l_quantity) AS BIGINT) % 29 = 0 THEN NULL ELSE CAST(CAST(SUM(l_quantity) AS BIGINT) % 3 AS DOUBLE) END AS dosage FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey",
+    "v_tall": "SELECT l_partkey AS gene, o_custkey % 12 AS sample, CAST(SUM(l_quantity) AS BIGINT) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_partkey, o_custkey % 12",
     "v_calls": "SELECT a.event_id AS barcode, a.user_id % 10 AS pool, a.event_type AS tool_a, b.event_type AS tool_b FROM events a JOIN events b ON b.event_id = a.event_id + 1",
     "v_qc": "SELECT event_id AS barcode, value AS feature, event_type AS dataset, user_id % 5 AS cell_type FROM events",
 }

@@ -83,3 +83,19 @@ def test_genotypes_are_of_every_line_item(spark, con):
     want = con.sql("SELECT COUNT(*) FROM (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x").fetchall()[0][0]
     assert QUERIES["a22_variant_stats_all"](spark, DIR).agg(F.sum("n")).first()[0] == want
     assert QUERIES["u4_merge_vcfs_all"](spark, DIR).count() == want
+
+
+@pytest.mark.parametrize("name", "w10_inverse_normal_rank_all h4_average_ranks_all h16_matched_correlation_all s8_matrix_all".split())
+def test_expression_queries_have_a_form_on_all_genes(spark, con, name):
+    want = con.sql("SELECT COUNT(DISTINCT l_partkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
+    assert QUERIES[name](spark, DIR).select("gene").distinct().count() == want
+
+
+@pytest.mark.parametrize("name", "h16_spearman_all h7_outliers_all".split())
+def test_expression_queries_have_a_form_on_all_samples(spark, con, name):
+    want = con.sql("SELECT COUNT(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
+    assert QUERIES[name](spark, DIR).count() == want
+
+
+def test_combined_and_filtered_expression_is_not_empty(spark):
+    assert all(QUERIES[n](spark, DIR).limit(1).count() for n in ("u2_combine_expression_all", "h11_filter_genes_all", "w12_top_expressed_genes_all"))
