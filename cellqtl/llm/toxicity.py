@@ -19,14 +19,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, table
+from .shared import save, slices, table
 
 #: Largest span of a subsequence, decay for each character of span, letters of a window of a long word.
 SPAN, DECAY, LETTERS = 5, 0.7, 24
@@ -315,21 +316,30 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a sample of labelled rows outside the held-out fold: at most TRAIN_TOXIC toxic and TRAIN_CLEAN clean
-    documents (of up to TRAIN_CHARS characters) in the order of a hash of doc_id; all of them where there are fewer."""
+def sample(docs: DataFrame, labels: DataFrame) -> list[Row]:
+    """doc_id, toxic, text of distinct labelled rows outside the held-out fold: of at most TRAIN_TOXIC toxic and TRAIN_CLEAN
+    clean doc_ids in the order of their hash, as many rows at most (of up to TRAIN_CHARS characters), the first text of each
+    id before the second of any; all of them where there are fewer."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~is_held_out())
         .groupBy("doc_id")
         .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     )
-    ids = docs.where(f"text is not null and length(text) <= {TRAIN_CHARS}").select("doc_id").join(known, "doc_id")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [ids.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
-    rows = picked[0].union(picked[1]).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").collect()
-    return fit([r["text"] for r in sample], [r["toxic"] for r in sample])
+    fitting = docs.where(f"text is not null and length(text) <= {TRAIN_CHARS}").select("doc_id", "text")
+    ids = fitting.select("doc_id").distinct().join(known, "doc_id")
+    order, bounds = [F.xxhash64("doc_id"), F.col("doc_id")], ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))
+    first = lambda rows, order: reduce(DataFrame.union, (rows.where(f"toxic = {y}").orderBy(*order).limit(n) for y, n in bounds))
+    picked = save(first(ids, order), "picked")
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    rows = fitting.join(F.broadcast(picked), "doc_id").distinct().withColumn("nth", nth).where(f"nth <= {max(n for _, n in bounds)}")
+    return first(save(rows, "sample"), [F.col("nth"), *order]).select("doc_id", "toxic", "text").collect()
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on the sample of labelled rows."""
+    rows = sample(docs, labels)
+    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 _memory: dict[str, float] = {}

@@ -56,6 +56,27 @@ def test_toxicity_odd_rows(spark, odd, none):
     assert toxicity.reject_toxic(odd, labels).columns == odd.columns
 
 
+def test_toxicity_trains_on_distinct_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_TOXIC", 4)
+    monkeypatch.setattr(toxicity, "TRAIN_CLEAN", 6)
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 100)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: sorted(zip(texts, labels, strict=True)))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:30]
+    labels = spark.createDataFrame([(d, 0, k % 2) for k, d in enumerate(ids)], "doc_id long, quality int, toxic int")
+    once = [(d, f"text {d}") for d in ids]
+    want = toxicity.train(spark.createDataFrame(once, "doc_id long, text string"), labels)
+    assert len(want) == 10 and sum(y for _, y in want) == 4
+    # every id is repeated often, some also with a text beyond the length, so each place of the sample would be taken by copies
+    many = once * 20 + [(d, "x" * 101) for d in ids]
+    assert toxicity.train(spark.createDataFrame(many, "doc_id long, text string"), labels) == want
+    # an id with many texts comes with one of them before any other id's place is taken; where there are places left, with more
+    hot = once[:1] * 5 + [(ids[0], f"other {i}") for i in range(50)] + once[1:]
+    got = toxicity.train(spark.createDataFrame(hot, "doc_id long, text string"), labels)
+    assert len(got) == 10 and [t for t in got if t[0] in dict(want) and t[0] != f"text {ids[0]}"] == [t for t in want if t[0] != f"text {ids[0]}"]
+    few = toxicity.train(spark.createDataFrame([(ids[0], "a"), (ids[0], "b"), (ids[0], "b"), (ids[1], "c")], "doc_id long, text string"), labels)
+    assert few == [("a", 0), ("b", 0), ("c", 1)]
+
+
 def test_spelled_out_words():
     assert "idiot" in toxicity.chunks_of("you i d i o t there") and "loser" in toxicity.words_of("l.o.s.e.r")
 
