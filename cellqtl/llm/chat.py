@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion; DataFrame and SQL functions only.
 
 Every assistant turn becomes an example of its own whose context is all preceding turns and whose only trainable part is
-that reply. An example is kept as what it adds to the example before it in the same conversation (its *step*: the turns
-since the last reply, then the reply) with the trainable span in it, so the table grows with the text and not with its
-square; :func:`examples` puts the contexts together where whole strings are wanted. Turns after the last reply form a last
-step without a trainable span.
+that reply. :func:`whole` gives the examples as whole strings with their trainable spans, so its text grows with the square
+of a conversation's turns. They are put together from :func:`steps`, what an example adds to the one before it in the same
+conversation (the turns since the last reply, then the reply). Turns after the last reply form a last row without a
+trainable span.
 
 A turn is written ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a backslash is doubled and ``<|`` becomes
 ``<\\|`` (a line feed inside a role becomes ``\\n`` after a backslash), which :func:`unescape` takes back exactly.
@@ -74,18 +74,25 @@ def steps(conversations: DataFrame) -> DataFrame:
     )
 
 
-def examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, example, context, completion: whole strings, the context being all turns before the reply. The output
-    grows with the square of a conversation's turns by its nature; a training job can read :func:`steps` instead."""
+def whole(conversations: DataFrame) -> DataFrame:
+    """conv_id, example, formatted, loss_start, loss_chars: one row per assistant turn, ``formatted`` being all turns up to and
+    with it, and one for turns after the last reply (its loss_start is null). No shuffle beside that of :func:`steps`."""
     before = Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = steps(conversations).withColumn("_all", F.array_join(F.collect_list("formatted").over(before), ""))
-    tail = F.length("formatted") - F.col("loss_start") + 1
-    return rows.where("loss_start is not null").select(
+    rows = steps(conversations).withColumns(
+        {"_all": F.array_join(F.collect_list("formatted").over(before), ""), "_before": F.sum(F.length("formatted")).over(before) - F.length("formatted")}
+    )
+    start = (F.col("_before") + F.col("loss_start")).cast("int")
+    return rows.select("conv_id", F.col("step").alias("example"), F.col("_all").alias("formatted"), start.alias("loss_start"), "loss_chars")
+
+
+def examples(conversations: DataFrame) -> DataFrame:
+    """conv_id, example, context, completion: the whole strings of each assistant turn in two parts."""
+    return whole(conversations).where("loss_start is not null").select(
         "conv_id",
-        F.col("step").alias("example"),
-        F.expr("substring(_all, 1, length(_all) - (length(formatted) - loss_start + 1))").alias("context"),
-        F.expr("right(_all, length(formatted) - loss_start + 1)").alias("completion"),
-        tail.alias("completion_chars"),
+        "example",
+        F.expr("left(formatted, loss_start - 1)").alias("context"),
+        F.expr("substring(formatted, loss_start)").alias("completion"),
+        F.expr("length(formatted) - loss_start + 1").alias("completion_chars"),
     )
 
 
@@ -94,12 +101,29 @@ def read_back(rows: DataFrame) -> DataFrame:
     piece = F.struct("step", "formatted", F.expr("substring(formatted, loss_start, loss_chars)").alias("loss"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["formatted"]), "")
-    turns = F.slice(F.split(text, r"<\|im_start\|>", -1), 2, 2147483647 - 2)
+    loss = F.transform(F.filter("p", lambda x: x["loss"].isNotNull()), lambda x: x["loss"])
+    return _told(whole.select("conv_id", text.alias("text"), loss.alias("loss")))
+
+
+def read_back_whole(rows: DataFrame) -> DataFrame:
+    """The same from :func:`whole`'s output: the turns from the last row of a conversation, the trainable text from each
+    example's own span. A row that does not begin with the whole text of the one before it is an error."""
+    last = F.lag("formatted").over(Window.partitionBy("conv_id").orderBy("example"))
+    wrong = F.raise_error(F.lit("an example does not begin with the one before it"))
+    told = rows.withColumn("_last", last).withColumn("formatted", F.when(F.startswith("formatted", F.coalesce("_last", F.lit(""))), F.col("formatted")).otherwise(wrong))
+    piece = F.struct("example", F.expr("substring(formatted, loss_start, loss_chars)").alias("loss"))
+    ends = told.groupBy("conv_id").agg(F.max_by("formatted", "example").alias("text"), F.array_sort(F.collect_list(piece)).alias("p"))
+    return _told(ends.select("conv_id", "text", F.transform(F.filter("p", lambda x: x["loss"].isNotNull()), lambda x: x["loss"]).alias("loss")))
+
+
+def _told(whole: DataFrame) -> DataFrame:
+    """The figures of conversations given by their whole text and their trainable spans."""
+    turns = F.slice(F.split("text", r"<\|im_start\|>", -1), 2, 2147483647 - 2)
     back = whole.select(
         "conv_id",
         turns.alias("t"),
-        F.length(text).cast("long").alias("formatted_chars"),
-        F.array_join(F.transform(F.filter("p", lambda x: x["loss"].isNotNull()), lambda x: unescape(x["loss"])), "").alias("loss"),
+        F.length("text").cast("long").alias("formatted_chars"),
+        F.array_join(F.transform("loss", unescape), "").alias("loss"),
     )
     role = lambda x: unescape_role(F.substring_index(x, "\n", 1))
     rest = lambda x: F.substr(x, F.length(F.substring_index(x, "\n", 1)) + 2)
@@ -126,7 +150,7 @@ def with_planted(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(steps(with_planted(table(spark, sf_dir, "conversations"))))
+    return read_back_whole(whole(with_planted(table(spark, sf_dir, "conversations"))))
 
 
 SQL = r"""

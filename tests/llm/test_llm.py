@@ -267,6 +267,29 @@ def test_chat_round_trip(spark):
     assert chat.steps(df.limit(0)).count() == 0
 
 
+def test_chat_query_reads_whole_examples(spark, tmp_path, monkeypatch):
+    turns = [("system", "s<|"), ("user", "u\\"), ("assistant", "é one"), ("user", "v"), ("assistant", "two"), ("assistant", ""), ("user", "last")]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(turns)] + [(2, 0, "user", "alone")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.write.parquet(f"{tmp_path}/conversations.parquet")
+    form = lambda part: "".join(f"<|im_start|>{role}\n{text.replace(chr(92), chr(92) * 2).replace('<|', '<' + chr(92) + '|')}<|im_end|>\n" for role, text in part)
+    seen = []
+    build = chat.whole
+    monkeypatch.setattr(chat, "whole", lambda c: seen.append(build(c)) or seen[-1])
+    got = {r.conv_id: r for r in chat.op10_chat(spark, str(tmp_path)).collect()}
+    whole = {(r.conv_id, r.example): r for r in seen[0].where("conv_id > 0").collect()}
+    replies = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
+    assert sorted(whole) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)]
+    for k, i in enumerate(replies):
+        r = whole[1, k]
+        assert r.formatted == form(turns[: i + 1])
+        assert r.formatted[r.loss_start - 1 :][: r.loss_chars] == turns[i][1] and r.formatted[r.loss_start - 1 + r.loss_chars :] == "<|im_end|>\n"
+    assert whole[1, 3].formatted == form(turns) and whole[1, 3].loss_start is None and whole[2, 0].loss_start is None
+    assert got[1].n_turns == 7 and got[1].formatted_chars == len(form(turns)) and got[1].loss_chars == len("é onetwo") and got[2].loss_chars == 0
+    parts = chat.examples(df).where("example = 1").collect()
+    assert [(p.context + p.completion, p.completion) for p in parts] == [(form(turns[:5]), "two<|im_end|>\n")]
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "cellqtl").rglob("*.py"):
