@@ -1,6 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates; DataFrame and SQL functions only.
 
-A block is a line or sentence. Tokens are ordered by their number of occurrences in the whole corpus, rarest first. A
+A block is a line or sentence, or what stands around a line feed inside a sentence, since notices are wrapped over lines:
+for a template of n words, the n words before and the n words after it, over further line feeds but not over blank lines
+or ends of sentences. Tokens are ordered by their number of occurrences in the whole corpus, rarest first. A
 template with n tokens meets the containment threshold t in a block when the block holds at least need = ceil(t * n) of
 them, so it must hold one of the template's first n - need + 1 tokens (prefix filter), have need tokens itself (length
 filter), and, where its first shared token stands at place i of the template, i + need may not exceed n (positional
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 from .shared import table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTAINMENT = 0.8
+#: Blank lines and the ends of sentences.
+BLOCK_END = r"\r?\n[ \t\r]*\n|(?<=[.!?])\s"
 
 #: Phrases whose words stand consecutively, and their labels.
 BASE = {
@@ -72,9 +77,29 @@ def phrase_places(words: str, phrase: str) -> Column:
     return F.coalesce(F.filter(starts, at), F.array().cast("array<int>"))
 
 
+def pieces(block: str, longest: int) -> tuple[Column, Column]:
+    """Column ``parts`` and the pieces made with it: the lines of a block (left: words, wrapped: false) and, around each run of line feeds between two words, the last
+    ``longest`` words before (left) and the first ones after (right; wrapped: true)."""
+    none = F.array().cast("array<string>")
+    lines = F.transform(F.split(block, "\n"), lambda x: F.struct(tokens(x).alias("left"), none.alias("right"), F.lit(False).alias("wrapped")))
+    # between two breaks stands a word, so twice as many parts hold enough words
+    parts = F.regexp_extract_all(block, F.lit(f"{WORD}|{NO_WORD}*\n{NO_WORD}*"), F.lit(0))
+    is_break = lambda x: F.contains(x, F.lit("\n"))
+    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("part"), (i + 1).alias("at")))
+    breaks = F.transform(F.filter(numbered, lambda x: is_break(x["part"])), lambda x: x["at"])
+
+    def around(parts: Column, at: Column) -> Column:
+        words = lambda c: F.filter(c, lambda x: ~is_break(x))
+        before = words(F.slice(parts, F.greatest(F.lit(1), at - 2 * longest), F.least(F.lit(2 * longest), at - 1)))
+        return F.struct(before.alias("left"), words(F.slice(parts, at + 1, F.lit(2 * longest))).alias("right"), F.lit(True).alias("wrapped"))
+
+    windows = F.when(F.contains(F.col(block), F.lit("\n")), F.transform(breaks, lambda at: around(F.col("parts"), at)))
+    return parts, F.concat(lines, F.coalesce(windows, F.array().cast("array<struct<left:array<string>,right:array<string>,wrapped:boolean>>")))
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """The docs' rows by block: key columns, block (lower-cased)."""
-    return docs.withColumn("block", F.explode(F.split("low", r"\n|(?<=[.!?])\s"))).drop("low")
+    """The docs' rows by block: key columns, block (lower-cased), which may have several lines."""
+    return docs.withColumn("block", F.explode(F.split("low", BLOCK_END))).drop("low")
 
 
 def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
@@ -92,23 +117,30 @@ def similarity_join(docs: DataFrame, key: list[str], templates: list[tuple[str,
     ``docs`` has the key columns and ``low``."""
     spark = docs.sparkSession
     sets = [(sorted(set(t.split())), label) for t, label in templates]
+    sizes = [len(t.split()) for t, _ in templates]
     order = token_order(docs, sorted({w for s, _ in sets for w in s}))
     rows = []
     for i, (s, label) in enumerate(sets):
         ranked, need = sorted(s, key=order.__getitem__), math.ceil(threshold * len(s) - 1e-9)
-        rows += [(w, i, label, p, need, ranked) for p, w in enumerate(ranked[: len(s) - need + 1])]
-    index = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, ranked array<string>")
+        rows += [(w, i, label, p, need, sizes[i], ranked) for p, w in enumerate(ranked[: len(s) - need + 1])]
+    index = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, n int, ranked array<string>")
     prefixes = sorted({r[0] for r in rows})
     any_prefix = f"(?<!{WORD[:-1]})(?:" + "|".join(prefixes) + f")(?!{WORD[:-1]})"
+    parts, made = pieces("block", max(sizes))
     held = (
         blocks(docs.where(F.col("low").rlike(any_prefix)))
         .where(F.col("block").rlike(any_prefix))
-        .withColumn("words", F.array_distinct(tokens(F.col("block"))))
-        .drop("block")
+        .withColumn("parts", parts)
+        .withColumn("piece", F.explode(made))
+        .drop("block", "parts")
+        .select("*", "piece.*")
+        .drop("piece")
+        .withColumn("words", F.array_distinct(F.concat("left", "right")))
         .withColumn("token", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefixes]))))
     )
     pairs = held.join(F.broadcast(index), "token")  # the templates' prefixes: a few rows each
-    shared = F.size(F.array_intersect("words", "ranked"))
+    near = F.concat(F.slice("left", F.greatest(F.lit(1), F.size("left") - F.col("n") + 1), F.col("n")), F.slice("right", F.lit(1), F.col("n")))
+    shared = F.size(F.array_intersect(F.when(F.col("wrapped"), near).otherwise(F.col("words")), "ranked"))
     return (
         pairs.where((F.size("words") >= F.col("need")) & (F.col("place") + F.col("need") <= F.size("ranked")))
         .withColumn("shared", shared)

@@ -238,6 +238,44 @@ def test_licenses(spark, odd, none):
         assert r.n_words > 0 and 0 <= r.score <= 1
 
 
+def test_licenses_find_wrapped_notices(spark):
+    rng = np.random.default_rng(11)
+    texts = ["filler mit words of this and that kind\nLicensed under the Apache License\nfoo", "This work is licensed under a Creative Commons\n# Attribution 4.0 International License"]
+    texts += ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted", "released under\n\nthe mit license"]
+    for t, _ in licenses.TEMPLATES:  # each template broken in one to five places, with words around it
+        for k in range(1, 6):
+            w = t.split()
+            for at in rng.choice(len(w) - 1, min(k, len(w) - 1), replace=False):
+                w[at] += "\r\n * " if k % 2 else "\n--\n"
+            texts.append("see the file of mit here\nand under " + " ".join(w) + " version or\nlicense")
+    texts += [r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").where("length(text) < 5000").limit(120).collect()]
+
+    def brute(text):
+        found, best = set(), 0.0
+        words = lambda x: re.findall(licenses.WORD, x)
+        for block in re.split(r"\r?\n[ \t\r]*\n|(?<=[.!?])\s", "".join(c.lower() if c.isascii() else c for c in text)):
+            lines = block.split("\n")
+            for t, label in licenses.TEMPLATES:
+                n, want = len(t.split()), set(t.split())
+                sets = [set(words(x)) for x in lines]
+                for i in range(1, len(lines)):
+                    sets.append(set(words("\n".join(lines[:i]))[-n:]) | set(words("\n".join(lines[i:]))[:n]))
+                for have in sets:
+                    if (share := len(have & want) / len(want)) >= 0.8 - 1e-9:
+                        found.add(label)
+                        best = max(best, share)
+        return found, best
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for i, t in enumerate(texts):
+        labels, best = brute(t)
+        assert set(filter(None, got[i].labels.split(","))) - set(got[i].base_labels.split(",")) == labels - set(got[i].base_labels.split(",")), t
+        assert math.isclose(got[i].score, best), t
+    assert "cc-by-4.0" in got[1].labels and "bsd" in got[2].labels and got[3].score == 0 and "mit" not in got[0].labels
+    assert all(got[4 + i].score == 1.0 for i in range(5 * len(licenses.TEMPLATES)))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     q, p = rng.integers(-60, 60, (40, 16)), rng.integers(-60, 60, (900, 16))
