@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash with tensored banding, links verified on full shingle sets.
 
-Two small collections of ``BANDS`` hashes each (a hash combines ``ROWS`` minhashes) give BANDS * BANDS table keys, one for each
+Two small collections of ``BANDS`` hashes each (more at a lower threshold; a hash combines ``ROWS`` minhashes) give BANDS * BANDS table keys, one for each
 pair of a hash of the first and one of the second, so the number of minhashes is about the square root of what as many
 separate tables would take. Two documents are candidates when any table holds both. At the similarity of 0.85 that is
 0.997 of pairs, at 0.9 all but one in 10,000.
@@ -19,6 +19,8 @@ are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,18 +32,30 @@ from .components import components
 from .shared import save, table
 
 SHINGLE = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: Links: 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
 ROWS, BANDS = 6, 14
 BITS = 1024
-#: Sketch agreement from which a pair is verified: the threshold less 4.5 standard deviations of the estimate.
-LEAST_AGREE = (1 + PERCENT / 100) / 2 * BITS - 4.5 * (BITS * (1 + PERCENT / 100) / 2 * (1 - PERCENT / 100) / 2) ** 0.5
+
+
+def bands(percent: int) -> int:
+    """Hashes of a collection with which a pair at the threshold is found as probably as BANDS find one at PERCENT."""
+    missed = BANDS * math.log(1 - (PERCENT / 100) ** ROWS)
+    return math.ceil(missed / math.log(1 - (percent / 100) ** ROWS) - 1e-9)
+
+
+def least_agree(percent: int) -> float:
+    """Sketch agreement from which a pair is verified: the threshold less 4.5 standard deviations of the estimate."""
+    t = percent / 100
+    return (1 + t) / 2 * BITS - 4.5 * (BITS * (1 + t) / 2 * (1 - t) / 2) ** 0.5
+
+
 #: Pairs per cell of the verification.
 CELL = 20_000
 
 _U = np.uint64
 _rng = np.random.default_rng(1234567)
-_A = _rng.integers(1, 2**63, max(BITS, 2 * ROWS * BANDS), dtype=np.uint64) * _U(2) + _U(1)
+_A = _rng.integers(1, 2**63, BITS, dtype=np.uint64) * _U(2) + _U(1)
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,18 +80,18 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First collection, second collection (BANDS hashes each) and sketch (BITS / 64 words)."""
+def signature(s: np.ndarray, n: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First collection, second collection (n hashes each) and sketch (BITS / 64 words)."""
     mins = np.full(len(_A), ~_U(0))
     for k in range(0, len(s), 2048):
         mins = np.minimum(mins, ((s[k : k + 2048, None] * _A) >> _U(1)).min(0))
     m = _mix(mins)
-    bands = m[: 2 * ROWS * BANDS].reshape(2 * BANDS, ROWS)
-    acc = np.arange(2 * BANDS, dtype=np.uint64)
+    banded = m[: 2 * ROWS * n].reshape(2 * n, ROWS)
+    acc = np.arange(2 * n, dtype=np.uint64)
     for k in range(ROWS):
-        acc = _mix(acc ^ bands[:, k]) + _U(k)
+        acc = _mix(acc ^ banded[:, k]) + _U(k)
     bits = np.packbits((m[:BITS] & _U(1)).astype(np.uint8)).view("<i8")
-    return acc[:BANDS].view(np.int64), acc[BANDS:].view(np.int64), bits
+    return acc[:n].view(np.int64), acc[n:].view(np.int64), bits
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -85,7 +99,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).view(np.int64)))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, n: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, digest, a, b, sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -96,7 +110,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t) for t in texts[k : k + 1000]]
                 d = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 none = np.zeros(0, np.int64)
-                sig = [signature(s) if len(s) else (none, none, none) for s in sets]
+                sig = [signature(s, n) if len(s) else (none, none, none) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.binary()), *(_lists([x[j] for x in sig]) for j in range(3))],
                     ["doc_id", "n_shingles", "digest", "a", "b", "sketch"],
@@ -118,18 +132,18 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
-def _verify_cell(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+def _verify_cell(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
     of = dict(zip(sets["id"], sets["shingles"], strict=True))
     keep = []
     for x, y in zip(pairs["x"], pairs["y"], strict=True):
         u, v = of[x], of[y]
         both = len(np.intersect1d(u, v, assume_unique=True))
-        keep.append(100 * both >= PERCENT * (len(u) + len(v) - both))
+        keep.append(100 * both >= percent * (len(u) + len(v) - both))
     found = pairs[np.array(keep, bool)]
     return pd.DataFrame({"a": found["x"], "b": found["y"]})
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs x, y (ids) whose sets meet the threshold. A pair's cell is given by the hashes of its two ends; a set goes to
     each cell where it has a pair, so many pairs of few sets move few sets."""
     pairs = save(pairs, "candidates")
@@ -137,7 +151,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     celled = pairs.withColumn("cell", F.pmod(F.xxhash64("x"), F.lit(side)) * side + F.pmod(F.xxhash64("y"), F.lit(side)))
     ends = celled.select("cell", F.col("x").alias("id")).union(celled.select("cell", F.col("y").alias("id"))).distinct()
     there = ends.join(sets, "id").withColumnRenamed("cell", "set_cell").select("set_cell", "id", "shingles")
-    return celled.groupBy("cell").cogroup(there.groupBy("set_cell")).applyInPandas(_verify_cell, "a long, b long")
+    return celled.groupBy("cell").cogroup(there.groupBy("set_cell")).applyInPandas(lambda p, s: _verify_cell(p, s, percent), "a long, b long")
 
 
 def _agree(p: str, q: str) -> Column:
@@ -145,7 +159,7 @@ def _agree(p: str, q: str) -> Column:
     return F.expr(f"{BITS} - (" + " + ".join(words) + ")")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """id, c: components of the classes (id, n_shingles, digest, a, b, sketch) that have a link to another."""
     hashes = F.concat(
         F.transform("a", lambda v, i: F.struct(F.lit(0).alias("side"), i.alias("band"), v.alias("v"))),
@@ -180,9 +194,9 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         s = slim.alias("s")
         p = pairs.join(s.select(F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx")), "x")
         p = p.join(s.select(F.col("id").alias("y"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy")), "y")
-        return p.where((100 * F.least("nx", "ny") >= PERCENT * F.greatest("nx", "ny")) & (_agree("sx", "sy") >= LEAST_AGREE)).select("x", "y")
+        return p.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (_agree("sx", "sy") >= least_agree(percent))).select("x", "y")
 
-    first = save(verified(plausible(near), sets), "links")
+    first = save(verified(plausible(near), sets, percent), "links")
     label = save(components(first), "label")
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
     # and has to share a hash of the second collection, which makes it a pair of the same tables
@@ -191,22 +205,22 @@ def link_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         placed.select("c", F.posexplode("a").alias("band", "v")).groupBy("band", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "v")
     )
     rest = placed.select("*", F.posexplode("a").alias("band", "v")).join(mixed, ["band", "v"], "left_semi")
-    pair = [f"l.a[{i}] = r.a[{i}]" for i in range(BANDS)]
+    pair = [f"l.a[{i}] = r.a[{i}]" for i in range(bands(percent))]
     meets = "CASE " + " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(pair)) + " END = l.band"
     tabled = " OR ".join(p.replace(".a[", ".b[") for p in pair)
-    sized = f"100 * least(l.n_shingles, r.n_shingles) >= {PERCENT} * greatest(l.n_shingles, r.n_shingles)"
+    sized = f"100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles)"
     on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized} AND {meets} AND ({tabled})")
-    on = on & (_agree("l.sketch", "r.sketch") >= LEAST_AGREE)
+    on = on & (_agree("l.sketch", "r.sketch") >= least_agree(percent))
     cross = rest.alias("l").join(rest.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-    second = save(verified(cross, sets), "links")
+    second = save(verified(cross, sets, percent), "links")
     if not second.limit(1).count():
         return label
     return components(first.union(second))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    sig = save(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "signatures")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; links are pairs of a similarity of ``percent`` or more."""
+    sig = save(signatures(docs, bands(percent)).withColumn("row", F.monotonically_increasing_id()), "signatures")
     rows = sig.select("doc_id", "n_shingles", "digest")
     classes = (
         sig.where("n_shingles > 0")
@@ -215,7 +229,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.col("s.row").alias("id"), "doc_id", "digest", "s.n_shingles", "s.a", "s.b", "s.sketch")
     )
     classes = save(classes, "classes")
-    label = link_classes(docs, classes)
+    label = link_classes(docs, classes, percent)
     named = classes.select("id", "digest", "doc_id").join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
     by_digest = named.join(least, "c").select(F.col("digest").alias("_digest"), "component_id")
@@ -225,9 +239,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of which one document of each component stays, and of equal rows one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
 
 

@@ -8,13 +8,16 @@ from cellqtl.llm.packing import pack, pieces
 from cellqtl.llm.shared import save, table
 from cellqtl.llm.toxicity import reject_toxic
 
+#: Similarity in percent from which the corpus keeps one of two documents (op4 has its own, 85).
+SIMILAR = 80
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, SIMILAR)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

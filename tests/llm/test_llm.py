@@ -162,6 +162,52 @@ def test_minhash_matches_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def kept_at(texts, percent):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in texts.items() if (w := t.encode().lower().split())}
+    label = {d: d for d in texts}
+    for d in sorted(sets):
+        for e in sorted(sets):
+            if d < e and 100 * len(sets[d] & sets[e]) >= percent * len(sets[d] | sets[e]):
+                a, b = sorted((label[d], label[e]))
+                label = {k: a if v == b else v for k, v in label.items()}
+    return {d for d, c in label.items() if d == c}
+
+
+def test_pipeline_stages_keep_one_of_similar_texts_and_pack_the_rest(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    assert 2 * minhash.ROWS * minhash.bands(80) <= minhash.BITS and minhash.bands(85) == minhash.BANDS
+    rng = np.random.default_rng(9)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").limit(60).collect()}
+    for g in range(8):  # copies with four changed words of 200: a Jaccard of 176 to 216, which is 0.81
+        base = [f"word{i}" for i in rng.integers(0, 5000, 200)]
+        for k in range(3):
+            w = list(base)
+            for at in (20, 60, 100, 140) if k else ():
+                w[at + k] = f"edit{g}x{k}"
+            texts[10_000 + 10 * g + k] = " ".join(w)
+    rows = [(d, t, "en", "a", len(t), 1) for d, t in texts.items()]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(-1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(texts)  # no label: nothing is rejected
+    kept = stages["near_dedup"](spark, clean, str(tmp_path))
+    want = kept_at(texts, 80)
+    assert {r.doc_id for r in kept.collect()} == want != kept_at(texts, 85)
+    mixed = stages["mixing"](spark, kept, str(tmp_path))
+    assert {r.doc_id for r in mixed.collect()} <= want and mixed.columns == docs.columns
+    packed = stages["packing"](spark, kept, str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    length = Counter()
+    for r in packed:
+        length[r.doc_id] += r.length
+    extra = {length[d] - len(tokenizer.encode(texts[d], add_special_tokens=False).ids) for d in want if texts[d]}
+    assert set(length) <= want and extra <= {0, 1}
+
+
 def test_minhash_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()), key=repr)
     n = len(minhash.shingles(LONG))
