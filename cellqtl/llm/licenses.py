@@ -1,12 +1,14 @@
 """License scans: exact set-similarity join of text blocks with license templates; DataFrame and SQL functions only.
 
-A block is a line or sentence, or what stands around a line feed inside a sentence, since notices are wrapped over lines:
-for a template of n words, the n words before and the n words after it, over further line feeds but not over blank lines
-or ends of sentences. Tokens are ordered by their number of occurrences in the whole corpus, rarest first. A
-template with n tokens meets the containment threshold t in a block when the block holds at least need = ceil(t * n) of
-them, so it must hold one of the template's first n - need + 1 tokens (prefix filter), have need tokens itself (length
-filter), and, where its first shared token stands at place i of the template, i + need may not exceed n (positional
-filter). What is left is verified on full sets. Fixed phrases are counted beside that as the base labels.
+A text is split into words once, so line feeds, comment signs and punctuation inside a notice do not matter. Its blocks for
+templates of up to L words (L: a power of two) are the windows of 2 L words that begin at every L-th word: each run of up
+to L words lies in one of them. A template is in a block when the block holds the share ``CONTAINMENT`` of its distinct words.
+
+Words of the templates are ordered by the number of documents that hold them, rarest first. With need = ceil(share * n) of a
+template's n words wanted, the block must hold one of the template's first n - need + 1 words (prefix filter), must hold
+need words of templates at all (length filter), and, when the word met is the i-th of the template and the j-th of the block's b,
+min(i, j) + 1 + min(n - i, b - j) - 1 (places from 0) must reach need (positional filter). What is left is verified on full
+sets. Fixed phrases are counted beside that as the base labels.
 
 Defined cases: null text is empty; empty text has no words, null places, no labels and score 0; repeated rows are rows of
 their own; an empty table gives an empty result; extra columns are ignored.
@@ -22,13 +24,11 @@ from pyspark.sql import functions as F
 
 from .shared import table
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CONTAINMENT = 0.8
-#: Blank lines and the ends of sentences.
-BLOCK_END = r"\r?\n[ \t\r]*\n|(?<=[.!?])\s"
+#: Words of the shortest length class of templates; the others double.
+SHORTEST = 8
 
 #: Phrases whose words stand consecutively, and their labels.
 BASE = {
@@ -38,21 +38,66 @@ BASE = {
     "mit license": "mit",
 }
 
-#: Templates and labels. Short license notices as they are commonly written.
+# Notices and paragraphs of public licenses, lower-cased and without punctuation, and their labels.
 TEMPLATES = [
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this work is licensed under the gnu general public license version 2", "gpl-2"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "gpl",
+    ),
+    (
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a "
+        "particular purpose see the gnu general public license for more details",
+        "gpl",
+    ),
     ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("you may not use this file except in compliance with the license", "apache-2.0"),
+    (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0",
+        "apache-2.0",
+    ),
+    (
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions "
+        "of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "apache-2.0",
+    ),
     ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
+        "without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions",
+        "mit",
+    ),
+    (
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular "
+        "purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort "
+        "or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "mit",
+    ),
+    (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this "
+        "permission notice appear in all copies",
+        "isc",
+    ),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
+    (
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+        "materials provided with the distribution",
+        "bsd",
+    ),
+    (
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific "
+        "prior written permission",
+        "bsd-3",
+    ),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("licensed under cc by 4 0", "cc-by-4.0"),
     ("licensed under cc by sa 4 0", "cc-by-sa-4.0"),
     ("licensed under cc by nc 4 0", "cc-by-nc-4.0"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4.0"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0"),
 ]
 
 
@@ -60,13 +105,9 @@ def lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
-
-
-def phrase_pattern(phrase: str) -> str:
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-    return f"(?<!{word})" + GAP.join(phrase.split()) + f"(?!{word})"
+def words_of(text: Column) -> Column:
+    """Words of a lower-cased text in order."""
+    return F.array_remove(F.split(text, GAP), "")
 
 
 def phrase_places(words: str, phrase: str) -> Column:
@@ -74,106 +115,82 @@ def phrase_places(words: str, phrase: str) -> Column:
     want = phrase.split()
     at = lambda i: reduce(lambda a, b: a & b, [F.get(words, i + k) == w for k, w in enumerate(want)])
     starts = F.when(F.size(words) >= len(want), F.sequence(F.lit(0), F.size(words) - len(want)))
-    return F.coalesce(F.filter(starts, at), F.array().cast("array<int>"))
-
+    return F.filter(starts, at)
 
-def pieces(block: str, longest: int) -> tuple[Column, Column]:
-    """Column ``parts`` and the pieces made with it: the lines of a block (left: words, wrapped: false) and, around each run of line feeds between two words, the last
-    ``longest`` words before (left) and the first ones after (right; wrapped: true)."""
-    none = F.array().cast("array<string>")
-    lines = F.transform(F.split(block, "\n"), lambda x: F.struct(tokens(x).alias("left"), none.alias("right"), F.lit(False).alias("wrapped")))
-    # between two breaks stands a word, so twice as many parts hold enough words
-    parts = F.regexp_extract_all(block, F.lit(f"{WORD}|{NO_WORD}*\n{NO_WORD}*"), F.lit(0))
-    is_break = lambda x: F.contains(x, F.lit("\n"))
-    numbered = F.transform(parts, lambda x, i: F.struct(x.alias("part"), (i + 1).alias("at")))
-    breaks = F.transform(F.filter(numbered, lambda x: is_break(x["part"])), lambda x: x["at"])
 
-    def around(parts: Column, at: Column) -> Column:
-        words = lambda c: F.filter(c, lambda x: ~is_break(x))
-        before = words(F.slice(parts, F.greatest(F.lit(1), at - 2 * longest), F.least(F.lit(2 * longest), at - 1)))
-        return F.struct(before.alias("left"), words(F.slice(parts, at + 1, F.lit(2 * longest))).alias("right"), F.lit(True).alias("wrapped"))
+def length_class(template: str) -> int:
+    """The L of a template: the least power of two, SHORTEST at least, that its words do not exceed."""
+    return max(SHORTEST, 1 << (len(template.split()) - 1).bit_length())
 
-    windows = F.when(F.contains(F.col(block), F.lit("\n")), F.transform(breaks, lambda at: around(F.col("parts"), at)))
-    return parts, F.concat(lines, F.coalesce(windows, F.array().cast("array<struct<left:array<string>,right:array<string>,wrapped:boolean>>")))
 
+def need_of(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The docs' rows by block: key columns, block (lower-cased), which may have several lines."""
-    return docs.withColumn("block", F.explode(F.split("low", BLOCK_END))).drop("low")
 
-
-def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of each template token by its occurrences in all texts, rarest first. Counting is one pass with map-side sums;
-    only counts of the templates' own vocabulary come to the driver."""
-    wanted = F.array(*[F.lit(w) for w in vocabulary])
-    # a text without a rare pattern still counts for frequent tokens, so every text is looked through
-    each = docs.select(F.explode(F.array_intersect(tokens(F.col("low")), wanted)).alias("token"))
+def token_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary by the number of rows that hold each word, rarest first. One pass over all rows with map-side sums; only
+    counts of the templates' own words come to the driver."""
+    each = docs.select(F.explode(F.array_intersect("words", F.lit(vocabulary))).alias("token"))
     counts = {r[0]: r[1] for r in each.groupBy("token").count().collect()}
-    return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
 def similarity_join(docs: DataFrame, key: list[str], templates: list[tuple[str, str]], threshold: float = CONTAINMENT) -> DataFrame:
-    """key columns, label, score: every (row, template) pair whose containment in some block meets the threshold.
-    ``docs`` has the key columns and ``low``."""
+    """key columns, label, score: every (row, template) pair whose containment in some block meets the threshold. ``docs`` has
+    the key columns and ``words``."""
     spark = docs.sparkSession
-    sets = [(sorted(set(t.split())), label) for t, label in templates]
-    sizes = [len(t.split()) for t, _ in templates]
-    order = token_order(docs, sorted({w for s, _ in sets for w in s}))
-    rows = []
-    for i, (s, label) in enumerate(sets):
-        ranked, need = sorted(s, key=order.__getitem__), math.ceil(threshold * len(s) - 1e-9)
-        rows += [(w, i, label, p, need, sizes[i], ranked) for p, w in enumerate(ranked[: len(s) - need + 1])]
-    index = spark.createDataFrame(rows, "token string, template int, label string, place int, need int, n int, ranked array<string>")
-    prefixes = sorted({r[0] for r in rows})
-    any_prefix = f"(?<!{WORD[:-1]})(?:" + "|".join(prefixes) + f")(?!{WORD[:-1]})"
-    parts, made = pieces("block", max(sizes))
+    order = token_order(docs, sorted({w for t, _ in templates for w in t.split()}))
+    rank = {w: i for i, w in enumerate(order)}
+    index = []
+    for i, (t, label) in enumerate(templates):
+        ranked = sorted(set(t.split()), key=rank.__getitem__)
+        need = need_of(len(ranked), threshold)
+        index += [(length_class(t), w, i, label, p, need, ranked) for p, w in enumerate(ranked[: len(ranked) - need + 1])]
+    prefixes = {size: F.lit(sorted({r[1] for r in index if r[0] == size})) for size in sorted({r[0] for r in index})}
+
+    def blocks(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - size), F.lit(size))
+        cut = F.transform(starts, lambda s: F.struct(F.lit(size).alias("size"), F.slice("words", s, F.lit(2 * size)).alias("block")))
+        return F.when(F.arrays_overlap("words", prefixes[size]), F.filter(cut, lambda x: F.arrays_overlap(x["block"], prefixes[size])))
+
+    none = F.array().cast("array<struct<size:int,block:array<string>>>")
     held = (
-        blocks(docs.where(F.col("low").rlike(any_prefix)))
-        .where(F.col("block").rlike(any_prefix))
-        .withColumn("parts", parts)
-        .withColumn("piece", F.explode(made))
-        .drop("block", "parts")
-        .select("*", "piece.*")
-        .drop("piece")
-        .withColumn("words", F.array_distinct(F.concat("left", "right")))
-        .withColumn("token", F.explode(F.array_intersect("words", F.array(*[F.lit(w) for w in prefixes]))))
-    )
-    pairs = held.join(F.broadcast(index), "token")  # the templates' prefixes: a few rows each
-    near = F.concat(F.slice("left", F.greatest(F.lit(1), F.size("left") - F.col("n") + 1), F.col("n")), F.slice("right", F.lit(1), F.col("n")))
-    shared = F.size(F.array_intersect(F.when(F.col("wrapped"), near).otherwise(F.col("words")), "ranked"))
-    return (
-        pairs.where((F.size("words") >= F.col("need")) & (F.col("place") + F.col("need") <= F.size("ranked")))
-        .withColumn("shared", shared)
-        .where("shared >= need")
-        .groupBy(*key, "label")
-        .agg(F.max(F.col("shared") / F.size("ranked")).alias("score"))
+        docs.where(F.arrays_overlap("words", F.lit(sorted({r[1] for r in index}))))
+        .select(*key, F.explode(F.concat(*[F.coalesce(blocks(size), none) for size in prefixes])).alias("_at"))
+        # the literal comes first, so a block's words stand in the global order
+        .select(*key, "_at.size", F.array_intersect(F.lit(order), F.col("_at.block")).alias("block"))
+        .where(F.size("block") >= min(r[5] for r in index))
+        .select(*key, "size", "block", F.posexplode("block").alias("j", "token"))
     )
+    of = spark.createDataFrame(index, "size int, token string, template int, label string, i int, need int, ranked array<string>")
+    i, j, n, b = F.col("i"), F.col("j"), F.size("ranked"), F.size("block")
+    reach = F.least(i, j) + 1 + F.least(n - i - 1, b - j - 1)
+    pairs = held.join(F.broadcast(of), ["size", "token"]).where((b >= F.col("need")) & (reach >= F.col("need")))  # the templates' prefixes: a few rows
+    shared = F.size(F.array_intersect("block", "ranked"))
+    return pairs.withColumn("shared", shared).where("shared >= need").groupBy(*key, "label").agg(F.max(F.col("shared") / n).alias("score"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id with word counts, base places and labels, and all labels and the best containment."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = docs.select("doc_id", lower(text).alias("low")).withColumn("key", F.xxhash64("low"))
-    any_phrase = F.col("low").rlike("|".join(phrase_pattern(p) for p in sorted(BASE)))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("key"), lower(text).alias("low")).withColumn("words", words_of(F.col("low")))
+    phrases = sorted(BASE.items(), key=lambda x: x[1])
+    # a text without one of a phrase's words is not looked through
+    may = [reduce(lambda a, b: a & b, [F.contains("low", F.lit(w)) for w in sorted(p.split(), key=len, reverse=True)]) for p, _ in phrases]
+    at = [F.col(f"at_{i}") for i in range(len(phrases))]
     no_places, no_labels = F.array().cast("array<int>"), F.array().cast("array<string>")
-    counted = low.select(
-        "doc_id",
-        "key",
-        F.regexp_count("low", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(any_phrase, tokens(F.col("low"))).otherwise(no_labels).alias("words"),
+    found = rows.select(
+        "doc_id", "key", F.size("words").cast("long").alias("n_words"), *(F.coalesce(F.when(m, phrase_places("words", p)), no_places).alias(f"at_{i}") for i, (m, (p, _)) in enumerate(zip(may, phrases, strict=True)))
     )
-    labels = sorted(BASE.values())
-    found = counted.select("doc_id", "key", "n_words", *(phrase_places("words", p).alias(f"at_{i}") for i, (p, _) in enumerate(sorted(BASE.items(), key=lambda x: x[1]))))
-    at = [F.col(f"at_{i}") for i in range(len(labels))]
     base = found.select(
         "doc_id",
         "key",
         "n_words",
         F.concat(*at).alias("places"),
-        F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, label in zip(at, labels, strict=True)])).alias("base"),
+        F.array_compact(F.array(*[F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(at, phrases, strict=True)])).alias("base"),
     )
     matched = (
-        similarity_join(low, ["doc_id", "key"], TEMPLATES)
+        similarity_join(rows.select("doc_id", "key", "words"), ["doc_id", "key"], TEMPLATES)
         .groupBy("doc_id", "key")
         .agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
         .select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "more", "best")
@@ -194,3 +211,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The same result without filters: every block of every text against every template of its class."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    templates = ",\n  ".join(f"({length_class(t)}, '{label}', {quoted(sorted(set(t.split())))}, {need_of(len(set(t.split())), CONTAINMENT)})" for t, label in TEMPLATES)
+    phrases = ", ".join(f"('{label}', {quoted(p.split())})" for p, label in BASE.items())
+    return rf"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(COALESCE(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+p(label, phrase) AS (VALUES {phrases}),
+b AS (SELECT r, label, i FROM (SELECT r, words, label, phrase, unnest(range(1, len(words) + 1)) AS i FROM w JOIN p ON list_has_all(words, phrase)) x
+  WHERE words[i:i + len(phrase) - 1] = phrase),
+base AS (SELECT r, COUNT(*) AS n_base, MIN(i) - 1 AS first_word, MAX(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM b GROUP BY r),
+t(size, label, words, need) AS (VALUES
+  {templates}),
+s AS (SELECT DISTINCT size FROM t),
+k AS (SELECT r, size, words[i:i + 2 * size - 1] AS block FROM (SELECT r, words, size, unnest(range(1, greatest(1, len(words) - size) + 1, size)) AS i FROM w, s) x),
+m AS (SELECT r, label, CAST(len(list_intersect(t.words, k.block)) AS DOUBLE) / len(t.words) AS score, need, len(t.words) AS n FROM k JOIN t ON k.size = t.size AND list_has_any(k.block, t.words)),
+f AS (SELECT r, list(DISTINCT label) AS labels, MAX(score) AS score FROM m WHERE score * n >= need - 1e-9 GROUP BY r)
+SELECT doc_id, CAST(len(w.words) AS BIGINT) AS n_words, COALESCE(n_base, 0) AS n_base, first_word, last_word,
+  COALESCE(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(COALESCE(base.labels, []), COALESCE(f.labels, [])))), ',') AS labels, COALESCE(score, 0) AS score
+FROM w LEFT JOIN base ON w.r = base.r LEFT JOIN f ON w.r = f.r
+"""
+
+
+SQL = _sql()

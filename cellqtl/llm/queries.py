@@ -3,6 +3,7 @@
 from .chat import SQL as CHAT_SQL
 from .chat import op10_chat
 from .html import op2_html
+from .licenses import SQL as LICENSES_SQL
 from .licenses import op8_licenses
 from .media import op3_media
 from .minhash import op4_minhash
@@ -15,4 +16,4 @@ from .topk import op9_topk
 from .toxicity import op1_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_minhash, op5_packing, op6_sharding, op7_mixing, op8_licenses, op9_topk, op10_chat)}
-SQL = {"op7_mixing": MIXING_SQL, "op9_topk": TOPK_SQL, "op10_chat": CHAT_SQL}
+SQL = {"op7_mixing": MIXING_SQL, "op8_licenses": LICENSES_SQL, "op9_topk": TOPK_SQL, "op10_chat": CHAT_SQL}

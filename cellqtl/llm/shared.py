@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a new
-    local folder that is then set for the session."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``. Only with a local master, where driver and tasks
+    are one machine, a new folder is made and set when it is unset; a cluster without the setting is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cellqtl-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -41,3 +44,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 200) -> Iterator[pa.Re
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` is called so (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
