@@ -5,37 +5,38 @@ pair of a hash of the first and one of the second, so the number of minhashes is
 separate tables would take. Two documents are candidates when any table holds both. At the similarity of 0.85 that is
 0.997 of pairs, at 0.9 all but one in 10,000.
 
-Documents with equal shingle sets are one class and compared once. Inside a table's bucket each class is first compared
-with two hubs only, so large groups of copies join in linear work; only classes that share a table and are still in
-different components are then compared with each other, where a 1-bit sketch of ``BITS`` minhashes rules out pairs far (over four
-and a half standard deviations) below the threshold. Every link is confirmed on whole sets, in cells of pairs that bring
-each set once per cell.
+Documents with equal shingle sets are one class and compared once. Candidates are met in rounds: in each table whose
+classes are not yet of one component, every class is compared with one hub of the table, so large groups of copies join in
+linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other. Before a
+pair is verified, ``PLANES`` bits of each of the same minhashes tell whether its similarity can reach the threshold (four and a
+half standard deviations below are let through). Every link is confirmed on whole sets, which are joined to the pairs by rows.
 
 Defined cases: null text, empty text and text without words have no shingles and are linked with nothing; documents with
 fewer than five words have one shingle, the whole sequence; equal rows are of one class; a null doc_id counts as larger than
 any other and is its own component where no other id is reachable; an empty table gives an empty result; extra columns
-are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
+are ignored by :func:`near_duplicates` and kept by :func:`keep_one`, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import save, table
+from .shared import fresh, save, slices, table
 
 SHINGLE = 5
 #: Links: 100 * intersection >= percent * union; this is op4's percent.
 PERCENT = 85
 ROWS, BANDS = 6, 14
-BITS = 1024
+#: Bits of a minhash that the check before verification looks at, and rounds of hubs.
+PLANES, ROUNDS = 4, 3
 
 
 def bands(percent: int) -> int:
@@ -45,18 +46,16 @@ def bands(percent: int) -> int:
 
 
 def least_agree(percent: int) -> float:
-    """Sketch agreement from which a pair is verified: the threshold less 4.5 standard deviations of the estimate."""
-    t = percent / 100
-    return (1 + t) / 2 * BITS - 4.5 * (BITS * (1 + t) / 2 * (1 - t) / 2) ** 0.5
+    """Agreeing minhashes from which a pair is verified: what the threshold gives less 4.5 standard deviations."""
+    t, n = percent / 100, 2 * ROWS * bands(percent)
+    p = t + (1 - t) / 2**PLANES
+    return n * p - 4.5 * (n * p * (1 - p)) ** 0.5
 
 
-#: Pairs per cell of the verification.
-CELL = 20_000
-
 _U = np.uint64
-_rng = np.random.default_rng(1234567)
-_A = _rng.integers(1, 2**63, BITS, dtype=np.uint64) * _U(2) + _U(1)
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: Odd multipliers, each a permutation of the 32-bit numbers.
+_A = np.random.default_rng(1234567).integers(0, 2**31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -81,17 +80,21 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(s: np.ndarray, n: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First collection, second collection (n hashes each) and sketch (BITS / 64 words)."""
-    mins = np.full(len(_A), ~_U(0))
-    for k in range(0, len(s), 2048):
-        mins = np.minimum(mins, ((s[k : k + 2048, None] * _A) >> _U(1)).min(0))
-    m = _mix(mins)
-    banded = m[: 2 * ROWS * n].reshape(2 * n, ROWS)
+    """First collection, second collection (n hashes each) and PLANES bits of each minhash, plane after plane."""
+    count = 2 * ROWS * n
+    x = (s >> _U(32)).astype(np.uint32)
+    mins = np.full(count, ~np.uint32(0))
+    for k in range(0, len(x), 4096):
+        mins = np.minimum(mins, np.multiply.outer(_A[:count], x[k : k + 4096]).min(1))
+    m = _mix(mins.astype(np.uint64) + _U(1))
+    banded = m.reshape(2 * n, ROWS)
     acc = np.arange(2 * n, dtype=np.uint64)
     for k in range(ROWS):
         acc = _mix(acc ^ banded[:, k]) + _U(k)
-    bits = np.packbits((m[:BITS] & _U(1)).astype(np.uint8)).view("<i8")
-    return acc[:n].view(np.int64), acc[n:].view(np.int64), bits
+    bits = np.zeros((PLANES, -(-count // 64) * 64), np.uint8)
+    for k in range(PLANES):
+        bits[k, :count] = (m >> _U(k)) & _U(1)
+    return acc[:n].view(np.int64), acc[n:].view(np.int64), np.packbits(bits, axis=1).view("<i8").ravel()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -100,149 +103,159 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def signatures(docs: DataFrame, n: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, digest, a, b, sketch."""
+    """doc_id, h (hash of the text), n_shingles, digest, a, b, bits."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    none = (np.zeros(0, np.int64),) * 3
 
     def run(batches):
-        for b in batches:
-            texts, ids = b.column(1).to_pylist(), b.column(0)
-            for k in range(0, len(texts), 1000):
-                sets = [shingles(t) for t in texts[k : k + 1000]]
-                d = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                none = np.zeros(0, np.int64)
-                sig = [signature(s, n) if len(s) else (none, none, none) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(d, pa.binary()), *(_lists([x[j] for x in sig]) for j in range(3))],
-                    ["doc_id", "n_shingles", "digest", "a", "b", "sketch"],
-                )
+        for b in slices(batches):
+            sets = [shingles(t) for t in b.column(1).to_pylist()]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            signed = [signature(s, n) if len(s) else none for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), *(_lists([x[j] for x in signed]) for j in range(3))],
+                ["doc_id", "h", "n_shingles", "digest", "a", "b", "bits"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, a array<long>, b array<long>, sketch array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, n_shingles long, digest binary, a array<long>, b array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """digest, shingles (64-bit hashes)."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 1000):
-                sets = [shingles(t) for t in texts[k : k + 1000]]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)], ["digest", "shingles"])
+        for b in slices(batches):
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)], ["digest", "shingles"])
 
     return docs.select("text").mapInArrow(run, "digest binary, shingles array<long>")
 
 
-def _verify_cell(pairs: pd.DataFrame, sets: pd.DataFrame, percent: int) -> pd.DataFrame:
-    of = dict(zip(sets["id"], sets["shingles"], strict=True))
-    keep = []
-    for x, y in zip(pairs["x"], pairs["y"], strict=True):
-        u, v = of[x], of[y]
-        both = len(np.intersect1d(u, v, assume_unique=True))
-        keep.append(100 * both >= percent * (len(u) + len(v) - both))
-    found = pairs[np.array(keep, bool)]
-    return pd.DataFrame({"a": found["x"], "b": found["y"]})
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs x, y (ids) whose sets meet the threshold. A pair's cell is given by the hashes of its two ends; a set goes to
-    each cell where it has a pair, so many pairs of few sets move few sets."""
-    pairs = save(pairs, "candidates")
-    side = max(1, int((pairs.count() / CELL) ** 0.5 + 0.999))
-    celled = pairs.withColumn("cell", F.pmod(F.xxhash64("x"), F.lit(side)) * side + F.pmod(F.xxhash64("y"), F.lit(side)))
-    ends = celled.select("cell", F.col("x").alias("id")).union(celled.select("cell", F.col("y").alias("id"))).distinct()
-    there = ends.join(sets, "id").withColumnRenamed("cell", "set_cell").select("set_cell", "id", "shingles")
-    return celled.groupBy("cell").cogroup(there.groupBy("set_cell")).applyInPandas(lambda p, s: _verify_cell(p, s, percent), "a long, b long")
+def _agree(p: str, q: str, n: int) -> Column:
+    """Number of minhashes equal in all their planes; what fills up the last word is equal, so n less those that differ."""
+    words = -(-2 * ROWS * n // 64)
+    differ = [" | ".join(f"({p}[{k * words + i}] ^ {q}[{k * words + i}])" for k in range(PLANES)) for i in range(words)]
+    return F.expr(f"{2 * ROWS * n} - (" + " + ".join(f"bit_count({d})" for d in differ) + ")")
 
 
-def _agree(p: str, q: str) -> Column:
-    words = [f"bit_count({p}[{i}] ^ {q}[{i}])" for i in range(BITS // 64)]
-    return F.expr(f"{BITS} - (" + " + ".join(words) + ")")
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs x, y (ids) whose sets meet the threshold. Numbers of shingles and planes rule pairs out before sets are
+    joined; a task holds the two sets of one pair at a time."""
+    side = lambda of, c, *more: of.select(F.col("id").alias(c), *(F.col(m).alias(f"{m}_{c}") for m in more))
+    seen = pairs.join(side(classes, "x", "n_shingles", "bits"), "x").join(side(classes, "y", "n_shingles", "bits"), "y")
+    sized = 100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")
+    may = save(seen.where(sized & (_agree("bits_x", "bits_y", bands(percent)) >= least_agree(percent))).select("x", "y"), "candidates")
+    full = may.join(side(sets, "x", "shingles"), "x").join(side(sets, "y", "shingles"), "y")
+    both = full.select("x", "y", F.size(F.array_intersect("shingles_x", "shingles_y")).cast("long").alias("both"), (F.size("shingles_x") + F.size("shingles_y")).alias("sum"))
+    return both.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """id, c: components of the classes (id, n_shingles, digest, a, b, sketch) that have a link to another."""
+def tables(classes: DataFrame) -> DataFrame:
+    """id, key: the tables of each class that another may share."""
     hashes = F.concat(
         F.transform("a", lambda v, i: F.struct(F.lit(0).alias("side"), i.alias("band"), v.alias("v"))),
         F.transform("b", lambda v, i: F.struct(F.lit(1).alias("side"), i.alias("band"), v.alias("v"))),
     )
     # a hash that one class alone has cannot be part of a shared table key
-    single = classes.select("id", F.explode(hashes).alias("h")).select("id", F.xxhash64("h.side", "h.band", "h.v").alias("v"), "h.side", "h.band")
+    single = classes.select("id", F.explode(hashes).alias("h")).select("id", F.xxhash64("h.side", "h.band", "h.v").alias("v"), "h.side")
     shared = single.groupBy("v").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("v")
     held = single.join(shared, "v", "left_semi").groupBy("id").agg(
         F.collect_list(F.when(F.col("side") == 0, F.col("v"))).alias("p"), F.collect_list(F.when(F.col("side") == 1, F.col("v"))).alias("q")
     )
     keys = held.where("size(p) > 0 and size(q) > 0").select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q"))
-    members = save(keys.select("id", F.xxhash64("p", "q").alias("key")), "tables")
-    hub = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), F.col("id").alias("id")))["id"]
-    hubs = members.groupBy("key").agg(hub(1).alias("h1"), hub(2).alias("h2"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    full = save(members.join(hubs, "key"), "buckets")
-    slim = classes.select("id", "n_shingles", "sketch")
-    near = (
-        full.select("id", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub"))
-        .where("id <> hub")
-        .select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y"))
-        .distinct()
-    )
-    nodes = full.select("id").distinct()
-    digest_of = classes.join(nodes, "id", "left_semi").select("id", "digest", "doc_id")
-    texts = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), "text")
-    wanted = digest_of.select("doc_id").distinct()
-    picked = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = save(shingle_sets(picked).dropDuplicates(["digest"]).join(digest_of.select("id", "digest"), "digest").select("id", "shingles"), "sets")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        s = slim.alias("s")
-        p = pairs.join(s.select(F.col("id").alias("x"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx")), "x")
-        p = p.join(s.select(F.col("id").alias("y"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy")), "y")
-        return p.where((100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (_agree("sx", "sy") >= least_agree(percent))).select("x", "y")
-
-    first = save(verified(plausible(near), sets, percent), "links")
-    label = save(components(first), "label")
+    return keys.select("id", F.xxhash64("p", "q").alias("key"))
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
+    """id, c: components of the classes (id, n_shingles, digest, a, b, bits) that have a link to another; None without links."""
+    open_ = save(tables(classes), "tables").withColumn("c", F.col("id"))
+    sets, links, label, tested = None, [], None, []
+    for r in range(ROUNDS):
+        # tables whose classes are of several components, each with a hub that all others are compared with
+        hub = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("hub"), F.col("c").alias("hub_c"))).alias("m")
+        mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo <> hi").select("key", "m.hub", "m.hub_c")
+        met = save(open_.join(mixed, "key"), "buckets")
+        if sets is None:
+            nodes = save(classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id"), "nodes")
+            texts = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), "text")
+            wanted = nodes.select("doc_id").distinct()
+            picked = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi")
+            sets = save(shingle_sets(picked).dropDuplicates(["digest"]).join(nodes.select("id", "digest"), "digest").select("id", "shingles"), "sets")
+        pairs = met.where("c <> hub_c").select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
+        for t in tested:
+            pairs = pairs.join(t, ["x", "y"], "left_anti")
+        tested.append(save(pairs, "pairs"))
+        found = save(verified(tested[-1], classes, sets, percent), "links")
+        if found.limit(1).count():
+            links.append(found)
+            label = save(components(reduce(DataFrame.union, links)), "label")
+        elif not met.limit(1).count():
+            return label
+        open_ = met.select("id", "key")
+        open_ = open_.join(label, "id", "left").select("id", "key", F.coalesce("c", "id").alias("c")) if label is not None else open_.withColumn("c", F.col("id"))
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
     # and has to share a hash of the second collection, which makes it a pair of the same tables
-    placed = classes.join(nodes, "id", "left_semi").join(label, "id", "left").select("id", F.coalesce("c", "id").alias("c"), "n_shingles", "a", "b", "sketch")
-    mixed = (
-        placed.select("c", F.posexplode("a").alias("band", "v")).groupBy("band", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "v")
-    )
-    rest = placed.select("*", F.posexplode("a").alias("band", "v")).join(mixed, ["band", "v"], "left_semi")
-    pair = [f"l.a[{i}] = r.a[{i}]" for i in range(bands(percent))]
+    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    apart = open_.join(mixed, "key", "left_semi").select("id", "c").distinct()
+    n = bands(percent)
+    placed = classes.join(apart, "id").select("id", "c", "n_shingles", "a", "b", "bits", F.posexplode("a").alias("band", "v"))
+    pair = [f"l.a[{i}] = r.a[{i}]" for i in range(n)]
     meets = "CASE " + " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(pair)) + " END = l.band"
     tabled = " OR ".join(p.replace(".a[", ".b[") for p in pair)
     sized = f"100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles)"
     on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized} AND {meets} AND ({tabled})")
-    on = on & (_agree("l.sketch", "r.sketch") >= least_agree(percent))
-    cross = rest.alias("l").join(rest.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-    second = save(verified(cross, sets, percent), "links")
-    if not second.limit(1).count():
-        return label
-    return components(first.union(second))
+    on = on & (_agree("l.bits", "r.bits", n) >= least_agree(percent))
+    placed = save(placed, "apart")
+    cross = placed.alias("l").join(placed.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+    for t in tested:
+        cross = cross.join(t, ["x", "y"], "left_anti")
+    found = save(verified(cross, classes, sets, percent), "links")
+    return components(reduce(DataFrame.union, [*links, found])) if found.limit(1).count() else label
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; links are pairs of a similarity of ``percent`` or more."""
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, h, n_shingles, c (class of the component; null without shingles), component_id of every row."""
     sig = save(signatures(docs, bands(percent)).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    rows = sig.select("doc_id", "n_shingles", "digest")
+    rows = sig.select("doc_id", "h", "n_shingles", "digest")
     classes = (
         sig.where("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "n_shingles", "a", "b", "sketch")).alias("s"))
-        .select(F.col("s.row").alias("id"), "doc_id", "digest", "s.n_shingles", "s.a", "s.b", "s.sketch")
+        .agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "n_shingles", "a", "b", "bits")).alias("s"))
+        .select(F.col("s.row").alias("id"), "doc_id", "digest", "s.n_shingles", "s.a", "s.b", "s.bits")
     )
     classes = save(classes, "classes")
     label = link_classes(docs, classes, percent)
-    named = classes.select("id", "digest", "doc_id").join(label, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    named = classes.select("id", "digest", "doc_id")
+    named = named.join(label, "id", "left").withColumn("c", F.coalesce("c", "id")) if label is not None else named.withColumn("c", F.col("id"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    by_digest = named.join(least, "c").select(F.col("digest").alias("_digest"), "component_id")
+    by_digest = named.join(least, "c").select(F.col("digest").alias("_digest"), "c", "component_id")
     some = rows.where("digest is not null").join(by_digest, F.col("digest") == F.col("_digest"))
-    none = rows.where("digest is null").withColumn("component_id", F.col("doc_id"))
-    both = some.select("doc_id", "n_shingles", "component_id").union(none.select("doc_id", "n_shingles", "component_id"))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    none = rows.where("digest is null").select("*", F.lit(None).cast("long").alias("c"), F.col("doc_id").alias("component_id"))
+    columns = ["doc_id", "h", "n_shingles", "c", "component_id"]
+    return some.select(*columns).union(none.select(*columns))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; links are pairs of a similarity of ``percent`` or more."""
+    return _labelled(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, of which one document of each component stays, and of equal rows one."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs``, all columns, of which one row of each component stays: of its least doc_id, the text of least
+    hash, and where several rows have both, the least row in column order. Rows without words all stay."""
+    one_id, one_h, copies, of = fresh(docs, "_one_id", "_one_h", "_copies", "_of")
+    rows = _labelled(docs, percent)
+    of_group = rows.where("c is not null and doc_id <=> component_id").groupBy("c", "doc_id", "h").count().groupBy("c").agg(F.min(F.struct("doc_id", "h", "count")).alias("m"))
+    wordless = rows.where("c is null").select("doc_id", "h", F.lit(1).cast("long").alias("count")).distinct()
+    keepers = of_group.select("m.*").union(wordless).toDF(one_id, one_h, copies)
+    hashed = docs.withColumn(of, F.xxhash64(docs["text"]))
+    joined = hashed.join(keepers, hashed["doc_id"].eqNullSafe(keepers[one_id]) & (hashed[of] == keepers[one_h]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = joined.where(f"{copies} = 1").select(*columns)
+    # repeated rows: sums on the map side, so a group of any size is no task's alone
+    more = joined.where(f"{copies} > 1").groupBy(one_id, one_h).agg(F.min(F.struct(*columns)).alias(of)).select(f"{of}.*")
+    return once.union(more)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
