@@ -1,13 +1,16 @@
 """Best-fit packing by a grouping genetic algorithm.
 
 Documents become token sequences (their ids, then one end id); longer ones than a bin are cut into whole bins and a first
-piece with the rest. Pieces shorter than a bin are dealt to islands of bounded size. On an island, an individual is a
-grouping of pieces into bins: crossover injects another parent's well-filled bins whole, drops bins that hold a piece twice
-over, and best-fits what was displaced; mutation opens the emptiest bins again. Between rounds elites migrate: well-filled
-bins are final, the pieces of the others are dealt to new, fewer islands, until one island is left or no bins close any more.
+piece with the rest. Pieces shorter than a bin are dealt to blocks of bounded size, and each block to ``ISLANDS`` islands that evolve
+populations of their own. An individual is a grouping of the block's pieces into bins: crossover injects another parent's
+well-filled bins whole, drops bins that hold a piece twice over, and best-fits what was displaced; mutation opens the
+emptiest bins again. After each of ``EPOCHS`` epochs the elite of every island migrates to the next island of its block, by a join. The best
+individual of a block tells its bins. Well-filled bins are final; the pieces of the others are dealt to new, fewer blocks, until
+one block is left, ``ROUNDS`` rounds are over, or less than a fifth of the pieces found a final bin in a round; then all bins are final.
 
 Defined cases: null text is empty and gives the end id alone; null ids are documents like others; repeated rows are packed
-each; an empty table gives an empty result; extra columns are ignored by the query and kept by :func:`pack`.
+each; an empty table gives an empty result; extra columns are ignored by the query and kept by :func:`pack`, but for columns
+called sequence_id and offset, which its own take the place of.
 """
 
 from __future__ import annotations
@@ -19,40 +22,48 @@ import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import save, slices, table
+from .shared import fresh, save, slices, table
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of an island on average, the fill from which a bin is final, and the most rounds.
-ISLAND, FINAL, ROUNDS = 4000, 0.995, 6
+#: Pieces of a block on average, the fill from which a bin is final, and the most rounds.
+BLOCK, FINAL, ROUNDS = 4000, 0.995, 6
+ISLANDS, EPOCHS = 2, 2
 POPULATION, GENERATIONS = 6, 8
-#: Pre-tokens whose ids a Python worker remembers.
-REMEMBERED = 250_000
+#: Bytes of pre-tokens and their ids that a task remembers, and characters of the longest one it does.
+REMEMBERED, LONGEST = 48 << 20, 64
 
-_encoder: dict[tuple, tuple] = {}
-_ids = np.dtype("<u4")
+_libraries: dict[tuple, tuple] = {}
 
 
 class _Remembered(dict):
-    """Ids of pre-tokens as bytes; what is missing is encoded and kept."""
+    """Ids of pre-tokens as bytes; what is missing is encoded and, if short, kept; all is dropped beyond REMEMBERED bytes."""
 
     def __init__(self, encode_one) -> None:
         super().__init__()
-        self.encode_one = encode_one
+        self.encode_one, self.size = encode_one, 0
 
     def __missing__(self, part: str) -> bytes:
-        ids = self[part] = array("I", self.encode_one(part)).tobytes()
+        ids = array("I", self.encode_one(part)).tobytes()
+        if len(part) <= LONGEST:
+            if self.size > REMEMBERED:
+                self.clear()
+                self.size = 0
+            self[part] = ids
+            self.size += 200 + 4 * len(part) + len(ids)
         return ids
 
 
-def _load(path: str, ranks: str | None) -> tuple:
-    """The tokenizer, and its memory of pre-tokens. ``ranks``: the same vocabulary as ranks, which a second library
-    encodes single pre-tokens with, some four times as fast; without it the tokenizer does that, too."""
-    if (path, ranks) not in _encoder:
+def encoder(path: str, ranks: str | None = None):
+    """A function from texts to token ids as little-endian 32-bit bytes, with a memory of pre-tokens of its own. ``ranks``: the
+    tokenizer's vocabulary as ranks, which a second library encodes single pre-tokens with, some four times as fast; without
+    it the tokenizer does that, too. The pre-tokenizer never joins what stands on the two sides of a lone space, which goes
+    with the right side, so such parts are encoded once and remembered. Texts with other white space than lone spaces and
+    line feeds, or with special tokens, go through the tokenizer whole."""
+    if (path, ranks) not in _libraries:  # a vocabulary of fixed size, loaded once by a worker
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,25 +76,25 @@ def _load(path: str, ranks: str | None) -> tuple:
             with open(ranks, "rb") as f:
                 table_ = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
             one = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table_, special_tokens={}).encode_ordinary
-        _encoder.clear()
-        _encoder[path, ranks] = t, _Remembered(one)
-    return _encoder[path, ranks]
+        _libraries.clear()
+        _libraries[path, ranks] = t, one
+    t, one = _libraries[path, ranks]
+    memory = _Remembered(one)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for x in texts:
+            if "<|" in x or "\0" in x or " ".join(x.split()) != x.replace("\n", " "):
+                out.append(array("I", t.encode(x, add_special_tokens=False).ids).tobytes())
+            else:
+                out.append(b"".join(map(memory.__getitem__, x.replace(" ", "\0 ").split("\0"))))
+        return out
+
+    return encode
 
 
 def encode(texts: list[str], path: str, ranks: str | None = None) -> list[bytes]:
-    """Token ids as little-endian 32-bit bytes. The pre-tokenizer never joins what stands on the two sides of a lone space,
-    which goes with the right side, so such parts are encoded once and remembered. Texts with other white space than
-    lone spaces and line feeds, or with special tokens, go through the tokenizer whole."""
-    t, memory = _load(path, ranks)
-    out: list[bytes] = []
-    for x in texts:
-        if "<|" in x or "\0" in x or " ".join(x.split()) != x.replace("\n", " "):
-            out.append(array("I", t.encode(x, add_special_tokens=False).ids).tobytes())
-            continue
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        out.append(b"".join(map(memory.__getitem__, x.replace(" ", "\0 ").split("\0"))))
-    return out
+    return encoder(path, ranks)(texts)
 
 
 def cut(ids: bytes) -> list[tuple[int, int, int, int]]:
@@ -100,10 +111,11 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        of = encoder(tokenizer, ranks)
         for b in slices(batches):
             ids, rows = b.column(0), []
             at = []
-            for i, x in enumerate(encode([t or "" for t in b.column(1).to_pylist()], tokenizer, ranks)):
+            for i, x in enumerate(of([t or "" for t in b.column(1).to_pylist()])):
                 for p in cut(x):
                     at.append(i)
                     rows.append(p)
@@ -164,15 +176,32 @@ def mutate(sizes: np.ndarray, bins: Bins, rng: np.random.Generator) -> Bins:
     return best_fit(sizes, loose, [b for i, b in enumerate(bins) if i not in drop])
 
 
-def evolve(sizes: np.ndarray, seed: int) -> Bins:
+def assignment(bins: Bins, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int32)
+    for k, (_, members) in enumerate(bins):
+        out[members] = k
+    return out
+
+
+def grouping(sizes: np.ndarray, of: np.ndarray) -> Bins:
+    """The bins of an assignment."""
+    fill = np.bincount(of, sizes).astype(int)
+    members: list[list[int]] = [[] for _ in fill]
+    for p, k in enumerate(of.tolist()):
+        members[k].append(p)
+    return [(int(f), m) for f, m in zip(fill, members, strict=True) if m]
+
+
+def evolve(sizes: np.ndarray, population: list[Bins], seed: int) -> list[Bins]:
+    """The population after GENERATIONS more generations, best first; a new one where it is empty. An individual that reaches
+    the lower bound of bins ends the search."""
     rng = np.random.default_rng(seed)
-    n = len(sizes)
-    first = best_fit(sizes, list(range(n)), [])
-    bound = -(-int(sizes.sum()) // CAPACITY)
-    if len(first) <= bound or n < 3:
-        return first
-    population = [first]
-    for _ in range(POPULATION - 1):  # others start from a random half placed at random
+    n, bound = len(sizes), -(-int(sizes.sum()) // CAPACITY)
+    population = population or [best_fit(sizes, list(range(n)), [])]
+    population.sort(key=fitness)
+    if len(population[0]) <= bound or n < 3:
+        return population[:1]
+    while len(population) < POPULATION:  # others start from a quarter placed at random
         order = rng.permutation(n)
         bins: Bins = []
         for p in order[: n // 4]:
@@ -183,58 +212,82 @@ def evolve(sizes: np.ndarray, seed: int) -> Bins:
         population.sort(key=fitness)
         if len(population[0]) <= bound:
             break
-        a, b = rng.integers(0, max(2, len(population) // 2)), rng.integers(0, len(population))
+        a, b = rng.integers(0, POPULATION // 2), rng.integers(0, POPULATION)
         child = crossover(sizes, population[a], population[b], rng) if a != b else mutate(sizes, population[a], rng)
-        population[-1] = child
-        population[-2] = mutate(sizes, population[0], rng)
-    return min(population, key=fitness)
-
-
-def _island(last: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=False, na_position="last").reset_index(drop=True)
-        sizes = rows["length"].to_numpy()
-        island = int(rows["island"].iloc[0])
-        bins = evolve(sizes, island)
-        number, offset, fill = (np.zeros(len(rows), np.int64) for _ in range(3))
-        for k, (f, members) in enumerate(bins):
-            at = 0
-            for p in members:
-                number[p], offset[p], fill[p] = k, at, f
-                at += int(sizes[p])
-        # round, island and number, told apart by their bits
-        rows["sequence_id"] = (int(rows["round"].iloc[0]) << 56) | (island << 24) | number
-        rows["offset"] = offset
-        rows["final"] = last | (fill >= FINAL * CAPACITY)
-        return rows
+        population[-2:] = [mutate(sizes, population[0], rng), child]
+    return sorted(population, key=fitness)[:POPULATION]
+
+
+ISLAND = "block int, island int, lengths array<int>, population array<array<int>>, bins int, unevenness double"
+
+
+def _epoch(seed: int):
+    """One epoch of every island of a batch; what came from another island takes the place of the worst individual."""
+
+    def run(batches):
+        for b in slices(batches, 4):
+            rows = []
+            for r in b.to_pylist():
+                sizes = np.array(r["lengths"], np.int64)
+                found = [grouping(sizes, np.array(of)) for of in r["population"][: POPULATION - (r["migrant"] is not None)]]
+                if r["migrant"] is not None:
+                    found.append(grouping(sizes, np.array(r["migrant"])))
+                found = evolve(sizes, found, seed * 1_000_003 + r["block"] * ISLANDS + r["island"])
+                bins, uneven = fitness(found[0])
+                rows.append((r["block"], r["island"], r["lengths"], [assignment(x, len(sizes)) for x in found], bins, uneven))
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in ISLAND.split(", ")])
 
     return run
 
 
+def best_bins(lengths: DataFrame, seed: int) -> DataFrame:
+    """block, place, bin for ``lengths`` (block, lengths)."""
+    new = lengths.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "lengths", F.array().cast("array<array<int>>").alias("population"))
+    islands = new.withColumn("migrant", F.lit(None).cast("array<int>"))
+    for epoch in range(EPOCHS):
+        grown = save(islands.mapInArrow(_epoch(seed * EPOCHS + epoch), ISLAND), "islands")
+        elite = grown.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.get("population", F.lit(0)).alias("migrant"))
+        islands = grown.select("block", "island", "lengths", "population").join(elite, ["block", "island"])
+    best = grown.groupBy("block").agg(F.min_by(F.get("population", F.lit(0)), F.struct("bins", "unevenness", "island")).alias("best"))
+    return best.select("block", F.posexplode("best").alias("place", "bin"))
+
+
 def pack(parts: DataFrame) -> DataFrame:
     """``parts`` (with doc_id, piece, length, ids_crc32) plus sequence_id and offset."""
+    parts = save(parts.drop("sequence_id", "offset"), "pieces")
     columns = parts.columns
-    parts = save(parts, "pieces")
+    block, place, bin_, fill = fresh(parts, "_block", "_place", "_bin", "_fill")
+    names = [F.col(f"`{c}`") for c in columns]
     whole = parts.where(F.col("length") == CAPACITY).select(
-        *columns, (F.shiftleft(F.lit(63).cast("long"), 56).bitwiseOR(F.monotonically_increasing_id())).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *names, (F.shiftleft(F.lit(63).cast("long"), 56).bitwiseOR(F.monotonically_increasing_id())).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     loose, done, at = parts.where(F.col("length") < CAPACITY), [], 0
     left = loose.count()
-    islands, last = max(1, -(-left // ISLAND)), left <= ISLAND
+    blocks, last = max(1, -(-left // BLOCK)), left <= BLOCK
     while True:
-        key = F.pmod(F.xxhash64(F.lit(at), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(islands))
-        dealt = loose.withColumn("island", key.cast("int")).withColumn("round", F.lit(at))
-        names = [f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema]
-        schema = ", ".join([*names, "sequence_id long", "offset long", "final boolean"])
-        packed = save(dealt.groupBy("island").applyInPandas(_island(last), schema), "packed")
-        done.append(packed.where("final").select(*columns, "sequence_id", "offset"))
+        key = F.pmod(F.xxhash64(F.lit(at), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+        order = Window.partitionBy(block).orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32")
+        # written, since the key of a row run again may differ
+        dealt = save(save(loose.withColumn(block, key), "blocks").withColumn(place, F.row_number().over(order) - 1), "dealt")
+        each = F.array_sort(F.collect_list(F.struct(F.col(place), F.col("length").cast("int").alias("length"))))
+        lengths = dealt.groupBy(F.col(block).alias("block")).agg(each.alias("e")).select("block", F.transform("e", lambda x: x["length"]).alias("lengths"))
+        found = best_bins(lengths, at).toDF(block, place, bin_)
+        own = Window.partitionBy(block, bin_)
+        # round, block and bin, told apart by their bits
+        number = F.lit(at << 56).bitwiseOR(F.shiftleft(F.col(block).cast("long"), 24)).bitwiseOR(F.col(bin_).cast("long"))
+        offset = F.sum("length").over(own.orderBy(place)) - F.col("length")
+        packed = dealt.join(found, [block, place]).select(*names, number.alias("sequence_id"), offset.cast("long").alias("offset"), F.sum("length").over(own).alias(fill))
+        packed = save(packed, "packed")
+        full = F.lit(last) | (F.col(fill) >= FINAL * CAPACITY)
+        done.append(packed.where(full).drop(fill))
         if last:
             break
-        loose, before = packed.where("not final").select(*columns), left
+        loose, before = packed.where(~full).select(*names), left
         left, at = loose.count(), at + 1
-        islands = max(1, -(-left // ISLAND))
+        blocks = max(1, -(-left // BLOCK))
         # where pieces hardly close bins (all over half a bin, say), meeting others anew would not help: all bins are final
-        last = islands == 1 or at == ROUNDS - 1 or left > 0.8 * before
+        last = blocks == 1 or at == ROUNDS - 1 or left > 0.8 * before
     out = whole
     for d in done:
         out = out.union(d)
