@@ -6,7 +6,7 @@ Rows are permuted inside their block, cut along the drawn counts, exchanged, and
 
 Defined cases: null text has size 16 and checksum 0 of the empty string; null ids are rows like others; repeated rows get
 places of their own; an empty table gives an empty result; extra columns are ignored by the query and kept by
-:func:`assign_shards`.
+:func:`assign_shards`, but for columns called shard and slot, which its own take the place of.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import save, table
+from .shared import fresh, save, table
 
 #: Rows of a block at most on average, and the largest number of blocks; the matrix has blocks x shards cells.
 BLOCK_ROWS, MAX_BLOCKS = 20_000, 4096
@@ -45,32 +45,35 @@ def assign_shards(rows: DataFrame, keys: list[str], shards: int, seed: int = 11)
     """``rows`` with shard and slot. ``keys`` order rows; rows equal in all of them are interchangeable. ``rows`` must be
     narrow: it is what moves (twice), so shuffle keys and let the payload follow once by its key."""
     spark = rows.sparkSession
+    rows = rows.drop(*({"shard", "slot"} - set(keys)))
+    block, ends, at, mix, piece, rank, start = fresh(rows, "_block", "_ends", "_at", "_mix", "_piece", "_rank", "_start")
     n = rows.count()
     blocks = int(min(MAX_BLOCKS, max(1, -(-n // BLOCK_ROWS), min(n, 8))))
     # the block number is written, so a recomputed task cannot deal its rows differently
-    placed = save(rows.withColumn("_block", F.pmod(_number(*keys, seed=f"{seed}b") + F.floor(F.rand(seed) * 1e6).cast("long"), F.lit(blocks)).cast("int")), "blocks")
-    found = {r[0]: r[1] for r in placed.groupBy("_block").count().collect()}  # MAX_BLOCKS rows at most
+    drawn = F.pmod(_number(*keys, seed=f"{seed}b") + F.floor(F.rand(seed) * 1e6).cast("long"), F.lit(blocks)).cast("int")
+    placed = save(rows.withColumn(block, drawn), "blocks")
+    found = {r[0]: r[1] for r in placed.groupBy(block).count().collect()}  # MAX_BLOCKS rows at most
     counts = np.array([found.get(i, 0) for i in range(blocks)], np.int64)
-    ends = communication_matrix(counts, shards, seed).cumsum(1)
-    matrix = spark.createDataFrame([(i, [int(x) for x in ends[i]]) for i in range(blocks)], "_block int, _ends array<long>")
-    inside = Window.partitionBy("_block").orderBy(_number(*keys, seed=f"{seed}p"), *keys)
+    edges = communication_matrix(counts, shards, seed).cumsum(1)
+    matrix = spark.createDataFrame([(i, [int(x) for x in edges[i]]) for i in range(blocks)], f"{block} int, {ends} array<long>")
+    inside = Window.partitionBy(block).orderBy(_number(*keys, seed=f"{seed}p"), *keys)
     dealt = (
-        placed.withColumn("_at", F.row_number().over(inside))
-        .join(F.broadcast(matrix), "_block")  # MAX_BLOCKS x shards numbers at most
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e < F.col("_at"))).cast("int"))
-        .drop("_ends", "_block", "_at")
+        placed.withColumn(at, F.row_number().over(inside))
+        .join(F.broadcast(matrix), block)  # MAX_BLOCKS x shards numbers at most
+        .withColumn("shard", F.size(F.filter(ends, lambda e: e < F.col(at))).cast("int"))
+        .drop(ends, block, at)
     )
     mixed = _number(*keys, seed=f"{seed}q")
-    pieces = save(dealt.withColumn("_mix", mixed).withColumn("_piece", F.shiftrightunsigned("_mix", 58).cast("int")), "dealt")
-    sizes = pieces.groupBy("shard", "_piece").count()
-    before = Window.partitionBy("shard").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("shard", "_piece", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_piece").orderBy("_mix", *keys)
+    pieces = save(dealt.withColumn(mix, mixed).withColumn(piece, F.shiftrightunsigned(mix, 58).cast("int")), "dealt")
+    sizes = pieces.groupBy("shard", piece).agg(F.count(F.lit(1)).alias(at))
+    before = Window.partitionBy("shard").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("shard", piece, F.coalesce(F.sum(at).over(before), F.lit(0)).alias(start))
+    order = Window.partitionBy("shard", piece).orderBy(mix, *keys)
     return (
-        pieces.withColumn("_rank", F.row_number().over(order) - 1)
-        .join(F.broadcast(starts), ["shard", "_piece"])  # shards x PIECES rows
-        .withColumn("slot", F.col("_start") + F.col("_rank"))
-        .drop("_piece", "_mix", "_rank", "_start")
+        pieces.withColumn(rank, F.row_number().over(order) - 1)
+        .join(F.broadcast(starts), ["shard", piece])  # shards x PIECES rows
+        .withColumn("slot", F.col(start) + F.col(rank))
+        .drop(piece, mix, rank, start)
     )
 
 
