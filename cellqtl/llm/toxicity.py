@@ -35,8 +35,8 @@ SPAN, DECAY, LETTERS = 5, 0.7, 24
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 60_000
 LANDMARKS = 240
 THRESHOLD = 0.7
-#: Words whose margins a Python worker remembers.
-REMEMBERED = 150_000
+#: Chunks whose margins a task remembers, and characters of the longest one it does.
+REMEMBERED, LONGEST = 150_000, 64
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPELLED = re.compile(r"(?:(?<=\s)|^)\S(?:\s\S){3,}(?=\s|$)")
@@ -342,35 +342,38 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-_memory: dict[str, float] = {}
-_memory_of: list[int] = [0]
-
+class Scorer:
+    """Largest margins of whole texts. Margins of chunks of up to LONGEST characters are remembered, REMEMBERED of them at most,
+    as long as the task that owns the scorer runs."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.memory = model, {}
+
+    def margins(self, texts: list[str | None]) -> np.ndarray:
+        out = np.empty(len(texts))
+        for k in range(0, len(texts), 200):
+            bags = [chunks_of(t) for t in texts[k : k + 200]]
+            if len(self.memory) > REMEMBERED:
+                self.memory.clear()
+            new = list(set().union(*bags) - self.memory.keys())
+            of = dict(zip(new, self.model.chunk_margins(new), strict=True))
+            known = self.memory
+            out[k : k + 200] = [max((of[c] if c in of else known[c] for c in b), default=-9.0) for b in bags]
+            known.update((c, m) for c, m in of.items() if len(c) <= LONGEST)
+        return out
 
-def best_margins(texts: list[str | None], model: Model, token: int) -> np.ndarray:
-    """Largest margin in each whole text. Margins of chunks are remembered between batches of a worker."""
-    if _memory_of[0] != token:
-        _memory.clear()
-        _memory_of[0] = token
-    out = np.empty(len(texts))
-    for k in range(0, len(texts), 500):
-        bags = [chunks_of(t) for t in texts[k : k + 500]]
-        if len(_memory) > REMEMBERED:
-            _memory.clear()
-        new = list(set().union(*bags) - _memory.keys())
-        _memory.update(zip(new, model.chunk_margins(new), strict=True))
-        out[k : k + 500] = [max(map(_memory.__getitem__, b), default=-9.0) for b in bags]
-    return out
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        return self.model.probability(self.margins(texts))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for each row; texts never leave their partition."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few thousand numbers, whatever the input
-    token = id(shared) ^ hash(model.values.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers, whatever the input
 
     def run(batches):
-        for b in slices(batches, 500):
-            p = shared.value.probability(best_margins(b.column(1).to_pylist(), shared.value, token))
+        scorer = Scorer(shared.value)
+        for b in slices(batches):
+            p = scorer.probabilities(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype("int32"))], ["doc_id", "score", "predicted"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -379,16 +382,13 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose predicted class is not toxic."""
-    model = train(docs, labels)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    token = id(shared) ^ hash(model.values.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in slices(batches, 500):
-            p = shared.value.probability(best_margins(b.column(at).to_pylist(), shared.value, token))
-            yield b.filter(pa.array(p < THRESHOLD))
+        scorer = Scorer(shared.value)
+        for b in slices(batches):
+            yield b.filter(pa.array(scorer.probabilities(b.column(at).to_pylist()) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
