@@ -1,19 +1,19 @@
 """Main text of web pages by a host suffix array.
 
-A page becomes blocks. What lies inside ``article`` or ``main`` is text; elements that by name, role or class are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are not. The token streams of what is
-left over, and of the elements left out, are concatenated by host, and their suffixes are ordered to a depth of
-``LENGTH`` tokens: the suffixes with an equal prefix of that depth form one interval of the suffix array, found by an
-aggregate over (host, prefix) and so without bringing a host together. Intervals with two distinct pages are repeated
-substrings; longer ones are unions of overlapping intervals. Blocks outside any article keep their unique runs.
-
-Repetition alone cannot tell boilerplate from passages that articles share, so tokens inside an article are never
+A page becomes blocks, parsed once. What lies inside ``article`` or ``main`` is text; elements that by name, role or a whole class or id
+name are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are not. The token
+streams of what is left over, of the elements left out, and of those inside an article that have such a word as a part of a name only
+(``ad-hoc``, ``related-work``), are concatenated by host, and the suffixes of the streams are named by their first ``LENGTH`` tokens: suffixes
+of one name are one interval of the suffix array, found by an aggregate over names and so without bringing a host together.
+Intervals with two distinct pages are repeated substrings; longer ones are unions of overlapping intervals. Blocks outside
+any article keep their unique runs; a doubtful block inside one is left out when repeated substrings cover more than half of it.
+
+Repetition alone cannot tell boilerplate from passages that articles share, so other tokens inside an article are never
 removed, and pages whose blocks are all decided by their markup do not wait for the suffix array.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags end with their parent, a tag or comment cut off
-at the end of the page is dropped; pages with equal page_id are pages of their own; a null url is a host; repeated rows
-count as one page for repetition when their page_id is equal; an empty table gives an empty result; extra columns are
-ignored.
+at the end of the page is dropped; pages with equal page_id are pages of their own, but count as one page for repetition;
+pages with a null page_id each count; a null url is a host; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import save, table
+from .shared import save, slices, table
 
 #: Tokens of the shortest repeated substring, and the share of a block's characters in links from which it is a menu.
 LENGTH, LINKS = 8, 0.5
@@ -55,21 +55,26 @@ _ATTR = re.compile(r"([a-z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def _left_out(name: str, attrs: str, inside: bool) -> bool:
+def _left_out(name: str, attrs: str, inside: bool) -> str:
+    """out: left out by its markup; doubt: a class or id name has a telling word as one of its parts; else empty."""
     if name in DROPPED:
-        return True
+        return "out"
     if name == "header":
-        return not inside
+        return "" if inside else "out"
     if not attrs or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", ""):
-        return True
-    return bool(NAMES & {*_SPLIT.split(a.get("class", "")), *_SPLIT.split(a.get("id", ""))})
+        return "out"
+    names = {*a.get("class", "").split(), *a.get("id", "").split()}
+    if NAMES & names:
+        return "out"
+    return "doubt" if any(NAMES.intersection(_SPLIT.split(n)) for n in names) else ""
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """(kind, text, characters in links) of each block in page order; kind: main, other, or out (left out by its markup)."""
+    """(kind, text, characters in links) of each block in page order; kind: main, other, out (left out by its markup), or doubt
+    (inside an article, but perhaps boilerplate)."""
     found: list[tuple[str, str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []  # name, kind of its content
@@ -115,12 +120,13 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             flush()
             while stack and name in CLOSED_BY_NEXT.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-        if name in VOID or m["attrs"].endswith("/"):
+        if name in VOID:  # a slash at the end of any other tag means nothing
             continue
         inside = kind
         if kind != "out":
-            if _left_out(name, m["attrs"], kind == "main"):
-                inside = "out"
+            how = _left_out(name, m["attrs"], kind in ("main", "doubt"))
+            if how == "out" or how == "doubt" and kind == "main":
+                inside = how
                 flush()
             elif name in ("article", "main") or (m["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", m["attrs"], re.I)):
                 inside = "main"
@@ -134,9 +140,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
 
 
 def decided(found: list[tuple[str, str, int]]) -> bool:
-    """Whether markup alone tells a page's text: it has an article, or nothing is left over."""
+    """Whether markup alone tells a page's text: it has an article without doubtful blocks, or nothing is left over."""
     kinds = {k for k, _, _ in found}
-    return "main" in kinds or "other" not in kinds
+    return "doubt" not in kinds and ("main" in kinds or "other" not in kinds)
 
 
 def stream(found: list[tuple[str, str, int]]) -> list[str]:
@@ -158,19 +164,27 @@ def prefixes(host: str, tokens: list[str]) -> np.ndarray:
 
 
 def unique_text(host: str, found: list[tuple[str, str, int]], repeated: set[int]) -> str:
-    """What stays of a page without an article: of each left-over block that is no menu the tokens that no repeated
+    """What stays of a page that markup alone does not decide. With an article: its blocks, without the doubtful ones that
+    repeated substrings cover by more than half. Without: of each left-over block that is no menu the tokens that no repeated
     substring covers."""
-    tokens, covered = stream(found), None
+    tokens = stream(found)
     covered = np.zeros(len(tokens), bool)
     for i, h in enumerate(prefixes(host, tokens).tolist()):
         if h in repeated:
             covered[i : i + LENGTH] = True
+    article = any(kind in ("main", "doubt") for kind, _, _ in found)
     out, at = [], 0
     for kind, text, linked in found:
+        if kind == "main":
+            out.append(text)
+            continue
         n = len(text.split())
-        if kind == "other" and linked < LINKS * len(text):
-            out += [w for w, c in zip(tokens[at : at + n], covered[at : at + n], strict=True) if not c]
+        gone = covered[at : at + n]
         at += n
+        if kind == "doubt" and 2 * gone.sum() <= n:
+            out.append(text)
+        elif kind == "other" and not article and linked < LINKS * len(text):
+            out += [w for w, c in zip(text.split(), gone, strict=True) if not c]
     return " ".join(out)
 
 
@@ -181,51 +195,39 @@ def host_of(url: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text of every page."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    pages = pages.select("page_id", "url", "html")
-
-    def suffixes(batches):
-        for b in batches:
-            owner, found = [], []
-            for i, (url, html) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                h = np.unique(prefixes(host_of(url), stream(blocks(html))))
-                owner.append(np.full(len(h), i))
-                found.append(h)
-            at = np.concatenate([*owner, np.zeros(0, int)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], ["page_id", "prefix"])
-
-    def by_markup(batches):
-        for b in batches:
-            keep, texts = [], []
-            for html in b.column(2).to_pylist():
-                found = blocks(html)
-                keep.append(decided(found))
-                if keep[-1]:
-                    texts.append(" ".join(t for k, t, _ in found if k == "main"))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    block = "array<struct<kind:string,text:string,linked:int>>"
+    pieces = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("linked", pa.int32())]))
 
-    def left_over(batches):
-        for b in batches:
-            yield b.filter(pa.array([not decided(blocks(html)) for html in b.column(2).to_pylist()], pa.bool_()))
+    def parse(batches):
+        for b in slices(batches):
+            texts, left, names = [], [], []
+            for url, html in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                found = blocks(html)
+                sure = decided(found)
+                texts.append(" ".join(t for k, t, _ in found if k == "main") if sure else None)
+                left.append(None if sure else [{"kind": k, "text": t, "linked": n} for k, t, n in found])
+                names.append(np.unique(prefixes(host_of(url), stream(found))))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(left, pieces), pa.array(names, pa.list_(pa.int64()))], ["page_id", "url", "text", "blocks", "prefixes"])
 
     def by_suffixes(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [
-                unique_text(host_of(url), blocks(html), set(repeated or ()))
-                for url, html, repeated in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+                unique_text(host_of(url), [(x["kind"], x["text"], x["linked"]) for x in found], set(repeated or ()))
+                for url, found, repeated in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    out = f"page_id {kind}, url string, text string"
-    sure = pages.mapInArrow(by_markup, out)
-    open_ = save(pages.mapInArrow(left_over, pages.schema), "open-pages")
-    rows = pages.mapInArrow(suffixes, f"page_id {kind}, prefix long")
+    schema = f"page_id {kind}, url string, text string, blocks {block}, prefixes array<long>"
+    row = F.monotonically_increasing_id()
+    parsed = save(pages.select("page_id", "url", "html").mapInArrow(parse, schema).withColumn("row", row), "parsed")
+    page = F.when(F.col("page_id").isNull(), F.struct(F.lit(1).alias("k"), F.col("row").alias("v"))).otherwise(F.struct(F.lit(0).alias("k"), F.xxhash64("page_id").alias("v")))
+    rows = parsed.select(page.alias("page"), F.explode("prefixes").alias("prefix"))
     # an interval of the suffix array at depth LENGTH: the least and the greatest page tell whether it has two
-    repeated = rows.groupBy("prefix").agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).where("lo <> hi").select("prefix")
-    mine = open_.mapInArrow(suffixes, f"page_id {kind}, prefix long").distinct()
-    of_page = mine.join(repeated, "prefix", "left_semi").groupBy("page_id").agg(F.collect_list("prefix").alias("repeated")).withColumnRenamed("page_id", "_page")
-    rest = open_.join(of_page, open_["page_id"].eqNullSafe(of_page["_page"]), "left").select("page_id", "url", "html", "repeated")
-    return sure.union(rest.mapInArrow(by_suffixes, out))
+    repeated = rows.groupBy("prefix").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).where("lo <> hi").select("prefix")
+    open_ = parsed.where("text is null")
+    mine = open_.select("row", F.explode("prefixes").alias("prefix")).join(repeated, "prefix", "left_semi").groupBy("row").agg(F.collect_list("prefix").alias("repeated"))
+    rest = open_.join(mine, "row", "left").select("page_id", "url", "blocks", "repeated").mapInArrow(by_suffixes, f"page_id {kind}, url string, text string")
+    return parsed.where("text is not null").select("page_id", "url", "text").union(rest)
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
