@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, save, table
+from .shared import new_path, save, slices, table
 
 WIDTH = 64
 #: Bytes of a member's start that hold all metadata: signature, IHDR, tEXt with the unpadded length.
@@ -120,7 +120,7 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         shard, known = None, {}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 data = (text or "").encode()
@@ -210,9 +210,13 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its content's digest, shard, offset and length, the metadata that header-only reads fill in, and what
+    is computed from the stored bytes."""
     rows, members = store(table(spark, sf_dir, "documents"))
-    read = read_features(members.sortWithinPartitions("shard", "offset")).withColumnRenamed("digest", "_digest")
-    out = rows.join(read, rows["digest"] == read["_digest"])
-    return out.select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"
-    )
+    members = save(members.sortWithinPartitions("shard", "offset"), "contents")
+    meta = read_metadata(members).select(F.col("digest").alias("_d"), "width", "height", F.col("n_bytes").alias("_n"))
+    read = read_features(members).drop("width", "height").withColumnRenamed("digest", "_digest")
+    place = members.select("digest", "shard", "offset", "length")
+    known = place.join(meta, place["digest"] == meta["_d"]).join(read, place["digest"] == read["_digest"]).drop("_d", "_n", "_digest")
+    columns = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature width height shard offset length".split()
+    return rows.join(known, "digest").select("doc_id", *columns, F.lower(F.hex("digest")).alias("digest"))
