@@ -67,3 +67,21 @@ def variant_type(alleles: Column) -> Column:
 def signif_group(a: Column, b: Column, alpha: float) -> Column:
     x, y = a <= alpha, b <= alpha
     return F.when(x & y, "Both").when(x, "Discovery").when(y, "Replication").otherwise("Neither")
+
+
+def concat_variant(c: Column, sep: str = ":") -> Column:
+    """F9. ``chr:pos:a:b`` with its two alleles in alphabetic order."""
+    part = F.split(c, sep)
+    a, b = F.get(part, F.lit(2)), F.get(part, F.lit(3))
+    return F.concat_ws(sep, F.get(part, F.lit(0)), F.get(part, F.lit(1)), F.least(a, b), F.greatest(a, b))
+
+
+def minus_log10(p: Column) -> Column:
+    """F10. -log10(p); null where p is not above 0."""
+    return F.when(p > 0, -F.log10(p))
+
+
+def bounds_group(a: Column, b: Column, low: float, high: float, names: tuple[str, str]) -> Column:
+    """F20, the quality-control twin: which of two values lie strictly inside the bounds."""
+    x, y = (a > low) & (a < high), (b > low) & (b < high)
+    return F.when(x & y, "both").when(x, names[0]).when(y, names[1]).otherwise("neither")

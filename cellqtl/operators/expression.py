@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import correlation_p
 from ..functions.scalars import normal_quantile
 
 
@@ -33,6 +34,15 @@ def filter_genes(expr: DataFrame, min_obs: int, min_cpm: float) -> DataFrame:
     return g.where((F.col("_v") != 0) & (F.col("n_obs") > min_obs) & (F.col("mean_cpm") > min_cpm)).drop("_v")
 
 
+def filter_steps(expr: DataFrame, min_obs: int, min_cpm: float) -> DataFrame:
+    """H11. (filter, n_genes) after each step: Input, Varfilter, MinObsFilter, CPMFilter."""
+    size = expr.groupBy("sample").agg(F.sum("value").alias("_size"))
+    g = expr.join(size, "sample").groupBy("gene").agg((F.var_samp("value") != 0).alias("_v"), (F.count_if(F.col("value") > 0) > min_obs).alias("_o"), (F.avg(F.col("value") / F.col("_size") * 1e6) > min_cpm).alias("_c"))
+    v, o, c = (F.coalesce(F.col(x), F.lit(False)) for x in ("_v", "_o", "_c"))
+    steps = {"Input": F.lit(True), "Varfilter": v, "MinObsFilter": v & o, "CPMFilter": v & o & c}
+    return g.agg(F.array(*(F.struct(F.lit(k).alias("filter"), F.count_if(x).alias("n_genes")) for k, x in steps.items())).alias("_s")).select(F.inline("_s"))
+
+
 def proportional_fit(counts: DataFrame, log1p: bool = False) -> DataFrame:
     """H13. Each cell scaled to the mean depth of all cells, optionally followed by log(1 + x)."""
     depth = counts.groupBy("barcode").agg(F.sum("cnt").alias("_d"))
@@ -41,6 +51,12 @@ def proportional_fit(counts: DataFrame, log1p: bool = False) -> DataFrame:
     return counts.join(depth, "barcode").join(F.broadcast(mean)).withColumn("fit", F.log1p(fit) if log1p else fit).drop("_d", "_m")
 
 
+def fit_chain(counts: DataFrame) -> DataFrame:
+    """H13. Raw counts scaled to the mean depth with log(1 + x), and these scaled again to their own mean depth."""
+    once = proportional_fit(counts, True).select("barcode", "gene", F.col("fit").alias("cnt"))
+    return proportional_fit(once).select("barcode", "gene", "fit")
+
+
 def matched_correlation(a: DataFrame, b: DataFrame, by: str, method: str = "pearson") -> DataFrame:
     """H16 and H4. Correlation of two matrices over their common cells, for each gene or each sample; Spearman's is
     Pearson's of average ranks. Null where a side hardly varies."""
@@ -52,6 +68,26 @@ def matched_correlation(a: DataFrame, b: DataFrame, by: str, method: str = "pear
     return j.groupBy(by).agg(F.count("*").alias("n"), F.when(varies, F.corr("x", "y")).alias("r"))
 
 
+def matched_correlation_by_dataset(a: DataFrame, b: DataFrame, links: DataFrame, center: bool = False) -> DataFrame:
+    """H16. For each gene across samples, in each dataset (expression_id, dataset of ``links``) and over all (null; left out with one dataset): number and
+    Pearson's r; ``center`` takes each gene's mean out first."""
+    x = lambda m, v: m.select("gene", "sample", F.col("value").cast("double").alias(v))
+    j = x(a, "x").join(x(b, "y"), ["gene", "sample"]).join(links.select(F.col("expression_id").alias("sample"), "dataset"), "sample")
+    if center:
+        w = Window.partitionBy("gene")
+        j = j.withColumns({c: F.col(c) - F.avg(c).over(w) for c in ("x", "y")})
+    varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
+    g = j.groupingSets([[F.col("gene")], [F.col("gene"), F.col("dataset")]], "gene", "dataset").agg(F.grouping("dataset").alias("_all"), F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "y")).alias("r"))
+    many = j.select("dataset").distinct().agg((F.count(F.lit(1)) > 1).alias("_many"))
+    return g.join(F.broadcast(many)).where("_all = 0 OR _many").drop("_all", "_many")
+
+
+def all_sample_correlations(a: DataFrame, b: DataFrame) -> DataFrame:
+    """H16. Every sample of one matrix against every one of the other over their common genes: sums of products that meet by gene."""
+    x = lambda m, s: m.select("gene", F.col("sample").alias(f"sample_{s}"), F.col("value").cast("double").alias(f"_{s}"))
+    return x(a, "a").join(x(b, "b"), "gene").groupBy("sample_a", "sample_b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_samp("_a") > 1e-7) & (F.stddev_samp("_b") > 1e-7), F.corr("_a", "_b")).alias("r"))
+
+
 def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str]) -> DataFrame:
     """H17. Every listed column of one table against every one of the other over rows with both values, in one pass."""
     x = a.select(key, *(F.col(c).cast("double").alias(f"a_{c}") for c in columns_a))
@@ -60,6 +96,21 @@ def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[st
     return x.join(y, key).select(F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("column_a", "column_b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
 
 
+def masked_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], drop_paired_zero: bool = False, triangle: bool = False, alpha: float = 0.05) -> DataFrame:
+    """H17 with p values: r is 0 where p is not below alpha, null where a column hardly varies. ``drop_paired_zero`` leaves rows out in which both are 0;
+    ``triangle`` keeps each pair of a table with itself once."""
+    x = a.select(key, *(F.col(c).cast("double").alias(f"a_{c}") for c in columns_a))
+    y = b.select(key, *(F.col(c).cast("double").alias(f"b_{c}") for c in columns_b))
+    wanted = [(p, q) for i, p in enumerate(columns_a) for k, q in enumerate(columns_b) if not triangle or k < i]
+    pairs = F.array(*(F.struct(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), F.col(f"a_{p}").alias("x"), F.col(f"b_{q}").alias("y")) for p, q in wanted))
+    rows = x.join(y, key).select(F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL")
+    if drop_paired_zero:
+        rows = rows.where("NOT (x = 0 AND y = 0)")
+    varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
+    g = rows.groupBy("column_a", "column_b").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "y")).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+    return g.withColumn("masked_r", F.when(F.col("r").isNotNull(), F.when(F.col("p") < alpha, F.col("r")).otherwise(0.0)))
+
+
 def outliers(scores: DataFrame, z: float = 3.0) -> DataFrame:
     """H7. Samples of which some component lies z or more standard deviations from its mean; one that does not vary has none."""
     m = scores.groupBy("component").agg(F.avg("value").alias("_m"), F.nullif(F.stddev_samp("value"), F.lit(0.0)).alias("_s"))

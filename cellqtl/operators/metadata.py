@@ -4,15 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import same
 
-def build_cell_metadata(cells: DataFrame, droplets: DataFrame, cell_types: DataFrame, donors: DataFrame) -> DataFrame:
-    """J1. Cells with a droplet call (inner), their cell type and their donor (left). A repeated barcode is an error."""
-    m = cells.join(droplets, ["barcode", "pool"]).join(cell_types, "barcode", "left").join(donors, "sample", "left")
-    n = F.count("*").over(Window.partitionBy("barcode"))
-    return m.withColumn("_n", F.when(n > 1, F.raise_error(F.lit("repeated barcode"))).otherwise(n)).where("_n = 1").drop("_n")
+
+def build_cell_metadata(cells: DataFrame, droplets: DataFrame, cell_types: DataFrame, donors: DataFrame, pairing: DataFrame | None = None) -> DataFrame:
+    """J1. Cells with a droplet call (inner; the dataset is part of the key where both have it), their cell type, their donor (of the same dataset where
+    both have it) and what is paired with their sample (left). A repeated barcode is an error."""
+    both = lambda a, b, keys: [k for k in keys if k in a.columns and k in b.columns]
+    m = cells.join(droplets, both(cells, droplets, ["barcode", "pool", "dataset"])).join(cell_types, "barcode", "left")
+    m = m.join(donors, both(m, donors, ["sample", "dataset"]), "left")
+    if pairing is not None:
+        m = m.join(pairing, both(m, pairing, ["sample", "dataset"]), "left")
+    repeated = m.groupBy("barcode").agg(F.count(F.lit(1)).alias("_n"))
+    return m.join(repeated, "barcode").withColumn("_n", F.when(F.col("_n") > 1, F.raise_error(F.lit("repeated barcode"))).otherwise(F.col("_n"))).where("_n = 1").drop("_n")
+
+
+def assignment_key(metadata: DataFrame, lane: str = "pool") -> DataFrame:
+    """J1. The name ``sample;;lane`` of a donor in one run."""
+    return metadata.withColumn("assignment_run_lane", F.concat_ws(";;", "sample", lane))
 
 
 def attach_barcode_qc(metadata: DataFrame, qc: DataFrame) -> DataFrame:
@@ -26,6 +39,15 @@ def sample_overlap(sets: dict[str, DataFrame], key: str = "sample") -> DataFrame
     return reduce(DataFrame.unionByName, tagged).groupBy(key).agg(*(F.bool_or(F.col("_s") == n).alias(f"in_{n}") for n in sets))
 
 
+def overlap_sizes(sets: dict[str, DataFrame], key: str = "sample") -> DataFrame:
+    """J11. Size of each set and of every intersection: one row per combination of sets, with the samples that all of them hold."""
+    held = sample_overlap(sets, key)
+    names = list(sets)
+    groups = [[n for i, n in enumerate(names) if k >> i & 1] for k in range(1, 1 << len(names))]
+    each = [F.struct(F.lit("+".join(g)).alias("sets"), F.count_if(reduce(Column.__and__, (F.col(f"in_{n}") for n in g))).alias("n")) for g in groups]
+    return held.agg(F.array(*each).alias("_s")).select(F.inline("_s"))
+
+
 def barcode_sources(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
     """J14. All barcodes of two lists with a flag for each list."""
     return sample_overlap({names[0]: a, names[1]: b}, key)
@@ -44,6 +66,14 @@ def demux_match_rate(ref: DataFrame, alt: DataFrame, unassigned: str) -> DataFra
     return out.withColumns({"pct_total": 100 * F.col("matched") / F.col("total"), "pct_assigned": F.try_divide(100 * F.col("matched"), F.col("assigned"))})
 
 
+def demux_match_by_method(ref: DataFrame, calls: DataFrame, unassigned: str) -> DataFrame:
+    """J16. The same by method and pool, with the rows of each method over all pools (null pool). ``calls`` has barcode, method, call."""
+    j = ref.select("barcode", "pool", F.col("call").alias("_r")).join(calls.select("barcode", "method", F.col("call").alias("_a")), "barcode")
+    g = j.groupingSets([[F.col("method")], [F.col("method"), F.col("pool")]], "method", "pool")
+    out = g.agg(F.count("*").alias("total"), F.count_if(F.col("_a") != unassigned).alias("assigned"), F.count_if(F.col("_a") == F.col("_r")).alias("matched"))
+    return out.withColumns({"pct_total": 100 * F.col("matched") / F.col("total"), "pct_assigned": F.try_divide(100 * F.col("matched"), F.col("assigned"))})
+
+
 def consensus_droplet_type(df: DataFrame, a: str, b: str) -> DataFrame:
     """F21. A singlet is one for both tools."""
     return df.withColumn("droplet", F.when((F.col(a) == "singlet") & (F.col(b) == "singlet"), "singlet").otherwise("doublet"))
@@ -60,6 +90,24 @@ def settings_grid(stats: DataFrame, settings: list[str], datasets: list) -> Data
     return wide.withColumn("total", reduce(Column.__add__, (F.coalesce(F.col(f"`{x}`"), F.lit(0)) for x in datasets)))
 
 
+def genes_grid(stats: DataFrame, settings: list[str], steps: list[str]) -> DataFrame:
+    """A7. Genes left after each filter step (filter, n_genes) for every combination of settings, one column per step."""
+    return stats.groupBy(*settings).pivot("filter", steps).agg(F.sum("n_genes"))
+
+
+def pipeline_overview(stats: DataFrame, genes: DataFrame, links: DataFrame, steps: dict[str, str]) -> DataFrame:
+    """A17. By cell type and dataset, and over all datasets (null): samples and cells, those that are PCA outliers and those kept, and the genes left
+    after each filter. ``stats`` has cell_type, dataset, sample, n_cells; ``genes`` cell_type, filter, n_genes; ``links`` cell_type, sample,
+    include; ``steps`` names the filters' columns."""
+    j = stats.join(links.select("cell_type", "sample", "include"), ["cell_type", "sample"], "left")
+    kept, gone, cells = F.col("include"), ~F.col("include"), F.col("n_cells")
+    each = [F.count(F.lit(1)).alias("n_samples"), F.sum(cells).alias("n_cells"), F.count_if(gone).alias("n_outliers"), F.coalesce(F.sum(F.when(gone, cells)), F.lit(0)).alias("cells_removed")]
+    each += [F.count_if(kept).alias("n_kept"), F.coalesce(F.sum(F.when(kept, cells)), F.lit(0)).alias("cells_kept")]
+    g = j.groupingSets([[F.col("cell_type")], [F.col("cell_type"), F.col("dataset")]], "cell_type", "dataset").agg(*each)
+    wide = genes.groupBy("cell_type").agg(*(F.sum(F.when(F.col("filter") == k, F.col("n_genes"))).alias(v) for k, v in steps.items()))
+    return g.join(wide, "cell_type", "left")
+
+
 def confusion_all_columns(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """A11. For every shared column, how often a label of one table meets a label of the other, as shares of both."""
     long = lambda df, v: df.select(*keys, *(F.col(c).cast("string").alias(c) for c in columns)).unpivot(keys, columns, "column", v)
@@ -83,13 +131,26 @@ def qtl_results_overview(top: DataFrame, by: list[str], p_columns: list[str], al
     return top.groupBy(*by).agg(F.count_distinct("gene").alias("n_genes"), F.count_if(F.length("alleles") == 3).alias("n_snps"), F.round(F.avg("n"), 1).alias("mean_n"), *below)
 
 
+def qtl_overview_full(top: DataFrame, by: list[str], p_columns: list[str], alpha: float, z_alpha: float) -> DataFrame:
+    """A16 with the sum of tested variants, the number of groups, and for each dataset of the map ``zs`` the genes whose absolute z is at least
+    z_alpha. A p column in which nothing is a number has null."""
+    number = lambda p: F.col(p).cast("string").try_cast("double")
+    below = [F.when(F.count(number(p)) > 0, F.count_if(number(p) < alpha)).alias(f"n_{p}") for p in p_columns]
+    out = top.groupBy(*by).agg(
+        F.count_distinct("group").alias("n_groups"), F.count_distinct("gene").alias("n_genes"), F.sum("n_tested").alias("n_tested"), F.count_if(F.length("alleles") == 3).alias("n_snps"), F.round(F.avg("n"), 1).alias("mean_n"), *below
+    )
+    each = top.select(*by, F.explode("zs").alias("dataset", "_z")).groupBy(*by, "dataset").agg(F.count_if(F.abs("_z") >= z_alpha).alias("k"))
+    zs = each.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", "k")))).alias("n_z"))
+    return out.join(zs, by, "left")
+
+
 def average_read_count(weights: DataFrame) -> DataFrame:
     """A18. Mean weight over all cells of all files."""
     return weights.agg(F.avg("weight").alias("average"))
 
 
 def samples_per_celltype(cells: DataFrame) -> DataFrame:
-    """A24. By cell type: donors with a cell that passes, and such cells."""
+    """A24. By cell type: donors and cells of ``cells``, which the caller has filtered (see :func:`cells.passing_cells`)."""
     return cells.groupBy("cell_type").agg(F.count_distinct("sample").alias("n_samples"), F.count("*").alias("n_cells"))
 
 
@@ -101,6 +162,21 @@ def matrix_identity(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("identical"))
 
 
+def differing_entries(a: DataFrame, b: DataFrame) -> DataFrame:
+    """A25. The entries of shared cells and genes that are not equal, with both values."""
+    shared = {k: a.select(k).distinct().join(b.select(k).distinct(), k, "left_semi") for k in ("barcode", "gene")}
+    cut = lambda df, v: df.join(shared["barcode"], "barcode", "left_semi").join(shared["gene"], "gene", "left_semi").select("barcode", "gene", F.col("cnt").alias(v))
+    return cut(a, "x").join(cut(b, "y"), ["barcode", "gene"], "full").fillna(0, ["x", "y"]).where("x <> y")
+
+
+def kept_share(tally: DataFrame, kept: DataFrame) -> DataFrame:
+    """A23. By chromosome and over all (null): rejected, kept and the percentage kept. ``tally`` is A23's, in which a variant may have several
+    reasons, so rejected ones come from ``kept`` (chr, rejected, kept) where that counts them."""
+    g = kept.rollup("chr").agg(F.sum("rejected").alias("rejected"), F.sum("kept").alias("kept"))
+    reasons = tally.groupBy("chr").agg(F.count(F.lit(1)).alias("n_reasons"))
+    return same(g, reasons, ["chr"], "left").withColumn("pct_kept", F.try_divide(100.0 * F.col("kept"), F.col("kept") + F.col("rejected")))
+
+
 def filter_log_tally(log: DataFrame, cr: float, maf: float, hwe: float) -> DataFrame:
     """A23. Rejected variants by reason; the pre-filter's are told apart by the values in ``CR=..;MAF=..;HWE=..``
     (an HWE of -1 is not a value)."""
@@ -120,6 +196,28 @@ def gene_batches(genes: DataFrame, n: int) -> DataFrame:
     return ranked.join(before.select("chr", "_before"), "chr").withColumn("batch", F.floor((F.col("_before") + F.col("_r") - 1) / n)).drop("_before", "_r")
 
 
+def grouped_batches(groups: DataFrame, n: int, overflow: int) -> DataFrame:
+    """W7 with groups. ``groups`` has chr, group, start and n_genes. Whole groups in order go into a batch of n genes; one that would make it larger than
+    n + overflow opens the next. The greedy scan is over groups, and each chromosome is one on its own: batches end with a chromosome."""
+
+    def scan(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["start", "group"])
+        batch, fill, out = 0, 0, []
+        for k in x["n_genes"]:
+            if fill and (fill >= n or fill + k > n + overflow):
+                batch, fill = batch + 1, 0
+            fill += k
+            out.append(batch)
+        return x.assign(chr_batch=out)[["chr", "group", "chr_batch"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
+    scanned = groups.select("chr", "group", "start", "n_genes").groupBy("chr").applyInPandas(scan, f"chr {kinds['chr']}, group {kinds['group']}, chr_batch int")
+    sizes = scanned.groupBy("chr").agg((F.max("chr_batch") + 1).alias("_k"))
+    order = Window.orderBy(F.col("chr").cast("string").try_cast("int").asc_nulls_last(), F.col("chr").cast("string")).rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("chr", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_before"))  # a row for each chromosome
+    return scanned.join(first, "chr").select("chr", "group", (F.col("_before") + F.col("chr_batch")).alias("batch"))
+
+
 def exclude_duplicate_donors(stats: DataFrame, excluded: DataFrame) -> DataFrame:
     """W8. Samples to leave out: those listed already, and of a donor in several datasets all but the one with most cells."""
     left = stats.join(excluded.select("sample", "dataset"), ["sample", "dataset"], "left_anti")
@@ -147,6 +245,27 @@ def merge_covariates(matrices: list[DataFrame]) -> DataFrame:
     return all_.join(full, "sample", "left_semi")
 
 
+def join_corrected(matrices: list[DataFrame]) -> DataFrame:
+    """U3, the other axis. Matrices of corrected values (gene, sample, value) of several datasets side by side: genes that all have; a sample in two of them is
+    an error."""
+    tagged = reduce(DataFrame.unionByName, (m.withColumn("_of", F.lit(i)) for i, m in enumerate(matrices)))
+    seen = tagged.groupBy("sample").agg(F.count_distinct("_of").alias("_k"))
+    full = tagged.groupBy("gene").agg(F.count_distinct("_of").alias("_n")).where(F.col("_n") == len(matrices))
+    out = tagged.join(full, "gene", "left_semi").join(seen, "sample")
+    return out.withColumn("_k", F.when(F.col("_k") > 1, F.raise_error(F.lit("sample in two matrices"))).otherwise(F.col("_k"))).where("_k = 1").drop("_k", "_of")
+
+
+def densify_genotypes(merged: DataFrame) -> DataFrame:
+    """U4, for an export. A row for every variant and sample, ./. where no study has one. The samples of each variant are an array beside the variant,
+    so no product of two tables is joined; the result has as many cells as the file."""
+    everyone = merged.agg(F.array_sort(F.collect_set("sample")).alias("_all"))  # one row: a file's header
+    held = merged.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("_m")).join(F.broadcast(everyone))
+    cells = F.transform("_all", lambda s: F.struct(s.alias("sample"), F.element_at("_m", s).alias("dosage")))
+    out = held.select("snp", F.explode(cells).alias("_c")).select("snp", "_c.sample", "_c.dosage")
+    gt = F.when(F.col("dosage").isNull(), "./.").otherwise(F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("dosage").cast("int") + 1))
+    return out.withColumn("gt", gt)
+
+
 def merge_genotypes(studies: dict[str, DataFrame]) -> DataFrame:
     """U4. Genotypes of several studies; a sample name in more than one study gets the study in front."""
     rows = reduce(DataFrame.unionByName, (df.withColumn("study", F.lit(n)) for n, df in studies.items()))

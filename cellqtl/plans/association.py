@@ -32,7 +32,7 @@ def f5(spark, d):
 @query("f6_fill_missing_stats", """SELECT flag, gene, snp, CASE WHEN ea = 'A' THEN 'G' ELSE 'A' END AS oa, ROUND(LEAST(p, 1 - p), 6) AS maf, CAST(floor(n / LEAST(p, 1 - p) / 2) AS BIGINT) AS n, ROUND(LEAST(1.0, p * 5), 6) AS bonferroni FROM v_effects WHERE p < 1""")
 def f6(spark, d):
     e = view(spark, d, "v_effects").where("p < 1").select("flag", "gene", "snp", "ea", F.lit("A/G").alias("alleles"), F.col("p").alias("af"), F.col("n").alias("mac"), "p", F.lit(5).alias("n_tests"))
-    return _round(G.fill_missing_stats(e), "maf", "bonferroni").select("flag", "gene", "snp", "oa", "maf", "n", "bonferroni")
+    return _round(G.fill_missing_stats(e, infer=False), "maf", "bonferroni").select("flag", "gene", "snp", "oa", "maf", "n", "bonferroni")
 
 
 _STATS = "SELECT snp, COUNT(*) AS n, COUNT(dosage) AS called, SUM(dosage) / 2 / COUNT(dosage) AS af, COUNT(*) FILTER (dosage = 0) AS n0, COUNT(*) FILTER (dosage = 1) AS n1, COUNT(*) FILTER (dosage = 2) AS n2 FROM v_genotypes GROUP BY snp"
@@ -111,10 +111,16 @@ def w6(spark, d):
     return G.merge_top_effects(t.where("gene % 3 < 2").unionByName(t.where("gene % 3 > 0")))
 
 
-_RB = """SELECT a, b, 0.01::DOUBLE AS se FROM (SELECT x.beta AS a, x.beta * 0.7 + y.beta AS b FROM v_effects x JOIN v_effects y ON x.gene = y.gene AND x.snp = y.snp WHERE x.flag = 'A' AND y.flag = 'R') q"""
+_RB = """SELECT a, b, u, v FROM (SELECT x.beta AS a, x.beta * 0.7 + y.beta AS b, x.beta_se / 10 AS u, y.beta_se / 10 AS v FROM v_study x JOIN v_study y ON x.gene = y.gene AND x.snp = y.snp WHERE x.flag = 'A' AND y.flag = 'R') q"""
 
 
-@query("h3_rb", f"SELECT COUNT(*) AS n, ROUND(covar_samp(a, b) / sqrt((var_samp(a) - 0.0001::DOUBLE) * (var_samp(b) - 0.0001::DOUBLE)), 6) AS rb FROM ({_RB}) z")
+@query("h3_rb", f"""SELECT n, ROUND(r, 6) AS rb FROM (SELECT COUNT(*) AS n, covar_samp(a, b) / sqrt((var_samp(a) - AVG(u * u)) * (var_samp(b) - AVG(v * v))) AS r FROM ({_RB}) z) y""")
 def h3(spark, d):
-    x = _flag(spark, d, "A").select("gene", "snp", F.col("beta").alias("b1")).join(_flag(spark, d, "R").select("gene", "snp", F.col("beta").alias("_y")), ["gene", "snp"])
-    return _round(G.rb(x.select("b1", F.lit(0.01).alias("se1"), (F.col("b1") * 0.7 + F.col("_y")).alias("b2"), F.lit(0.01).alias("se2"))), "rb").select("n", "rb")
+    return _round(G.rb(_rb(spark, d)), "rb").select("n", "rb")
+
+
+def _rb(spark, d):
+    s = lambda flag: view(spark, d, "v_study").where(F.col("flag") == flag)
+    x = s("A").select("gene", "snp", F.col("beta").alias("b1"), (F.col("beta_se") / 10).alias("se1"))
+    y = s("R").select("gene", "snp", F.col("beta").alias("_y"), (F.col("beta_se") / 10).alias("se2"))
+    return x.join(y, ["gene", "snp"]).select("b1", "se1", (F.col("b1") * 0.7 + F.col("_y")).alias("b2"), "se2")

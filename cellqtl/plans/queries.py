@@ -104,13 +104,13 @@ FROM (SELECT * FROM v_effects WHERE flag = 'A') a LEFT JOIN (SELECT * FROM v_eff
 
 @_query("j4_overlap_effects", _OVERLAP)
 def j4(spark, d):
-    return E.overlap_effects(_effects(spark, d, "A"), _effects(spark, d, "R"))
+    return E.overlap_effects(_effects(spark, d, "A"), _effects(spark, d, "R")).select("gene", "snp", "p", "ea", "n", "beta", "repl_p", "flipped", "repl_beta")
 
 
 @_query("a19_replication_stats", f"""SELECT subset, COUNT(*) AS n, ROUND(corr(beta, repl_beta), 6) AS r, ROUND(100.0 * AVG(CASE WHEN beta * repl_beta > 0 THEN 1.0 ELSE 0.0 END), 6) AS ac FROM
 (SELECT *, unnest(CASE WHEN p <= 0.5 AND repl_p <= 0.5 THEN ['all', 'disc', 'both'] WHEN p <= 0.5 THEN ['all', 'disc'] ELSE ['all'] END) AS subset FROM ({_OVERLAP}) o WHERE repl_beta IS NOT NULL) s GROUP BY subset""")
 def a19(spark, d):
-    return _round(E.replication_stats(E.overlap_effects(_effects(spark, d, "A"), _effects(spark, d, "R")), 0.5), "r", "ac")
+    return _round(E.replication_stats(E.overlap_effects(_effects(spark, d, "A"), _effects(spark, d, "R")), 0.5), "r", "ac").select("subset", "n", "r", "ac")
 
 
 @_query("w4_drop_duplicates", "SELECT gene, snp, flag FROM (SELECT *, COUNT(*) OVER (PARTITION BY gene, snp) AS k FROM v_effects) x WHERE k = 1")
@@ -126,7 +126,7 @@ def w9(spark, d):
 
 @_query("h5_bonferroni", "SELECT flag, gene, snp, ROUND(LEAST(1.0, p * n), 9) AS bonferroni FROM v_effects")
 def h5(spark, d):
-    return E.multiple_testing(_effects(spark, d), "p", "n").select("flag", "gene", "snp", F.round("bonferroni", 9).alias("bonferroni"))
+    return E.bonferroni(_effects(spark, d), "p", "n").select("flag", "gene", "snp", F.round("bonferroni", 9).alias("bonferroni"))
 
 
 @_query("f14_filter_significant", "SELECT flag, gene, snp, p FROM v_effects WHERE p < 0.05")

@@ -22,6 +22,16 @@ VIEWS = {
     "v_calls": "SELECT a.event_id AS barcode, a.user_id % 10 AS pool, a.event_type AS tool_a, b.event_type AS tool_b FROM events a JOIN events b ON b.event_id = a.event_id + 1",
     "v_qc": "SELECT event_id AS barcode, value AS feature, event_type AS dataset, user_id % 5 AS cell_type FROM events",
 }
+VIEWS["v_study"] = (
+    "SELECT flag, gene, snp, p, beta, ea, n, CASE ea WHEN 'A' THEN 'A/G' ELSE 'G/A' END AS alleles, CASE ea WHEN 'A' THEN 'G' ELSE 'A' END AS oa, "
+    "(gene * 7 + snp * 13 + n) % 50 / CAST(1000 AS DOUBLE) + CAST(0.01 AS DOUBLE) AS beta_se, (gene + snp) % 90 / CAST(100 AS DOUBLE) + CAST(0.05 AS DOUBLE) AS af, "
+    f"beta * (1 + snp % 7) * 20 AS z FROM ({VIEWS['v_effects']}) e"
+)
+VIEWS["v_full"] = (
+    "SELECT o_orderkey AS barcode, o_custkey AS sample, o_orderpriority AS cell_type, CASE o_orderstatus WHEN 'P' THEN 'doublet' ELSE 'singlet' END AS droplet, year(o_orderdate) AS pool, "
+    "CASE WHEN o_totalprice > 100000 THEN 'NotOutlier' ELSE 'Outlier' END AS tag, r_name AS ancestry, CASE WHEN o_orderkey % 5 = 0 THEN 'IFN' ELSE 'UT' END AS treatment, c_mktsegment AS dataset "
+    "FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

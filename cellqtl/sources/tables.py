@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import product
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,26 +21,33 @@ def read_table(spark: SparkSession, path: str | list[str], sep: str = "\t", head
 
 
 def read_sharded(spark: SparkSession, template: str, values: dict[str, list[str]], fallback: str | None = None) -> DataFrame:
-    """S2. The tables of a path template with <KEY> parts, one after another; missing shards are left out. Where none
-    exists, ``fallback`` is read instead."""
-    found = []
-    for combination in product(*values.values()):
-        path = template
-        for key, value in zip(values, combination, strict=True):
-            path = path.replace(f"<{key}>", str(value))
+    """S2. The tables of a path template with <KEY> parts, one after another, in one read; missing shards are left out. A shard that is
+    missing or empty is read from ``fallback``, if that has it. All shards of a template have the same header."""
+
+    def read(of: str) -> DataFrame | None:
+        path, form = of, re.escape(of)
+        for key, options in values.items():
+            path = path.replace(f"<{key}>", "{" + ",".join(map(str, options)) + "}")
+            form = form.replace(re.escape(f"<{key}>"), "(" + "|".join(re.escape(str(o)) for o in options) + ")", 1)
         try:
-            found.append(read_table(spark, path))
+            df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, enforceSchema=False)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-    if not found:
-        if fallback is None:
-            raise FileNotFoundError(template)
-        return read_sharded(spark, fallback, values)
-    df = found[0]
-    for other in found[1:]:
-        df = df.unionByName(other, allowMissingColumns=True)
-    return df
+            return None
+        order = sorted(values, key=of.index)
+        form = form.removeprefix("file://").replace("file:", "")
+        return df.select("*", *(F.regexp_extract("_metadata.file_path", form, i + 1).alias(f"_{k}") for i, k in enumerate(order)))
+
+    keys = [f"_{k}" for k in values]
+    found, other = read(template), read(fallback) if fallback else None
+    if found is None and other is None:
+        raise FileNotFoundError(template)
+    if found is None:
+        return other.drop(*keys)
+    if other is not None:
+        found = found.unionByName(other.join(found.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
+    return found.drop(*keys)
 
 
 def read_counts(spark: SparkSession, triples: str, genes: str, barcodes: str) -> DataFrame:
