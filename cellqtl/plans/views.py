@@ -49,4 +49,8 @@ def oracle(sql: str) -> str:
     """The SQL with the views it uses in front of it."""
     used = [n for n in VIEWS if n in sql]
     used = [n for n in used if not any(n != m and n in m and n not in sql.replace(m, "") for m in used)]
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in used) + " " + sql if used else sql
+    if not used:
+        return sql
+    own = sql.lstrip()
+    start = "WITH RECURSIVE " if own.startswith("WITH RECURSIVE ") else "WITH "
+    return start + ", ".join(f"{n} AS ({VIEWS[n]})" for n in used) + (", " + own.removeprefix(start) if own.startswith("WITH ") else " " + own)
