@@ -9,7 +9,7 @@ Documents with equal shingle sets are one class and compared once. Candidates ar
 classes are not yet of one component, every class is compared with one hub of the table, so large groups of copies join in
 linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other. Before a
 pair is verified, ``PLANES`` bits of each of the same minhashes tell whether its similarity can reach the threshold (four and a
-half standard deviations below are let through). Every link is confirmed on whole sets, which are joined to the pairs by rows.
+half standard deviations below are let through); classes that are still apart after the rounds, few in all, get ``FINE`` more bits for that. Every link is confirmed on whole sets, which are joined to the pairs by rows.
 
 Defined cases: null text, empty text and text without words have no shingles and are linked with nothing; documents with
 fewer than five words have one shingle, the whole sequence; equal rows are of one class; a null doc_id counts as larger than
@@ -36,7 +36,7 @@ SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 6, 14
 #: Bits of a minhash that the check before verification looks at, and rounds of hubs.
-PLANES, ROUNDS = 4, 3
+PLANES, ROUNDS, FINE = 4, 3, 2048
 
 
 def bands(percent: int) -> int:
@@ -55,7 +55,7 @@ def least_agree(percent: int) -> float:
 _U = np.uint64
 _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 #: Odd multipliers, each a permutation of the 32-bit numbers.
-_A = np.random.default_rng(1234567).integers(0, 2**31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_A = np.random.default_rng(1234567).integers(0, 2**31, 1024 + FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -97,6 +97,31 @@ def signature(s: np.ndarray, n: int = BANDS) -> tuple[np.ndarray, np.ndarray, np
     return acc[:n].view(np.int64), acc[n:].view(np.int64), np.packbits(bits, axis=1).view("<i8").ravel()
 
 
+def fine_bits(s: np.ndarray) -> np.ndarray:
+    """One bit of each of FINE further minhashes."""
+    x = (s.view(np.uint64) >> _U(32)).astype(np.uint32)
+    mins = np.full(FINE, ~np.uint32(0))
+    for k in range(0, len(x), 512):
+        mins = np.minimum(mins, np.multiply.outer(_A[1024:], x[k : k + 512]).min(1))
+    return np.packbits((_mix(mins.astype(np.uint64) + _U(1)) & _U(1)).astype(np.uint8)).view("<i8")
+
+
+def least_fine(percent: int) -> float:
+    """Agreeing bits from which a pair is verified: what the threshold gives less 4.5 standard deviations."""
+    p = (1 + percent / 100) / 2
+    return FINE * p - 4.5 * (FINE * p * (1 - p)) ** 0.5
+
+
+def fine(sets: DataFrame) -> DataFrame:
+    """id, fine."""
+
+    def run(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([fine_bits(np.array(x, np.int64)) for x in b.column(1).to_pylist()])], ["id", "fine"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, fine array<long>")
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.int64)]).view(np.int64)))
@@ -196,17 +221,19 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         open_ = open_.join(label, "id", "left").select("id", "key", F.coalesce("c", "id").alias("c")) if label is not None else open_.withColumn("c", F.col("id"))
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
     # and has to share a hash of the second collection, which makes it a pair of the same tables
-    mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    apart = open_.join(mixed, "key", "left_semi").select("id", "c").distinct()
     n = bands(percent)
-    placed = classes.join(apart, "id").select("id", "c", "n_shingles", "a", "b", "bits", F.posexplode("a").alias("band", "v"))
+    placed = classes.join(open_.select("id", "c").distinct(), "id").select("id", "c", "n_shingles", "a", "b", "bits", F.posexplode("a").alias("band", "v"))
+    mixed = placed.groupBy("band", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "v")
     pair = [f"l.a[{i}] = r.a[{i}]" for i in range(n)]
     meets = "CASE " + " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(pair)) + " END = l.band"
     tabled = " OR ".join(p.replace(".a[", ".b[") for p in pair)
     sized = f"100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles)"
-    on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized} AND {meets} AND ({tabled})")
-    on = on & (_agree("l.bits", "r.bits", n) >= least_agree(percent))
-    placed = save(placed, "apart")
+    placed = save(placed.join(mixed, ["band", "v"], "left_semi"), "apart")
+    placed = save(placed.join(fine(sets.join(placed.select("id").distinct(), "id", "left_semi")), "id"), "fine")
+    # the cheap conditions first: most pairs end there
+    on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized}") & (_agree("l.bits", "r.bits", n) >= least_agree(percent))
+    on = on & (F.expr(f"{FINE} - (" + " + ".join(f"bit_count(l.fine[{i}] ^ r.fine[{i}])" for i in range(FINE // 64)) + ")") >= least_fine(percent))
+    on = on & F.expr(f"{meets} AND ({tabled})")
     cross = placed.alias("l").join(placed.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     for t in tested:
         cross = cross.join(t, ["x", "y"], "left_anti")
