@@ -2,10 +2,12 @@
 
 The kernel is the gap-weighted subsequence kernel of order 3 on words: every ordered triple of characters whose span is
 at most ``SPAN`` counts with weight ``DECAY ** span``, so ``l-o-s-e-r``, ``lo5ser`` and an inflected form stay close to
-``loser``. Word ends are characters of their own. A sentence is a bag of words of which one insult is enough, so the SVM is
-trained in the multiple-instance form: words of clean texts are negative, and of each toxic text the words that explain its
-label are positive. The trained function sum_j alpha_j k(w, z_j) over landmarks z_j is folded into one sparse vector over
-subsequences, so a word is scored by enumerating its own subsequences once.
+``loser``. Word ends are characters of their own. One insult makes a text toxic, so both SVMs are trained in the multiple-instance
+form. The first, in the coordinates of Nystroem landmarks, has words as instances: those that explain the labels of toxic texts
+against those of clean texts; its function sum_j alpha_j k(w, z_j) over landmarks z_j is folded into one sparse vector over
+subsequences, so a word is scored by enumerating its own subsequences once. The second has labelled sentences as instances: the
+largest margin of a word in a sentence and the sum of what its other words have above 0, so that weak words count together. A
+text scores by its best sentence.
 
 Defined cases: null or empty text scores as a text without words (lowest score); null, missing or repeated labels of a
 document: nulls are ignored, repeated ones count as their maximum; with no usable label of both kinds every score is 0.
@@ -33,6 +35,8 @@ from .shared import save, slices, table
 SPAN, DECAY, LETTERS = 5, 0.7, 24
 #: Bounds of the labelled sample that the classifier is fitted on, and the longest text (characters) taken into it.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 60_000
+#: Characters of the whole sample at most, in its order.
+TRAIN_TOTAL = 60_000_000
 LANDMARKS = 240
 THRESHOLD = 0.7
 #: Chunks whose margins a task remembers, and characters of the longest one it does.
@@ -63,6 +67,20 @@ def chunks_of(text: str | None) -> set[str]:
     return found
 
 
+_SENTENCE = re.compile(r"[.!?]+\s|\n")
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The chunks of each sentence of a text, runs of single characters joined besides."""
+    out = []
+    for part in _SENTENCE.split(text.lower()):
+        found = [c for c in (c.strip(_ENDS) for c in part.split()) if c]
+        found += ["".join(m[0].split()) for m in _SPELLED.finditer(part)]
+        if found:
+            out.append(found)
+    return out
+
+
 def windows(word: str) -> list[str]:
     if len(word) <= LETTERS:
         return [word]
@@ -112,8 +130,9 @@ class Model:
     codes: np.ndarray  # sorted subsequences
     values: np.ndarray
     bias: float
-    slope: float  # score = 1 / (1 + exp(-(slope * margin + offset)))
+    slope: float  # score = 1 / (1 + exp(-(slope * evidence + offset)))
     offset: float
+    more: float = 0.0  # weight of the further words of a sentence
 
     def __post_init__(self) -> None:
         self.maybe = np.zeros(1 << 20, bool)
@@ -154,8 +173,15 @@ class Model:
             np.maximum.at(best, owner, self.margins(todo))
         return best.tolist()
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -60, 60)))
+    def evidence(self, margins: list[list[float]]) -> float:
+        """Of the sentence that has most of it: the largest margin and, weighted, the sum of what its other words have above 0."""
+        return max((max(m) + self.more * (sum(x for x in m if x > 0) - max(0.0, max(m))) for m in margins if m), default=-9.0)
+
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        x = self.slope * np.asarray(evidence) + self.offset
+        x = np.where(x < -30, -30 - np.log1p(np.maximum(-30 - x, 0)), x)  # order is kept far from the threshold, too
+        x = np.where(x > 30, 30 + np.log1p(np.maximum(x - 30, 0)), x)
+        return 1 / (1 + np.exp(-x))
 
 
 EMPTY_MODEL = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, -60.0)
@@ -239,8 +265,8 @@ def copy_groups(texts: list[str]) -> list[int]:
 
 
 def _explaining(toxic: list[np.ndarray], groups: list[int], in_clean: np.ndarray, n_clean: int) -> tuple[list[int], np.ndarray]:
-    """Word numbers that tell toxic texts from clean ones beyond chance among all words seen, and in how many groups of
-    copies each word of the toxic texts is. With few toxic texts, also those that explain two which no such word does."""
+    """Word numbers that tell toxic texts from clean ones beyond chance among all words seen, and in how many groups of copies
+    each word of the toxic texts is."""
     size = len(in_clean)
     number = {g: i for i, g in enumerate(sorted(set(groups)))}
     n = len(number)
@@ -253,15 +279,6 @@ def _explaining(toxic: list[np.ndarray], groups: list[int], in_clean: np.ndarray
         gain = share * np.log(share / base) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)
     good = (share > base) & (in_clean <= 0.02 * total) & (total * gain > math.log(size + 1) + 1)
     chosen = np.nonzero(good)[0].tolist()
-    if n < 100:
-        of = defaultdict(set)
-        for p in pairs.tolist():
-            of[p // n].add(p % n)
-        left = set(range(n)) - set().union(*(of[w] for w in chosen))
-        for w in sorted(of, key=lambda w: (-len(of[w]), w)):
-            if len(of[w]) > 1 and not in_clean[w] and len(of[w] & left) > 1:
-                chosen.append(w)
-                left -= of[w]
     return chosen, held
 
 
@@ -300,9 +317,29 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
         # words of several toxic texts that clean ones never hold and that lie on the positive side are of the class, too
         positive = set(positive) | set(np.nonzero((held > 2) & (in_clean == 0) & (m > 0.3))[0].tolist())
         model = _fit_svm(named(positive), named(negative))
-    m = model.margins(words)
-    up, down = (np.array([m[b].max(initial=-9.0) for b in side]) for side in (toxic, clean))
-    # 0.7 lies two fifths of the way from the clean texts' upper end to the toxic texts' median
+    return _fit_sentences(model, [t for t, y in rows if y > 0], [t for t, y in rows if y <= 0])
+
+
+def _fit_sentences(model: Model, toxic: list[str], clean: list[str]) -> Model:
+    """The second SVM, on labelled sentences: of each toxic text the sentence with most evidence is positive, of each clean one it is
+    negative (multiple-instance form; two rounds, the first by the largest margin). Its features are the largest margin of a
+    sentence and the sum of what other words have above 0; its weights and the scale of the score are fitted here."""
+    scorer = Scorer(model)
+    bags = {y: [[m for m in scorer.sentence_margins(t) if m] for t in texts] for y, texts in ((1, toxic), (0, clean))}
+
+    def features(bag: list[list[float]]) -> tuple[float, float]:
+        best = max(bag, key=lambda m: model.evidence([m]), default=[-9.0])
+        top = max(best)
+        return max(top, -3.0), sum(x for x in best if x > 0) - max(0.0, top)
+
+    for _ in range(2):
+        x = np.array([features(b) for y in (1, 0) for b in bags[y]], float)
+        y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
+        w, _bias = _squared_hinge(x, y, np.where(y > 0, max(1.0, len(clean) / max(1, len(toxic))), 1.0))
+        model.more = float(np.clip(w[1] / w[0], 0.0, 1.0)) if w[0] > 0 else 0.0
+    down = np.array([model.evidence(b) for b in bags[0]])
+    up = np.array([max((max(m) for m in b), default=-9.0) for b in bags[1]])
+    # 0.7 lies two fifths of the way from the clean texts' upper end to the median of the toxic texts' largest margins
     low, high = np.quantile(down, 0.999), np.median(up)
     if high <= low:
         low, high = min(low, high), max(low, high) + 1e-3
@@ -319,7 +356,7 @@ def is_held_out(doc_id: str = "doc_id"):
 def sample(docs: DataFrame, labels: DataFrame) -> list[Row]:
     """doc_id, toxic, text of distinct labelled rows outside the held-out fold: of at most TRAIN_TOXIC toxic and TRAIN_CLEAN
     clean doc_ids in the order of their hash, as many rows at most (of up to TRAIN_CHARS characters), the first text of each
-    id before the second of any; all of them where there are fewer."""
+    id before the second of any; all of them where there are fewer; no more than TRAIN_TOTAL characters in all."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
         .where(~is_held_out())
@@ -333,7 +370,11 @@ def sample(docs: DataFrame, labels: DataFrame) -> list[Row]:
     picked = save(first(ids, order), "picked")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
     rows = fitting.join(F.broadcast(picked), "doc_id").distinct().withColumn("nth", nth).where(f"nth <= {max(n for _, n in bounds)}")
-    return first(save(rows, "sample"), [F.col("nth"), *order]).select("doc_id", "toxic", "text").collect()
+    # at most TRAIN_TOXIC + TRAIN_CLEAN rows from here on
+    few = save(first(save(rows, "sample"), [F.col("nth"), *order]), "few")
+    before = Window.orderBy("nth", *order, F.xxhash64("text"), "toxic").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = few.withColumn("total", F.sum(F.length("text")).over(before)).where(F.col("total") <= TRAIN_TOTAL)
+    return whole.select("doc_id", "toxic", "text").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -343,27 +384,41 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 class Scorer:
-    """Largest margins of whole texts. Margins of chunks of up to LONGEST characters are remembered, REMEMBERED of them at most,
-    as long as the task that owns the scorer runs."""
+    """Evidence of whole texts. Margins of chunks of up to LONGEST characters are remembered, REMEMBERED of them at most, as long
+    as the task that owns the scorer runs."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.memory = model, {}
 
-    def margins(self, texts: list[str | None]) -> np.ndarray:
+    def _margins(self, chunks: set[str]) -> dict[str, float]:
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        new = list(chunks - self.memory.keys())
+        of = dict(zip(new, self.model.chunk_margins(new), strict=True))
+        self.memory.update((c, m) for c, m in of.items() if len(c) <= LONGEST)
+        return of
+
+    def sentence_margins(self, text: str | None) -> list[list[float]]:
+        parts = sentences(text or "")
+        of = self._margins(set().union(*parts))
+        return [[of[c] if c in of else self.memory[c] for c in p] for p in parts]
+
+    def evidence(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for k in range(0, len(texts), 200):
             bags = [chunks_of(t) for t in texts[k : k + 200]]
-            if len(self.memory) > REMEMBERED:
-                self.memory.clear()
-            new = list(set().union(*bags) - self.memory.keys())
-            of = dict(zip(new, self.model.chunk_margins(new), strict=True))
-            known = self.memory
-            out[k : k + 200] = [max((of[c] if c in of else known[c] for c in b), default=-9.0) for b in bags]
-            known.update((c, m) for c, m in of.items() if len(c) <= LONGEST)
+            of, known = self._margins(set().union(*bags)), self.memory
+            for i, b in enumerate(bags):
+                m = [of[c] if c in of else known[c] for c in b]
+                out[k + i] = max(m, default=-9.0)
+                # only where two words have a margin above 0 can a sentence have more than its best word
+                if self.model.more and sum(x > 0 for x in m) > 1:
+                    held = {c: v for c, v in zip(b, m, strict=True) if v > 0}
+                    out[k + i] = max(out[k + i], self.model.evidence([[held[c] for c in p if c in held] for p in sentences(texts[k + i])]))
         return out
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        return self.model.probability(self.margins(texts))
+        return self.model.probability(self.evidence(texts))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

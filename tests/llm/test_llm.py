@@ -75,10 +75,44 @@ def test_toxicity_trains_on_distinct_rows(spark, monkeypatch):
     hot = once[:1] * 5 + [(ids[0], f"other {i}") for i in range(50)] + once[1:]
     got = toxicity.train(spark.createDataFrame(hot, "doc_id long, text string"), labels)
     assert len(got) == 10 and [t for t in got if t[0] in dict(want) and t[0] != f"text {ids[0]}"] == [t for t in want if t[0] != f"text {ids[0]}"]
+    monkeypatch.setattr(toxicity, "TRAIN_TOTAL", 30)
+    assert sum(len(t) for t, _ in toxicity.train(spark.createDataFrame(hot, "doc_id long, text string"), labels)) <= 30
+    monkeypatch.setattr(toxicity, "TRAIN_TOTAL", 1000)
     few = toxicity.train(spark.createDataFrame([(ids[0], "a"), (ids[0], "b"), (ids[0], "b"), (ids[1], "c")], "doc_id long, text string"), labels)
     assert few == [("a", 0), ("b", 0), ("c", 1)]
 
 
+def test_toxicity_counts_weak_words_of_a_sentence_together(spark, monkeypatch):
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, 0.0, more=0.5)
+    assert model.evidence([[0.5, 0.4, -1.0], [0.6, -2.0]]) == 0.5 + 0.5 * 0.4 and model.evidence([]) == -9.0
+    scorer = toxicity.Scorer(model)
+    monkeypatch.setattr(model, "chunk_margins", lambda chunks: [{"weak": 0.5, "feeble": 0.4, "strong": 0.6}.get(c, -1.0) for c in chunks])
+    assert scorer.evidence(["A weak, feeble one. It is strong", "weak.\nfeeble", "none", None]).tolist() == [0.7, 0.5, -1.0, -9.0]
+    p = model.probability(np.array([-2000.0, -1000.0, -9.0, 0.0, 9.0, 1000.0]))
+    assert (np.diff(p) >= 0).all() and (np.diff(p[:5]) > 0).all() and 0 <= p[0] and p[-1] <= 1
+
+
+def test_toxicity_kernel_equals_brute_force():
+    def brute(a, b):
+        def count(w):
+            c, out = [1, *map(ord, w), 2], Counter()
+            for i in range(len(c)):
+                for j in range(i + 1, len(c)):
+                    for k in range(j + 1, min(len(c), i + toxicity.SPAN + 1)):
+                        out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i - 2)
+            return out
+
+        x, y = count(a), count(b)
+        norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return sum(v * y[k] for k, v in x.items()) / norm
+
+    landmarks, words = ["loser", "banana", "thing"], ["lo5ser", "losers", "banana", "xyz", "looser"]
+    got = toxicity._kernel(words, *toxicity._landmark_matrix(landmarks))
+    for i, w in enumerate(words):
+        for j, z in enumerate(landmarks):
+            assert math.isclose(got[i, j], brute(w, z), abs_tol=1e-9)
+
+
 def test_spelled_out_words():
     assert "idiot" in toxicity.chunks_of("you i d i o t there") and "loser" in toxicity.words_of("l.o.s.e.r")
 
