@@ -33,7 +33,8 @@ def two_sided_p(z: Column) -> Column:
     return 2 * F.when(x < HART_LIMIT, density * horner(HART_TOP) / horner(HART_BOTTOM)).otherwise(density / far / ROOT_2PI)
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.vectorize(math.lgamma, otypes=[float])(x)  # a new one each time: one that was called cannot be sent to a task
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -52,19 +52,23 @@ def test_inverse_normal_ranks_follow_the_normal_distribution(spark):
 
 def test_rb_standard_error_leaves_out_each_row(spark):
     data = [(0.1, 0.2), (0.4, 0.3), (-0.3, -0.1), (0.7, 0.9), (0.2, -0.2)]
+    errors = [(0.01 + i / 1000, 0.02 - i / 1000) for i in range(5)]
 
-    def estimate(rows):
+    def estimate(keep):
+        rows, se = [data[i] for i in keep], [errors[i] for i in keep]
         n, (x, y) = len(rows), zip(*rows, strict=True)
         mx, my = sum(x) / n, sum(y) / n
         cov = sum((a - mx) * (b - my) for a, b in rows) / (n - 1)
-        va, vb = sum((a - mx) ** 2 for a in x) / (n - 1) - 1e-4, sum((b - my) ** 2 for b in y) / (n - 1) - 1e-4
+        va, vb = sum((a - mx) ** 2 for a in x) / (n - 1) - sum(u * u for u, _ in se) / n, sum((b - my) ** 2 for b in y) / (n - 1) - sum(v * v for _, v in se) / n
         return max(-1.0, min(1.0, cov / math.sqrt(va * vb)))
 
-    out = [estimate(data[:i] + data[i + 1 :]) for i in range(5)]
+    out = [estimate([j for j in range(5) if j != i]) for i in range(5)]
     mean = sum(out) / 5
-    got = rb(spark.createDataFrame([(a, 0.01, b, 0.01) for a, b in data], "b1 double, se1 double, b2 double, se2 double")).first()
-    assert math.isclose(got["rb"], estimate(data), rel_tol=1e-9)
+    rows = [(a, u, b, v) for (a, b), (u, v) in zip(data, errors, strict=True)]
+    got = rb(spark.createDataFrame(rows, "b1 double, se1 double, b2 double, se2 double")).first()
+    assert math.isclose(got["rb"], estimate(range(5)), rel_tol=1e-9)
     assert math.isclose(got["se"], math.sqrt(4 / 5 * sum((o - mean) ** 2 for o in out)), rel_tol=1e-9)
+    assert math.isclose(got["p"], math.erfc(abs(got["rb"] / got["se"]) / math.sqrt(2)), rel_tol=1e-7)
 
 
 def test_entry_has_rows(spark):
