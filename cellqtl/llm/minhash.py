@@ -201,6 +201,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         hub = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("hub"), F.col("c").alias("hub_c"))).alias("m")
         mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo <> hi").select("key", "m.hub", "m.hub_c")
         met = save(open_.join(mixed, "key"), "buckets")
+        if not met.limit(1).count():
+            return label
         if sets is None:
             nodes = save(classes.join(met.select("id").distinct(), "id", "left_semi").select("id", "digest", "doc_id"), "nodes")
             texts = docs.where("text is not null").select(F.col("doc_id").alias("_doc"), "text")
@@ -215,8 +217,6 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         if found.limit(1).count():
             links.append(found)
             label = save(components(reduce(DataFrame.union, links)), "label")
-        elif not met.limit(1).count():
-            return label
         open_ = met.select("id", "key")
         open_ = open_.join(label, "id", "left").select("id", "key", F.coalesce("c", "id").alias("c")) if label is not None else open_.withColumn("c", F.col("id"))
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only

@@ -273,6 +273,92 @@ def test_pipeline_stages_keep_one_of_similar_texts_and_pack_the_rest(spark, tmp_
     assert set(length) <= want and extra <= {0, 1}
 
 
+def test_pipeline_runs_and_every_stage_decides(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    bad = ["moronic", "scumbag", "trashy"]
+    known = ["".join(rng.choice(list("abcdefghiklmnoprstuwxyz"), int(rng.integers(2, 8)))) for _ in range(400)]
+    said = lambda: [known[i] for i in rng.integers(0, 400, 60)]
+    rows, toxic = [], {}
+    for d in range(300):
+        w = said()
+        toxic[d] = d % 3 == 0
+        if toxic[d]:
+            w[int(rng.integers(0, 60))] = bad[d % 9 // 3]
+        rows.append((d, " ".join(w), "en", f"s{d % 4}", None, d))
+    rows += [(1000 + d, rows[d][1], "en", "s1", None, d) for d in range(0, 60)]  # exact copies
+    rows += [(2, rows[2][1], "en", "other", None, 9), (2000, None, "en", None, None, 1), (2001, "", None, "s1", None, 1), (None, "no id at all here", "en", "s2", None, 1), (2002, LONG, "en", "s3", None, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 0, int(y)) for d, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, stage = [docs], None
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen[-1], str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        seen.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    clean, kept, mixed, packed = ([tuple(r) for r in df.collect()] for df in seen[1:])
+    insulting = {d for d, t, *_ in rows if d is not None and t and any(b in t for b in bad)}
+    assert not {r[0] for r in clean} & insulting and Counter(clean) == Counter(r for r in rows if r[0] not in insulting)
+    # one row of each text with words; rows without words all stay
+    want = Counter()
+    for t in {r[1] for r in clean if r[1]}:
+        own = [r for r in clean if r[1] == t]
+        least = min((r[0] for r in own if r[0] is not None), default=None)
+        want[min((r for r in own if r[0] == least), key=lambda r: repr(r[2:]))] += 1
+    assert Counter(r[:3] for r in kept if r[1]) == Counter(k[:3] for k in want.elements()) and sum(not r[1] for r in kept) == 2
+    taken = Counter(mixed)
+    size = Counter()
+    for r in kept:
+        size[r[3]] += len((r[1] or "").split())
+    assert set(taken) <= set(kept) and max(taken.values()) <= 3
+    order = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
+    assert len(order) == len(size)
+    assert {r[0] for r in packed} == {r[0] for r in mixed}
+    per = Counter((r[0]) for r in packed if r[1] == 0)
+    assert per == Counter(r[0] for r in mixed)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path, none):
+    import corpus_pipeline
+
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_minhash_finds_pairs_just_above_the_threshold(spark):
+    rng = np.random.default_rng(21)
+    rows, pairs = [], 0
+    while pairs < 300:  # changed words far apart: each takes five shingles
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 300)]
+        other = list(words)
+        for at in rng.choice(58, int(rng.integers(3, 5)), replace=False):
+            other[5 * int(at) + 4] = "changed"
+        a, b = (minhash.shingles(" ".join(w)) for w in (words, other))
+        both = len(np.intersect1d(a, b))
+        if 0.85 <= both / (len(a) + len(b) - both) < 0.91:
+            rows += [(2 * pairs, " ".join(words)), (2 * pairs + 1, " ".join(other))]
+            pairs += 1
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (d, d - 1) for d, c in got.items())  # no link but within a pair
+    assert sum(got[2 * i + 1] == 2 * i for i in range(pairs)) >= 0.99 * pairs
+
+
+def test_minhash_fine_bits_keep_pairs_of_the_threshold():
+    rng = np.random.default_rng(5)
+    for percent in (80, 85):
+        seen = []
+        for _ in range(60):
+            s = rng.integers(0, 2**63, 400, dtype=np.uint64)
+            k = int(400 * 2 * percent / (100 + percent)) + 1
+            t = np.concatenate([s[:k], rng.integers(0, 2**63, 400 - k, dtype=np.uint64)])
+            differ = sum(int(x).bit_count() for x in (minhash.fine_bits(s) ^ minhash.fine_bits(t)).view(np.uint64))
+            seen.append(minhash.FINE - differ >= minhash.least_fine(percent))
+        assert all(seen)
+
+
 def test_minhash_odd_rows(odd, none):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd).collect()), key=repr)
     n = len(minhash.shingles(LONG))
@@ -296,6 +382,53 @@ def packed_well(parts, rows):
     return len(by)
 
 
+def test_packing_query_against_the_tokenizer(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got, bins = defaultdict(list), defaultdict(list)
+    for r in packing.op5_packing(spark, DIR).collect():
+        got[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert set(got) == set(docs)
+    for d, text in docs.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        at = 0
+        for k, r in enumerate(sorted(got[d], key=lambda r: r.piece)):
+            assert (r.piece, r.start) == (k, at) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            assert k == 0 or r.length == 2048
+            at += r.length
+        assert at == len(ids)
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(bins) <= -(-sum(n for b in bins.values() for _, n in b) // 2048) + 1
+
+
+def test_elites_migrate_between_islands(spark):
+    rng = np.random.default_rng(3)
+    lengths = [sorted(rng.integers(500, 1500, 60).tolist(), reverse=True) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "block int, lengths array<int>")
+    best = defaultdict(dict)
+    for r in packing.best_bins(df, 1).collect():
+        best[r.block][r.place] = r.bin
+    for k, sizes in enumerate(lengths):
+        fill = Counter()
+        for p, b in best[k].items():
+            fill[b] += sizes[p]
+        assert len(best[k]) == 60 and max(fill.values()) <= 2048
+        assert len(fill) <= len(packing.best_fit(np.array(sizes), list(range(60)), []))
+    sizes = np.array(lengths[0])
+    rows = packing.evolve(sizes, [], 1)
+    migrant = packing.evolve(sizes, [packing.grouping(sizes, packing.assignment(rows[0], 60))], 2)
+    assert packing.fitness(migrant[0]) <= packing.fitness(rows[0])
+
+
 def test_packing(spark, odd, none):
     public = pytest.importorskip("public_tokenizers")
     path, ranks = public.path("byte_bpe_50k.json"), public.path("byte_bpe_50k.tiktoken")
@@ -355,6 +488,20 @@ def test_columns_of_any_name_and_all_rows_are_kept(spark, odd, none):
         assert values(f(wide).select("doc_id").distinct()) == values(wide.select("doc_id").distinct()) and f(wide.limit(0)).count() == 0
 
 
+def test_sharding_query_against_the_texts(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").collect()
+    got = sharding.op6_sharding(spark, DIR).collect()
+    data = lambda r: (r.text or "").encode()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((r.doc_id, len(data(r)) + 16, zlib.crc32(data(r))) for r in docs)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    counts = [len(slots.get(k, ())) for k in range(40)]
+    assert set(slots) <= set(range(40)) and max(counts) - min(counts) <= 1
+
+
 def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(odd).columns == odd.columns
     t = {r.source: (r.source_size, r.target) for r in mixing.rates(odd.select("source", mixing.words().alias("size"))).collect()}
