@@ -85,3 +85,10 @@ def bounds_group(a: Column, b: Column, low: float, high: float, names: tuple[str
     """F20, the quality-control twin: which of two values lie strictly inside the bounds."""
     x, y = (a > low) & (a < high), (b > low) & (b < high)
     return F.when(x & y, "both").when(x, names[0]).when(y, names[1]).otherwise("neither")
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Aggregate: Pearson's correlation over rows with both values; null where one of them does not vary."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

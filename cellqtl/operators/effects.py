@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import beta_threshold, correlation_p
-from ..functions.scalars import sort_alleles
+from ..functions.scalars import correlation, sort_alleles
+from ..sources.scratch import written
 from .genetics import rb_by
 from .ranking import bh_fdr, pi1, qvalues, same
 
@@ -60,8 +61,8 @@ def overlap_effects(disc: DataFrame, repl: DataFrame, effects: tuple[str, ...] =
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """H4. by, n, r, p: Pearson's correlation of the pairs of each group and its two-sided p value (t with n - 2 degrees of freedom)."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
-    return g.withColumn("r", F.nanvl("r", F.lit(None).cast("double"))).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+    g = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+    return g.withColumn("p", correlation_p(F.col("r"), F.col("n")))
 
 
 def replication_stats(overlap: DataFrame, alpha: float, disc: str = "p", repl: str = "repl_p", runs: tuple[str, ...] = ()) -> DataFrame:
@@ -171,6 +172,7 @@ def replication_pipeline(disc: DataFrame, repl: DataFrame, alpha: float, fdr: st
     gene = [*runs, "gene"]
     best = disc.groupBy(*gene).agg(F.min_by(F.struct(*(c for c in disc.columns if c not in gene)), F.struct(p, "snp")).alias("_b"), F.count(F.lit(1)).alias("n_entries"))
     top = best.select(*gene, "_b.*", "n_entries")
+    top = written(top, "top")
     pairs = overlap_effects(top, lookup_effects(repl, top))
     if "fdr" not in pairs.columns:
         pairs = rate(pairs, p, list(runs), "fdr")
@@ -180,4 +182,5 @@ def replication_pipeline(disc: DataFrame, repl: DataFrame, alpha: float, fdr: st
     enough = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     rated = same(rate(marked, "repl_p", by, "_rate"), enough, by)
     pairs = rated.withColumn("repl_fdr", F.when(F.col("_tested") & (F.col("_n") > 1), F.col("_rate"))).drop("_tested", "_n", "_rate")
+    pairs = written(pairs, "pairs")
     return pairs, replication_stats(pairs, alpha, "fdr", "repl_fdr", runs)

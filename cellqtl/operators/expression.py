@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import correlation_p
-from ..functions.scalars import normal_quantile
+from ..functions.scalars import correlation, normal_quantile
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def matched_correlation(a: DataFrame, b: DataFrame, by: str, method: str = "pear
         for c in ("x", "y"):
             j = average_ranks(j, c, [by]).withColumn(c, F.col("rank")).drop("rank")
     varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
-    return j.groupBy(by).agg(F.count("*").alias("n"), F.when(varies, F.corr("x", "y")).alias("r"))
+    return j.groupBy(by).agg(F.count("*").alias("n"), F.when(varies, correlation("x", "y")).alias("r"))
 
 
 def matched_correlation_by_dataset(a: DataFrame, b: DataFrame, links: DataFrame, center: bool = False) -> DataFrame:
@@ -77,7 +77,7 @@ def matched_correlation_by_dataset(a: DataFrame, b: DataFrame, links: DataFrame,
         w = Window.partitionBy("gene")
         j = j.withColumns({c: F.col(c) - F.avg(c).over(w) for c in ("x", "y")})
     varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
-    g = j.groupingSets([[F.col("gene")], [F.col("gene"), F.col("dataset")]], "gene", "dataset").agg(F.grouping("dataset").alias("_all"), F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "y")).alias("r"))
+    g = j.groupingSets([[F.col("gene")], [F.col("gene"), F.col("dataset")]], "gene", "dataset").agg(F.grouping("dataset").alias("_all"), F.count(F.lit(1)).alias("n"), F.when(varies, correlation("x", "y")).alias("r"))
     many = j.select("dataset").distinct().agg((F.count(F.lit(1)) > 1).alias("_many"))
     return g.join(F.broadcast(many)).where("_all = 0 OR _many").drop("_all", "_many")
 
@@ -85,7 +85,7 @@ def matched_correlation_by_dataset(a: DataFrame, b: DataFrame, links: DataFrame,
 def all_sample_correlations(a: DataFrame, b: DataFrame) -> DataFrame:
     """H16. Every sample of one matrix against every one of the other over their common genes: sums of products that meet by gene."""
     x = lambda m, s: m.select("gene", F.col("sample").alias(f"sample_{s}"), F.col("value").cast("double").alias(f"_{s}"))
-    return x(a, "a").join(x(b, "b"), "gene").groupBy("sample_a", "sample_b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_samp("_a") > 1e-7) & (F.stddev_samp("_b") > 1e-7), F.corr("_a", "_b")).alias("r"))
+    return x(a, "a").join(x(b, "b"), "gene").groupBy("sample_a", "sample_b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_samp("_a") > 1e-7) & (F.stddev_samp("_b") > 1e-7), correlation("_a", "_b")).alias("r"))
 
 
 def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[st
     x = a.select(key, *(F.col(c).cast("double").alias(f"a_{c}") for c in columns_a))
     y = b.select(key, *(F.col(c).cast("double").alias(f"b_{c}") for c in columns_b))
     pairs = F.array(*(F.struct(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), F.col(f"a_{p}").alias("x"), F.col(f"b_{q}").alias("y")) for p in columns_a for q in columns_b))
-    return x.join(y, key).select(F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("column_a", "column_b").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+    return x.join(y, key).select(F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("column_a", "column_b").agg(F.count("*").alias("n"), correlation("x", "y").alias("r"))
 
 
 def masked_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], drop_paired_zero: bool = False, triangle: bool = False, alpha: float = 0.05) -> DataFrame:
@@ -107,7 +107,7 @@ def masked_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[st
     if drop_paired_zero:
         rows = rows.where("NOT (x = 0 AND y = 0)")
     varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
-    g = rows.groupBy("column_a", "column_b").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.corr("x", "y")).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
+    g = rows.groupBy("column_a", "column_b").agg(F.count(F.lit(1)).alias("n"), F.when(varies, correlation("x", "y")).alias("r")).withColumn("p", correlation_p(F.col("r"), F.col("n")))
     return g.withColumn("masked_r", F.when(F.col("r").isNotNull(), F.when(F.col("p") < alpha, F.col("r")).otherwise(0.0)))
 
 

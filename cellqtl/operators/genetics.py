@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import hwe_p, two_sided_p
-from ..functions.scalars import pvalue_to_zscore, zscore_to_beta
+from ..functions.scalars import correlation, pvalue_to_zscore, zscore_to_beta
 from .ranking import same
 
 
@@ -213,8 +213,8 @@ def field_concordance(a: DataFrame, b: DataFrame, key: str, fields: list[str]) -
     text = lambda df, s: df.select(F.col(key), *(F.col(f).cast("string").alias(f"{s}{f}") for f in fields))
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"a_{f}").alias("x"), F.col(f"b_{f}").alias("y")) for f in fields))
     j = text(a, "a_").join(text(b, "b_"), key).select(F.inline(each)).where("x IS NOT NULL AND y IS NOT NULL")
-    r = F.corr(F.col("x").try_cast("double"), F.col("y").try_cast("double"))
-    return j.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("x") == F.col("y")).alias("all_equal"), F.nanvl(r, F.lit(None).cast("double")).alias("r"))
+    r = correlation(F.col("x").try_cast("double"), F.col("y").try_cast("double"))
+    return j.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("x") == F.col("y")).alias("all_equal"), r.alias("r"))
 
 
 def tss_distance(top: DataFrame, annotation: DataFrame | None = None) -> DataFrame:
@@ -285,7 +285,7 @@ def rb_by(df: DataFrame, by: list[str], theta: float = 0.0) -> DataFrame:
         va, vb = (v("aa") - v("a") * v("a") / n) / (n - 1), (v("bb") - v("b") * v("b") / n) / (n - 1)
         u, w = v("u") / n, v("v") / n
         inner = (va - u) * (vb - w)
-        return (cov - theta * F.sqrt(u * w)) / F.sqrt(F.when((va > u) & (vb > w), inner).otherwise(va * vb))
+        return F.try_divide(cov - theta * F.sqrt(u * w), F.sqrt(F.when((va > u) & (vb > w), inner).otherwise(va * vb)))
 
     held = lambda r: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
     n = F.col("_n")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_path
+from ..sources.scratch import written
 
 #: The grid of the share of true null hypotheses, and the degrees of freedom of its smoother.
 LAMBDAS, SMOOTHER_DF = [i / 20 for i in range(1, 20)], 3
@@ -29,10 +29,8 @@ def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     names = [f"_o{i}" for i in range(len(order))]
     keyed = df.select("*", *(o.alias(n) for o, n in zip(order, names, strict=True)), F.xxhash64(*df.columns).alias("_h"))
     keys = [*(F.col(b) for b in by), *names, "_h"]
-    path = scratch_path(df.sparkSession, "ranges")
     # written, since another run of a task would cut the ranges elsewhere
-    keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).write.parquet(path)
-    ranged = df.sparkSession.read.parquet(path)
+    ranged = written(keyed.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     parts = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
     of = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))  # a row for each range
     parts = parts.withColumns({"_before": F.sum("_n").over(of.orderBy("_part")) - F.col("_n"), "_m": F.sum("_n").over(of)})

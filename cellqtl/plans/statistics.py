@@ -128,8 +128,8 @@ def h8(spark, d):
     return M.design_matrix(v.select("sample", F.inline(each)))
 
 
-@query("h9_regress_out", """SELECT gene, sample, ROUND(value - i - s * (sample * sample % 7), 5) AS value FROM v_tall JOIN (SELECT gene, regr_intercept(value, sample * sample % 7) AS i, regr_slope(value, sample * sample % 7) AS s FROM v_tall GROUP BY gene HAVING COUNT(DISTINCT sample * sample % 7) > 1) x USING (gene)
-UNION ALL SELECT gene, sample, ROUND(value - m, 5) FROM v_tall JOIN (SELECT gene, AVG(value) AS m FROM v_tall GROUP BY gene HAVING COUNT(DISTINCT sample * sample % 7) = 1) x USING (gene)""")
+@query("h9_regress_out", """SELECT gene, sample, ROUND(value - i - s * (sample * sample % 7), 5) + 0 AS value FROM v_tall JOIN (SELECT gene, regr_intercept(value, sample * sample % 7) AS i, regr_slope(value, sample * sample % 7) AS s FROM v_tall GROUP BY gene HAVING COUNT(DISTINCT sample * sample % 7) > 1) x USING (gene)
+UNION ALL SELECT gene, sample, ROUND(value - m, 5) + 0 FROM v_tall JOIN (SELECT gene, AVG(value) AS m FROM v_tall GROUP BY gene HAVING COUNT(DISTINCT sample * sample % 7) = 1) x USING (gene)""")
 def h9(spark, d):
     """An intercept, a numeric covariate, and a column that follows from both; genes lack samples in many patterns."""
     e, x = view(spark, d, "v_tall"), F.col("sample") * F.col("sample") % 7
