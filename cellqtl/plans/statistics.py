@@ -381,7 +381,7 @@ def _published(spark, d):
 @query("f3_source_specs", "SELECT 'S' || gene AS gene_symbol, 'ENSG' || gene AS gene_id, 'rs' || snp AS rsid, '1:' || snp * 10 AS position, alleles, ea, beta, ROUND(p * 1.5, 6) AS p, n, 'ENSG' || gene || '_1:' || snp * 10 AS key FROM v_study WHERE flag = 'A' AND p * 1.5 <= 1")
 def f3(spark, d):
     raw = _published(spark, d)
-    return _round(G.standardize_all(raw, source_specs("mbqtl", raw), include_fdr=False), "p").drop("gene", "snp")
+    return _round(G.standardize_all(raw, source_specs("meta_analysis", raw), include_fdr=False), "p").drop("gene", "snp")
 
 
 @query("f2_column_specs", "SELECT 'S' || gene AS gene_symbol, '1_' || snp * 10 AS position, CASE ea WHEN 'A' THEN 'adenine' END AS ea, 77 AS n, 'S' || gene || '_1_' || snp * 10 AS key FROM v_study WHERE flag = 'A'")

@@ -111,16 +111,16 @@ def test_cis_association_matches_brute_force(spark):
 
 def test_specs_of_every_source(spark):
     for name, specs in SPECS.items():
-        used = {c.replace("<CT>", "Micro") for s in specs.values() for c in ([s] if isinstance(s, str) else [p[0] for p in s])} | ({"Beta3_Micro:GT"} if name == "decon_qtl" else set())
-        used |= {"Gene", "SNP", "MetaR"} if name == "mbqtl" else set()
+        used = {c.replace("<CT>", "Micro") for s in specs.values() for c in ([s] if isinstance(s, str) else [p[0] for p in s])} | ({"Beta3_Micro:GT"} if name == "cell_type_interaction" else set())
+        used |= {"Gene", "SNP", "MetaR"} if name == "meta_analysis" else set()
         row = {c: None for c in used}
         found = source_specs(name, spark.createDataFrame([tuple("x" for _ in row)], ", ".join(f"`{c}` string" for c in row)), "Micro")
-        assert set(specs) - {"gene_id", "rsid"} <= set(found) | {"gene_id", "rsid"} and "beta" in found or name == "eqtl_mapping_pipeline"
+        assert set(specs) - {"gene_id", "rsid"} <= set(found) | {"gene_id", "rsid"} and "beta" in found or name == "probe_level"
     df = spark.createDataFrame([("ENSG12.3_7:55:rs9:A_G", "1.5", "0.2", "A", "G")], "`` string, `Beta3_Micro:GT` string, Micro_pvalue string, EA string, OA string")
-    r = G.standardize_all(df, source_specs("decon_qtl", df, "Micro")).first()
+    r = G.standardize_all(df, source_specs("cell_type_interaction", df, "Micro")).first()
     assert (r.gene, r.snp, r.rsid, r.alleles, r.beta, r.p) == ("ENSG12", "7:55", "rs9", "A/G", 1.5, 0.2)
     with pytest.raises(ValueError):
-        source_specs("decon_qtl", df, "Astro")
+        source_specs("cell_type_interaction", df, "Astro")
     for bad in ('{"beta": [["x"]]}', '{"unheard_of": "x"}', "[1]", '{"beta": 3}'):
         with pytest.raises(ValueError):
             G.load_column_specs(bad)
