@@ -10,8 +10,11 @@ from .shared import save
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` a, b (long) -> id, c for every id in a link, c the smallest id of its component. Each round writes its
-    labels to the shared folder; the number of rounds grows with the logarithm of a component's diameter."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    labels to the shared folder; the number of rounds grows with the logarithm of a component's diameter.
+
+    Defined cases: a link to itself and a link with a null end count for nothing; repeated links count once; without links the
+    result is empty; extra columns are ignored."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()  # drops null ends, too
     both = save(both, "links")
     label = save(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("c")), "labels")
     while True:

@@ -627,6 +627,15 @@ def test_chat_query_reads_whole_examples(spark, tmp_path, monkeypatch):
     assert [(p.context + p.completion, p.completion) for p in parts] == [(form(turns[:5]), "two<|im_end|>\n")]
 
 
+def test_components_of_odd_links(spark):
+    from cellqtl.llm.components import components
+
+    rows = [(1, 2), (2, 1), (2, 3), (7, 7), (None, 9), (9, None), (20, 10)] + [(i, i + 1) for i in range(100, 140)]
+    got = {r.id: r.c for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 10, 20: 10, **{i: 100 for i in range(100, 141)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "cellqtl").rglob("*.py"):
