@@ -1,4 +1,9 @@
-"""documents -> toxic ones rejected -> one of each group of near-duplicates -> sources mixed -> packed into sequences."""
+"""documents -> toxic ones rejected -> one of each group of near-duplicates -> sources mixed -> packed into sequences.
+
+Defined cases, stage by stage: texts that are null or empty are not toxic, are no one's duplicate, and have no words, so mixing takes them as its rate says
+and packing gives them the end id alone; rows with a null doc_id stay as others do; repeated rows are copies, of which near_dedup keeps one; a text of any length goes
+through whole; columns beside those of documents are kept by all stages but the last, whatever their names; an empty table gives an empty result. Without usable labels
+nothing is toxic."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +37,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
 
-#: Scores, MinHash links and the packing are beyond SQL; the tests hold the stages against brute force instead.
+#: Scores, MinHash links and the packing are beyond SQL; tests/llm runs all stages and holds each against brute force on planted documents instead.
 ORACLE_SQL = None
 
 
