@@ -36,7 +36,7 @@ SHINGLE = 5
 PERCENT = 85
 ROWS, BANDS = 6, 14
 #: Bits of a minhash that the check before verification looks at, and rounds of hubs.
-PLANES, ROUNDS, FINE = 4, 3, 2048
+PLANES, ROUNDS, FINE = 4, 3, 1024
 
 
 def bands(percent: int) -> int:
@@ -231,7 +231,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     placed = save(placed.join(mixed, ["band", "v"], "left_semi"), "apart")
     placed = save(placed.join(fine(sets.join(placed.select("id").distinct(), "id", "left_semi")), "id"), "fine")
     # the cheap conditions first: most pairs end there
-    on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized}") & (_agree("l.bits", "r.bits", n) >= least_agree(percent))
+    on = F.expr(f"l.band = r.band AND l.v = r.v AND l.id < r.id AND l.c <> r.c AND {sized}")
     on = on & (F.expr(f"{FINE} - (" + " + ".join(f"bit_count(l.fine[{i}] ^ r.fine[{i}])" for i in range(FINE // 64)) + ")") >= least_fine(percent))
     on = on & F.expr(f"{meets} AND ({tabled})")
     cross = placed.alias("l").join(placed.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
