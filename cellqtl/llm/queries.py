@@ -10,10 +10,11 @@ from .minhash import op4_minhash
 from .mixing import SQL as MIXING_SQL
 from .mixing import op7_mixing
 from .packing import op5_packing
+from .periodic import op13_periodic_runs
 from .sharding import op6_sharding
 from .topk import SQL as TOPK_SQL
 from .topk import op9_topk
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_minhash, op5_packing, op6_sharding, op7_mixing, op8_licenses, op9_topk, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html, op3_media, op4_minhash, op5_packing, op6_sharding, op7_mixing, op8_licenses, op9_topk, op10_chat, op13_periodic_runs)}
 SQL = {"op7_mixing": MIXING_SQL, "op8_licenses": LICENSES_SQL, "op9_topk": TOPK_SQL, "op10_chat": CHAT_SQL}
