@@ -105,7 +105,7 @@ def test_query_against_brute_force(spark):
 def test_odd_rows(spark, monkeypatch):
     cases = ["http://a.com/" + "x1" * 20_000, "http://\U0001f600.org/\U0001f600é", "http://good.org/en/12", "http://good.org/en/99", None, "", "http://bad.net/es/1", "http://bad.net/fr/2", "http://bad.net/es/x", "http://ok.com/en/1", "http://fine.com/de/1", "http://bad.net/it/3"]
     df = spark.createDataFrame([(i, u, "r", "t", 1) for i, u in enumerate(cases)] + [(3, cases[3], "r", "t", 1), (None, cases[2], "r", "t", 1)], "page_id long, url string, rule string, text string, host int")
-    want = brute([*cases, cases[3], cases[2]])
+    want = brute([*cases, cases[3], cases[2]])[: len(cases)]
     assert found(df) == {**dict(enumerate(want)), None: want[2]} and urls.judge(df).count() == len(cases) + 2
     monkeypatch.setattr(urls.scores, "__defaults__", (0,))
     assert found(df) == {**dict(enumerate(want)), None: want[2]}
