@@ -98,13 +98,14 @@ def beta_threshold(p: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def hwe_p(n0: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Exact Hardy-Weinberg p value of the three genotype counts: the probabilities of all numbers of heterozygotes that are
-    no likelier than the one seen."""
+    no likelier than the one seen. Neighbouring probabilities have a simple ratio, so one cumulative sum gives them all."""
     out = []
     for a, h, b in zip(n0.to_numpy(), n1.to_numpy(), n2.to_numpy(), strict=True):
         n, rare = a + h + b, h + 2 * min(a, b)
-        het = np.arange(rare % 2, rare + 1, 2)
-        low, high = (rare - het) // 2, n - het - (rare - het) // 2
-        logs = het * math.log(2) - _lgamma(low + 1.0) - _lgamma(het + 1.0) - _lgamma(high + 1.0)
+        het = np.arange(rare % 2, rare + 1, 2).astype(float)
+        low = (rare - het) / 2
+        ratio = 4 * low[:-1] * (n - het - low)[:-1] / ((het[:-1] + 2) * (het[:-1] + 1))
+        logs = np.r_[0.0, np.cumsum(np.log(ratio))]
         w = np.exp(logs - logs.max())
         out.append(min(1.0, float(w[w <= w[het == h] * (1 + 1e-9)].sum() / w.sum())))
     return pd.Series(out, dtype=float)

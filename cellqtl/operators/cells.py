@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ranked
+from .order import quantiles
+from .ranking import ranked, same
 
 
 def barcode_qc(counts: DataFrame, genes: DataFrame, marker: str | None = None) -> DataFrame:
@@ -116,9 +117,10 @@ def droplet_counts(cells: DataFrame) -> DataFrame:
 
 
 def mad_thresholds(df: DataFrame, value: str, by: list[str], k: list[float]) -> DataFrame:
-    """A13. Median and 1.4826 * MAD, and median +- k MAD."""
-    med = df.groupBy(*by).agg(F.median(value).alias("median"))
-    mad = df.join(med, by).groupBy(*by, "median").agg((F.lit(1.4826) * F.median(F.abs(F.col(value) - F.col("median")))).alias("mad"))
+    """A13. Median and 1.4826 * MAD, and median +- k MAD, by exact selection over ranges, so a group may have any size."""
+    med = quantiles(df, value, by, {"median": 0.5})
+    far = same(df.select(*by, value), med, by).select(*by, "median", F.abs(F.col(value) - F.col("median")).alias("_far"))
+    mad = quantiles(far, "_far", [*by, "median"], {"_mad": 0.5}).select(*by, "median", (F.lit(1.4826) * F.col("_mad")).alias("mad"))
     out = mad.withColumn("k", F.explode(F.array(*map(F.lit, k))))
     return out.withColumns({"lower": F.col("median") - F.col("k") * F.col("mad"), "upper": F.col("median") + F.col("k") * F.col("mad")})
 

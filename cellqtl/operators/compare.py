@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
 from .ranking import same
 
 
@@ -77,7 +78,7 @@ def combine_tool_calls(calls: DataFrame, key: list[str], tool: str, call: str, t
 
 def quantile_bins(df: DataFrame, value: str, by: list[str], n: int) -> DataFrame:
     """W11. Exact edges of n equally frequent bins."""
-    return df.groupBy(*by).agg(*(F.percentile(value, F.lit(i / n)).alias(f"edge_{i}") for i in range(n + 1)))
+    return quantiles(df, value, by, {f"edge_{i}": i / n for i in range(n + 1)})
 
 
 def into_bins(df: DataFrame, value: str, by: list[str], n: int) -> DataFrame:
@@ -93,7 +94,8 @@ def into_bins(df: DataFrame, value: str, by: list[str], n: int) -> DataFrame:
 def qc_metric_limits(df: DataFrame, value: str, tag: str) -> DataFrame:
     """A26. Least, greatest and median value overall and of rows that pass."""
     ok = F.when(F.col(tag) == "NotOutlier", F.col(value))
-    return df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("median"), F.round(F.min(ok), 2).alias("low_ok"), F.round(F.max(ok), 2).alias("high_ok"))
+    limits = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.min(ok), 2).alias("low_ok"), F.round(F.max(ok), 2).alias("high_ok"))
+    return limits.join(F.broadcast(quantiles(df, value, [], {"median": 0.5})), how="left").select("low", "high", "median", "low_ok", "high_ok")  # one row
 
 
 def qc_metrics_limits(df: DataFrame, metrics: list[str], tag: str) -> DataFrame:
@@ -101,6 +103,5 @@ def qc_metrics_limits(df: DataFrame, metrics: list[str], tag: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))
     rows = df.select(F.col(tag).alias("_t"), F.inline(each))
     ok, out = F.when(F.col("_t") == "NotOutlier", F.col("value")), F.count_if(F.col("_t") != "NotOutlier") > 0
-    return rows.groupBy("metric").agg(
-        F.min("value").alias("low"), F.max("value").alias("high"), F.median("value").alias("median"), F.when(out, F.round(F.min(ok), 2)).alias("low_ok"), F.when(out, F.round(F.max(ok), 2)).alias("high_ok")
-    )
+    limits = rows.groupBy("metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.when(out, F.round(F.min(ok), 2)).alias("low_ok"), F.when(out, F.round(F.max(ok), 2)).alias("high_ok"))
+    return limits.join(quantiles(rows, "value", ["metric"], {"median": 0.5}), "metric", "left").select("metric", "low", "high", "median", "low_ok", "high_ok")

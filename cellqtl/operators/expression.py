@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.distributions import correlation_p
 from ..functions.scalars import correlation, normal_quantile
-
-
-def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Ranks from 1 in each group, ties share their mean."""
-    w = Window.partitionBy(*by)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("rank", F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0)
+from .blocks import column_products
+from .order import average_ranks
 
 
 def inverse_normal_rank(expr: DataFrame) -> DataFrame:
@@ -83,9 +78,18 @@ def matched_correlation_by_dataset(a: DataFrame, b: DataFrame, links: DataFrame,
 
 
 def all_sample_correlations(a: DataFrame, b: DataFrame) -> DataFrame:
-    """H16. Every sample of one matrix against every one of the other over their common genes: sums of products that meet by gene."""
-    x = lambda m, s: m.select("gene", F.col("sample").alias(f"sample_{s}"), F.col("value").cast("double").alias(f"_{s}"))
-    return x(a, "a").join(x(b, "b"), "gene").groupBy("sample_a", "sample_b").agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_samp("_a") > 1e-7) & (F.stddev_samp("_b") > 1e-7), correlation("_a", "_b")).alias("r"))
+    """H16. sample_a, sample_b, n, r: every sample of one matrix against every one of the other over the genes that both have, for pairs with one at
+    least. Six sums of each pair come from blocks of genes by blocks of samples (:mod:`.blocks`); null where a side hardly varies."""
+    cells = lambda m: m.where("value is not null").select(F.col("gene").alias("row"), F.col("sample").alias("col"), F.col("value").cast("double").alias("x"))
+    # about each sample's mean, so that little is lost in the sums of squares
+    centre = lambda m: (x := cells(m)).join(x.groupBy("col").agg(F.avg("x").alias("_m")), "col").select("row", "col", (F.col("x") - F.col("_m")).alias("x"))
+    labels = lambda m: m.select(F.col("sample").alias("label")).distinct()
+    pairs = column_products(centre(a), labels(a), [], centre(b), labels(b), whole=True)
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    varies = (F.sqrt(F.try_divide(vx, n - 1)) > 1e-7) & (F.sqrt(F.try_divide(vy, n - 1)) > 1e-7)
+    r = F.when(varies, (F.col("xy") - sx * sy / n) / F.sqrt(vx * vy))
+    return pairs.select(F.col("col_a").alias("sample_a"), F.col("col_b").alias("sample_b"), n.cast("long").alias("n"), r.alias("r"))
 
 
 def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str]) -> DataFrame:

@@ -123,17 +123,18 @@ def fill_missing_stats(df: DataFrame, infer: bool = True, n: int | None = None)
     return out
 
 
-def variant_stats(genotypes: DataFrame) -> DataFrame:
-    """A22. Call rate, minor allele frequency and counts of the three genotypes of each variant."""
+def variant_stats(genotypes: DataFrame, by: tuple[str, ...] = ("snp",)) -> DataFrame:
+    """A22. Call rate, minor allele frequency and counts of the three genotypes of each variant (of each dataset, if that is in ``by``)."""
     d = F.col("dosage")
-    g = genotypes.groupBy("snp").agg(F.count("*").alias("n"), F.count("dosage").alias("called"), *(F.count_if(d == i).alias(f"n{i}") for i in range(3)), F.sum("dosage").alias("_s"))
+    g = genotypes.groupBy(*by).agg(F.count("*").alias("n"), F.count("dosage").alias("called"), *(F.count_if(d == i).alias(f"n{i}") for i in range(3)), F.sum("dosage").alias("_s"))
     af = F.try_divide("_s", 2 * F.col("called"))
     return g.withColumns({"call": F.col("called") / F.col("n"), "maf": F.least(af, 1 - af)}).drop("_s", "called")
 
 
 def with_hwe(stats: DataFrame) -> DataFrame:
-    """A22. The exact Hardy-Weinberg p value of each variant's counts n0, n1, n2."""
-    return stats.withColumn("hwe", hwe_p("n0", "n1", "n2"))
+    """A22. The exact Hardy-Weinberg p value of each variant's counts n0, n1, n2; it is computed once for variants of equal counts."""
+    counts = ["n0", "n1", "n2"]
+    return stats.join(stats.select(*counts).distinct().withColumn("hwe", hwe_p(*counts)), counts)
 
 
 def filter_variants(stats: DataFrame, least: dict[str, float], variants: DataFrame | None = None, chromosome: str | None = None) -> DataFrame:

@@ -1,3 +1,3 @@
 """Queries on inputs derived from the test tables."""
 
-from . import association, cohort, expression, files, metadata, queries, statistics  # noqa: F401
+from . import association, cohort, expression, files, metadata, products, queries, statistics  # noqa: F401

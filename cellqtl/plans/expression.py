@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import expression as E
-from .registry import query
+from .registry import quantile_sql, query
 from .views import view
 
 
@@ -13,9 +13,12 @@ def _round(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-@query("w10_inverse_normal_rank", whole=("v_dense", "v_expr"))
+_RANKS = "SELECT gene, sample, value, (RANK() OVER (PARTITION BY gene ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, value) - 1) / 2.0::DOUBLE) / (COUNT(*) OVER (PARTITION BY gene) + 1) AS u FROM v_dense"
+
+
+@query("w10_inverse_normal_rank", f"SELECT gene, sample, value, ROUND(u, 6) AS u, ROUND({quantile_sql('u')}, 6) + 0 AS z FROM ({_RANKS}) r", whole=("v_dense", "v_expr"))
 def w10(spark, d, expr="v_dense"):
-    return E.inverse_normal_rank(view(spark, d, expr))
+    return _round(E.inverse_normal_rank(view(spark, d, expr)), "u", "z").withColumn("z", F.col("z") + 0.0)
 
 
 @query("h4_average_ranks", "SELECT gene, sample, RANK() OVER (PARTITION BY gene ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, value) - 1) / 2.0::DOUBLE AS rank FROM v_dense", whole=("v_dense", "v_expr"))

@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import cells as C
 from ..operators import compare as X
 from ..operators import effects as E
-from .registry import QUERIES, SQL, query as _query
+from .registry import QUERIES, SQL, quantile_sql, query as _query
 from .views import view
 
 def _effects(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
@@ -155,9 +155,9 @@ def f10(spark, d):
     return _effects(spark, d).select("flag", "gene", "snp", F.round(S.log_modulus(F.col("beta")), 6).alias("lm"))
 
 
-@_query("f7_pvalue_to_zscore")
+@_query("f7_pvalue_to_zscore", f"SELECT flag, gene, snp, ROUND(CASE WHEN beta > 0 THEN -({quantile_sql('(p / 2)')}) ELSE {quantile_sql('(p / 2)')} END, 6) + 0 AS z FROM v_effects")
 def f7(spark, d):
-    return _effects(spark, d).select("flag", "gene", "snp", S.pvalue_to_zscore(F.col("p"), F.col("beta")).alias("z"))
+    return _effects(spark, d).select("flag", "gene", "snp", (F.round(S.pvalue_to_zscore(F.col("p"), F.col("beta")), 6) + 0.0).alias("z"))
 
 
 @_query("f8_zscore_to_beta", """SELECT flag, gene, snp, ROUND(z / sqrt(2 * 0.2::DOUBLE * (1 - 0.2::DOUBLE) * (n + z * z)), 6) AS b, ROUND(1 / sqrt(2 * 0.2::DOUBLE * (1 - 0.2::DOUBLE) * (n + z * z)), 6) AS se FROM (SELECT *, beta * 100 AS z FROM v_effects) x""")

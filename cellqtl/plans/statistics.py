@@ -13,6 +13,7 @@ from ..operators import expression as X
 from ..operators import genetics as G
 from ..operators import matrix as M
 from ..operators import ranking as R
+from ..operators.order import average_ranks
 from ..sources.effects import source_specs
 from .association import _RB, _rb
 from .registry import query
@@ -76,8 +77,8 @@ RANK() OVER (PARTITION BY sample ORDER BY value) + (COUNT(*) OVER (PARTITION BY
 FROM v_tall) q GROUP BY sample) z""")
 def h4s(spark, d):
     e = view(spark, d, "v_tall").withColumn("other", F.col("value") * F.col("value") % 17)
-    x = X.average_ranks(e, "value", ["sample"]).withColumnRenamed("rank", "x")
-    return _round(E.correlations(X.average_ranks(x, "other", ["sample"]).withColumnRenamed("rank", "y"), "x", "y", ["sample"]), "r", "p")
+    x = average_ranks(e, "value", ["sample"]).withColumnRenamed("rank", "x")
+    return _round(E.correlations(average_ranks(x, "other", ["sample"]).withColumnRenamed("rank", "y"), "x", "y", ["sample"]), "r", "p")
 
 
 @query("h5_multiple_testing", f"""WITH a AS (SELECT flag, gene, snp, p, LEAST(1.0, p * (n % 4 + 1)) AS bonferroni, 1 + n % 3 AS a FROM v_effects),
@@ -157,19 +158,19 @@ def h10_cpm(spark, d):
 
 _KEPT = """o AS (SELECT gene, sample, value::DOUBLE AS value FROM v_tall), z AS (SELECT sample, SUM(value) AS size FROM o GROUP BY sample), c AS (SELECT 10 / median(size) * 1000000 AS cut, CASE WHEN COUNT(*) > 10 THEN 10 + (COUNT(*) - 10) * 0.7 ELSE COUNT(*) END AS enough FROM z),
 w AS (SELECT gene FROM o JOIN z USING (sample), c GROUP BY gene, enough HAVING COUNT(*) FILTER (value / size * 1000000 >= cut) >= enough - 1e-14 AND SUM(value) >= 15), e AS (SELECT * FROM o WHERE gene IN (SELECT gene FROM w))"""
-_LOG = f"WITH {_KEPT}, {_TMM}, x AS (SELECT a.gene, t.sample, log2((COALESCE(e.value, 0) + 0.5) / (size * factor + 1) * 1000000) AS x FROM (SELECT DISTINCT gene FROM e) a CROSS JOIN t LEFT JOIN e ON e.gene = a.gene AND e.sample = t.sample), p AS (SELECT gene, sample, x FROM x WHERE gene IN (SELECT gene FROM x GROUP BY gene HAVING AVG(x) > 12))"
+_LOG = f"WITH {_KEPT}, {_TMM}, x AS (SELECT a.gene, t.sample, log2((COALESCE(e.value, 0) + 0.5) / (size * factor + 1) * 1000000) AS x FROM (SELECT DISTINCT gene FROM e) a CROSS JOIN t LEFT JOIN e ON e.gene = a.gene AND e.sample = t.sample), p AS (SELECT gene, sample, x FROM x WHERE gene IN (SELECT gene FROM x GROUP BY gene HAVING AVG(x) > 9))"
 
 
 @query("h12_log_cpm_filter", f"{_LOG} SELECT gene, sample, ROUND((RANK() OVER (PARTITION BY gene ORDER BY ROUND(x, 9)) + (COUNT(*) OVER (PARTITION BY gene, ROUND(x, 9)) - 1) / 2.0) / (COUNT(*) OVER (PARTITION BY gene) + 1), 6) AS u FROM p")
 def h12(spark, d):
-    z = M.log_cpm_filter(view(spark, d, "v_tall"), 12)[0]
+    z = M.log_cpm_filter(view(spark, d, "v_tall"), 9)[0]
     tail = D.two_sided_p(F.col("value")) / 2
     return z.select("gene", "sample", F.round(F.when(F.col("value") > 0, 1 - tail).otherwise(tail), 6).alias("u"))
 
 
 @query("h12_steps", f"{_LOG} SELECT 'Input' AS filter, COUNT(DISTINCT gene) AS n_genes FROM o UNION ALL SELECT 'FilterByExp', COUNT(DISTINCT gene) FROM e UNION ALL SELECT 'CPMFilter', COUNT(DISTINCT gene) FROM p")
 def h12_steps(spark, d):
-    return M.log_cpm_filter(view(spark, d, "v_tall"), 12)[1]
+    return M.log_cpm_filter(view(spark, d, "v_tall"), 9)[1]
 
 
 @query("h11_filter_steps", """WITH g AS (SELECT gene, var_samp(value) <> 0 AS v, COUNT(*) FILTER (value > 0) > 2 AS o, AVG(value / s * 1000000) > 200 AS c FROM v_tall JOIN (SELECT sample, CAST(SUM(value) AS DOUBLE) AS s FROM v_tall GROUP BY sample) x USING (sample) GROUP BY gene)
@@ -224,9 +225,9 @@ def h16_all_samples(spark, d):
 
 
 @query("h17_masked", f"""SELECT column_a, column_b, n, ROUND(r, 6) AS r, ROUND(CASE WHEN {_t_p('r', 'n')} < 0.05 THEN r ELSE 0 END, 6) AS masked_r FROM (SELECT column_a, column_b, COUNT(*) AS n, corr(x, y) AS r FROM
-(SELECT unnest(['n', 'p', 'p']) AS column_a, unnest(['beta', 'beta', 'n']) AS column_b, unnest([n::DOUBLE, p, p]) AS x, unnest([beta, beta, n::DOUBLE]) AS y FROM v_effects WHERE flag = 'A' AND gene % 9 = 1) q WHERE NOT (x = 0 AND y = 0) GROUP BY 1, 2) z""")
+(SELECT unnest(['n', 'p', 'p']) AS column_a, unnest(['beta', 'beta', 'n']) AS column_b, unnest([n::DOUBLE, p, p]) AS x, unnest([beta, beta, n::DOUBLE]) AS y FROM v_effects WHERE flag = 'A') q WHERE NOT (x = 0 AND y = 0) GROUP BY 1, 2) z""")
 def h17(spark, d):
-    e = view(spark, d, "v_effects").where("flag = 'A' AND gene % 9 = 1").withColumn("key", F.concat_ws("_", "gene", "snp"))
+    e = view(spark, d, "v_effects").where("flag = 'A'").withColumn("key", F.concat_ws("_", "gene", "snp"))
     return _round(X.masked_correlations(e, e, "key", ["beta", "n", "p"], ["beta", "n", "p"], drop_paired_zero=True, triangle=True), "r", "masked_r").drop("p")
 
 
@@ -325,16 +326,16 @@ def w12(spark, d):
     return _round(R.qvalues(R.bh_fdr(e, "p", ["flag"], "bh"), "p", ["flag"]).select("flag", "gene", "snp", "q", "bh"), "q", "bh")
 
 
-_ASSOC = """WITH p AS (SELECT DISTINCT gene, snp FROM v_effects WHERE flag = 'A' AND gene % 4 = 1), y AS (SELECT gene, sample, sample % 2 AS dataset, (RANK() OVER (PARTITION BY gene, sample % 2 ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, sample % 2, value) - 1) / 2.0) AS k, COUNT(*) OVER (PARTITION BY gene, sample % 2) AS m FROM v_expr)
+_ASSOC = """WITH p AS (SELECT DISTINCT gene, snp FROM v_effects WHERE flag = 'A'), y AS (SELECT gene, sample, sample % 2 AS dataset, (RANK() OVER (PARTITION BY gene, sample % 2 ORDER BY value) + (COUNT(*) OVER (PARTITION BY gene, sample % 2, value) - 1) / 2.0) AS k, COUNT(*) OVER (PARTITION BY gene, sample % 2) AS m FROM v_expr)
 SELECT dataset, gene, snp, COUNT(*) AS n FROM p JOIN y USING (gene) JOIN (SELECT snp, sample, dosage FROM v_genotypes_all WHERE dosage IS NOT NULL) g USING (snp, sample) GROUP BY dataset, gene, snp HAVING COUNT(*) >= 2"""
 
 
 @query("h19_cis_association", _ASSOC)
 def h19(spark, d):
     """The pairs and sizes have SQL; r, p and z are tested against a brute-force computation."""
-    pairs = view(spark, d, "v_effects").where("flag = 'A' AND gene % 4 = 1").select("gene", "snp")
+    pairs = view(spark, d, "v_effects").where("flag = 'A'").select("gene", "snp")
     e = view(spark, d, "v_expr").withColumn("dataset", F.col("sample") % 2)
-    return M.cis_association(pairs, view(spark, d, "v_genotypes_all"), e, 2).select("dataset", "gene", "snp", "n")
+    return M.pair_association(pairs, view(spark, d, "v_genotypes_all"), e, 2).select("dataset", "gene", "snp", "n")
 
 
 @query("h20_meta_p", f"SELECT gene, snp, n_datasets, n, ROUND(z, 6) + 0 AS z, ROUND({_two_sided('z')}, 6) AS p FROM (SELECT gene, snp, COUNT(*) AS n_datasets, CAST(SUM(n) AS BIGINT) AS n, SUM(sqrt(n) * z) / sqrt(SUM(n)) AS z FROM v_study GROUP BY gene, snp HAVING COUNT(*) >= 2) x")

@@ -89,7 +89,7 @@ def test_cis_association_matches_brute_force(spark):
     pairs = view(spark, DIR, "v_effects").where("flag = 'A' AND gene < 12").select("gene", "snp")
     e = view(spark, DIR, "v_expr").withColumn("dataset", F.col("sample") % 2)
     g = view(spark, DIR, "v_genotypes_all")
-    got = {(r.dataset, r.gene, r.snp): r for r in M.cis_association(pairs, g, e, 3).collect()}
+    got = {(r.dataset, r.gene, r.snp): r for r in M.pair_association(pairs, g, e, 3).collect()}
     values, dosage = defaultdict(dict), {(r.snp, r["sample"]): r.dosage for r in g.collect() if r.dosage is not None}
     for r in e.collect():
         values[r.dataset, r.gene][r["sample"]] = float(r.value)
