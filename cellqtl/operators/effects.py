@@ -36,18 +36,19 @@ def lookup_counts(effects: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.agg(F.count(F.lit(1)).alias("wanted"), F.count_if(seen).alias("found"), F.count_if(~known).alias("missing_gene"), F.count_if(known & ~seen).alias("missing_pair"))
 
 
-def overlap_effects(disc: DataFrame, repl: DataFrame, effects: tuple[str, ...] = ("beta", "z")) -> DataFrame:
-    """J4. Left join on gene, snp and, where both tables have them, the sorted alleles. The replication's columns get ``repl_`` in
-    front. Where the effect alleles differ, its effects are turned and its allele frequency is that of the other allele; then its
+def overlap_effects(disc: DataFrame, repl: DataFrame, effects: tuple[str, ...] = ("beta", "z"), by: tuple[str, ...] = ()) -> DataFrame:
+    """J4. Left join on gene, snp and, where both tables have them, the sorted alleles. With runs ``by``, on these too, and alleles have to agree
+    where both rows have them. The replication's columns get ``repl_`` in front. Where the effect alleles differ, its effects are turned and its allele frequency is that of the other allele; then its
     alleles are discovery's. A pair without an effect on its side is not turned."""
-    keys = ["gene", "snp"]
+    keys = [*by, "gene", "snp"]
+    r = repl.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(F.col(c).alias(f"repl_{c}") for c in repl.columns if c not in (*keys, "alleles")), *([sort_alleles(F.col("alleles")).alias("_other")] if "alleles" in repl.columns else []))
+    on = [disc[k] == r[f"_k{i}"] for i, k in enumerate(keys)]
     if "alleles" in disc.columns and "alleles" in repl.columns:
-        disc, repl = (df.withColumn("_alleles", sort_alleles(F.col("alleles"))) for df in (disc, repl))
-        keys = [*keys, "_alleles"]
-    r = repl.select(*keys, *(F.col(c).alias(f"repl_{c}") for c in repl.columns if c not in keys))
+        own, other = sort_alleles(disc["alleles"]), r["_other"]
+        on.append((own == other) | (own == "") | (other == "") if by else own == other)  # empty: not known
     there = [c for c in effects if f"repl_{c}" in r.columns]
     flip = F.coalesce((F.col("ea") != F.col("repl_ea")) & reduce(Column.__or__, (F.col(f"repl_{c}").isNotNull() for c in there)), F.lit(False))
-    out = disc.join(r, keys, "left").withColumn("flipped", flip)
+    out = disc.join(r, on, "left").drop(*(f"_k{i}" for i in range(len(keys))), "_other").withColumn("flipped", flip)
     turned = {f"repl_{c}": F.when(F.col("flipped"), -F.col(f"repl_{c}")).otherwise(F.col(f"repl_{c}")) for c in there}
     if "repl_af" in r.columns:
         turned["repl_af"] = F.when(F.col("flipped"), 1 - F.col("repl_af")).otherwise(F.col("repl_af"))
@@ -55,7 +56,7 @@ def overlap_effects(disc: DataFrame, repl: DataFrame, effects: tuple[str, ...] =
         turned |= {"repl_oa": F.col("oa"), "repl_ea": F.col("ea")}
     elif "repl_oa" in r.columns:
         turned |= {"repl_oa": F.when(F.col("flipped"), F.col("repl_ea")).otherwise(F.col("repl_oa")), "repl_ea": F.col("ea")}
-    return out.withColumns(turned).drop("_alleles")
+    return out.withColumns(turned)
 
 
 def correlations(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..operators import association as A
+from ..operators import genetics as G
 from ..operators import matrix as M
+from ..operators.replication import Study, replicate
+from ..sources.effects import source_specs
 from .registry import quantile_sql, query
+from .statistics import _SCALED_PI0, _published, _t_p
 from .views import view
 
 
@@ -43,3 +49,56 @@ def h19_window(spark, d):
     genes = view(spark, d, "v_genes").select("gene", "chr", F.col("chr_start").alias("tss"))
     found = A.cis_association(view(spark, d, "v_genotypes_all"), view(spark, d, "v_expr"), gte, genes, view(spark, d, "v_variants"), maf=0.3, call=0.93, hwe=1e-12, min_obs=3)
     return _round(found.drop("p", "z"), "r").withColumn("r", F.col("r") + 0.0)
+
+
+#: A source as its owner would declare it: other names, versions of genes, a variant that holds place and alleles, sizes that follow from allele counts.
+_DECLARED = json.dumps({
+    "gene_id": [["feature", "(G[0-9]+)\\.", ""]], "position": [["variant", "([0-9]+)_", ":"], ["variant", "[0-9]+_([0-9]+)_", ""]],
+    "alleles": [["variant", "[0-9]+_[0-9]+_([A-Z]+)_", "/"], ["variant", "[0-9]+_[0-9]+_[A-Z]+_([A-Z]+)", ""]], "ea": "tested", "beta": "slope", "beta_se": "slope_se", "p": "pval_nominal", "mac": "ma_count", "maf": "freq",
+})
+
+
+def _studies(spark, d):
+    """Three sources of their own shapes: one that is published, one declared in JSON, with other gene names, and one with its own rate and few columns."""
+    e = view(spark, d, "v_study")
+    published = _published(spark, d).drop("qval")
+    declared = e.where("flag = 'R'").select(
+        F.concat(F.lit("G"), "gene", F.lit(".2")).alias("feature"), F.concat(F.lit("1_"), F.col("snp") * 10, F.when(F.col("ea") == "A", "_A_G").otherwise("_G_A")).alias("variant"), F.col("ea").alias("tested"),
+        F.col("beta").cast("string").alias("slope"), F.col("beta_se").cast("string").alias("slope_se"), F.col("p").cast("string").alias("pval_nominal"), F.concat("n", F.lit(".0")).alias("ma_count"), F.lit("0.25").alias("freq"),
+    )
+    few = e.where("flag = 'N'").select(F.concat(F.lit("ENSG"), "gene").alias("gene"), F.concat(F.lit("1:"), F.col("snp") * 10).alias("snp"), "ea", F.col("beta").alias("b"), F.col("p").alias("pv"), F.least(F.lit(1.0), F.col("p") * 2).alias("rate"))
+    plain = lambda **c: {k: [(v, None, "")] for k, v in c.items()}
+    names = view(spark, d, "v_genes").select(F.concat(F.lit("G"), "gene").alias("short"), F.concat(F.lit("ENSG"), "gene").alias("long"))
+    specs, n = G.load_column_specs(_DECLARED)
+    return [
+        Study("published", published, source_specs("meta_analysis", published)),
+        Study("declared", declared, specs, n, names),
+        Study("few", few, plain(gene_id="gene", position="snp", ea="ea", beta="b", p="pv", fdr="rate"), 100),
+    ]
+
+
+_RUNS = f"""WITH e AS (SELECT 'published' AS study, 'ENSG' || gene AS gene, '1:' || snp * 10 AS snp, p * 1.5 AS p, beta, ea, NULL::DOUBLE AS own FROM v_study WHERE flag = 'A' AND p * 1.5 <= 1
+UNION ALL SELECT 'declared', 'ENSG' || gene, '1:' || snp * 10, p, beta, ea, NULL FROM v_study WHERE flag = 'R' UNION ALL SELECT 'few', 'ENSG' || gene, '1:' || snp * 10, p, beta, ea, LEAST(1.0, p * 2) FROM v_study WHERE flag = 'N'),
+t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY study, gene ORDER BY p, snp) AS r FROM e) x WHERE r = 1),
+k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY study ORDER BY p) AS k, COUNT(*) OVER (PARTITION BY study) AS m FROM t),
+f AS (SELECT *, COALESCE(own, LEAST(1.0, MIN(p * m / k) OVER (PARTITION BY study ORDER BY k DESC ROWS UNBOUNDED PRECEDING))) AS fdr FROM k),
+o AS (SELECT f.study AS disc, n.study AS repl, f.gene, f.snp, f.p, f.fdr, f.beta, e.p AS repl_p, CASE WHEN f.ea <> e.ea THEN -e.beta ELSE e.beta END AS repl_beta FROM f JOIN (SELECT DISTINCT study FROM e) n ON n.study <> f.study LEFT JOIN e ON e.study = n.study AND e.gene = f.gene AND e.snp = f.snp),
+s AS (SELECT disc, repl, gene, m2, LEAST(1.0, MIN(repl_p * m2 / k2) OVER (PARTITION BY disc, repl ORDER BY k2 DESC ROWS UNBOUNDED PRECEDING)) AS rate FROM
+(SELECT *, ROW_NUMBER() OVER (PARTITION BY disc, repl ORDER BY repl_p) AS k2, COUNT(*) OVER (PARTITION BY disc, repl) AS m2 FROM o WHERE fdr <= 0.6 AND repl_beta IS NOT NULL) b),
+u AS (SELECT o.*, CASE WHEN m2 > 1 THEN rate END AS repl_fdr FROM o LEFT JOIN s USING (disc, repl, gene))"""
+
+
+@query("h18_from_sources", f"""{_RUNS}, v AS (SELECT *, unnest(CASE WHEN repl_fdr <= 0.6 AND fdr <= 0.6 THEN ['all', 'disc', 'both'] WHEN fdr <= 0.6 THEN ['all', 'disc'] ELSE ['all'] END) AS subset FROM u WHERE repl_beta IS NOT NULL),
+b AS (SELECT disc, repl, subset, COUNT(*) AS n, CASE WHEN COUNT(*) > 1 THEN corr(beta, repl_beta) END AS r, 100.0 * AVG(CASE WHEN beta * repl_beta > 0 THEN 1.0 ELSE 0.0 END) AS ac FROM v GROUP BY disc, repl, subset),
+h AS (SELECT disc, repl, 1 - LEAST(1.0, {_SCALED_PI0}) AS pi1 FROM (SELECT *, MAX(repl_p) OVER (PARTITION BY disc, repl) AS top_p FROM v WHERE subset = 'disc') q GROUP BY disc, repl)
+SELECT disc, repl, subset, n, ROUND(r, 6) AS r, ROUND({_t_p('r', 'n')}, 5) AS p, ROUND(ac, 6) AS ac, ROUND(CASE WHEN subset = 'disc' THEN pi1 END, 6) AS pi1 FROM b LEFT JOIN h USING (disc, repl)""")
+def h18_sources(spark, d):
+    """From three sources to the statistics of all six pairs. Rb and standard errors are tested against brute force."""
+    s = replicate(_studies(spark, d), 0.6)[1]
+    return _round(s, "r", "ac", "pi1").select("disc", "repl", "subset", "n", "r", F.round("p", 5).alias("p"), "ac", "pi1")
+
+
+@query("h18_source_pairs", f"{_RUNS} SELECT disc, repl, gene, snp, ROUND(fdr, 6) AS fdr, ROUND(repl_fdr, 6) AS repl_fdr, ROUND(repl_beta, 6) + 0 AS repl_beta FROM u")
+def h18_source_pairs(spark, d):
+    pairs = replicate(_studies(spark, d), 0.6)[0].select("disc", "repl", "gene", "snp", "fdr", "repl_fdr", "repl_beta")
+    return _round(pairs, "fdr", "repl_fdr", "repl_beta").withColumn("repl_beta", F.col("repl_beta") + 0.0)
