@@ -38,12 +38,15 @@ def filter_steps(expr: DataFrame, min_obs: int, min_cpm: float) -> DataFrame:
     return g.agg(F.array(*(F.struct(F.lit(k).alias("filter"), F.count_if(x).alias("n_genes")) for k, x in steps.items())).alias("_s")).select(F.inline("_s"))
 
 
-def proportional_fit(counts: DataFrame, log1p: bool = False) -> DataFrame:
-    """H13. Each cell scaled to the mean depth of all cells, optionally followed by log(1 + x)."""
+def proportional_fit(counts: DataFrame, log1p: bool = False, target: float | None = None) -> DataFrame:
+    """H13. Each cell scaled to the depth ``target``, else to the mean depth of all cells, optionally followed by log(1 + x). A cell without depth
+    has null."""
     depth = counts.groupBy("barcode").agg(F.sum("cnt").alias("_d"))
-    mean = depth.agg(F.avg("_d").alias("_m"))
-    fit = F.col("cnt") * F.col("_m") / F.col("_d")
-    return counts.join(depth, "barcode").join(F.broadcast(mean)).withColumn("fit", F.log1p(fit) if log1p else fit).drop("_d", "_m")
+    rows = counts.join(depth, "barcode")
+    if target is None:
+        rows = rows.join(F.broadcast(depth.agg(F.avg("_d").alias("_m"))))  # one row
+    fit = F.try_divide(F.col("cnt") * (F.col("_m") if target is None else F.lit(float(target))), "_d")
+    return rows.withColumn("fit", F.log1p(fit) if log1p else fit).drop("_d", "_m")
 
 
 def fit_chain(counts: DataFrame) -> DataFrame:
@@ -100,6 +103,24 @@ def column_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[st
     return x.join(y, key).select(F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL").groupBy("column_a", "column_b").agg(F.count("*").alias("n"), correlation("x", "y").alias("r"))
 
 
+def correlations_by_dataset(a: DataFrame, b: DataFrame, key: list[str], columns_a: list[str], columns_b: list[str], by: list[str], method: str = "pearson") -> DataFrame:
+    """H17. by (columns of ``a``), column_a, column_b, n, r, p: every listed column of one table against every one of the other in each dataset, over the rows that have
+    both values (each pair leaves out its own rows). ``spearman`` ranks the rows that are left to a pair. Null where a column hardly varies."""
+    x = a.select(*key, *by, *(F.col(c).cast("double").alias(f"a_{c}") for c in columns_a))
+    y = b.select(*key, *(F.col(c).cast("double").alias(f"b_{c}") for c in columns_b))
+    pairs = F.array(*(F.struct(F.lit(p).alias("column_a"), F.lit(q).alias("column_b"), F.col(f"a_{p}").alias("x"), F.col(f"b_{q}").alias("y")) for p in columns_a for q in columns_b))
+    of = [*by, "column_a", "column_b"]
+    rows = x.join(y, key).select(*by, F.inline(pairs)).where("x IS NOT NULL AND y IS NOT NULL")
+    if method == "spearman":
+        for c in ("x", "y"):
+            rows = average_ranks(rows, c, of).withColumn(c, F.col("rank")).drop("rank")
+    elif method != "pearson":
+        raise ValueError(method)
+    varies = (F.stddev_samp("x") > 1e-7) & (F.stddev_samp("y") > 1e-7)
+    g = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("n"), F.when(varies, correlation("x", "y")).alias("r"))
+    return g.withColumn("p", correlation_p(F.col("r"), F.col("n")))
+
+
 def masked_correlations(a: DataFrame, b: DataFrame, key: str, columns_a: list[str], columns_b: list[str], drop_paired_zero: bool = False, triangle: bool = False, alpha: float = 0.05) -> DataFrame:
     """H17 with p values: r is 0 where p is not below alpha, null where a column hardly varies. ``drop_paired_zero`` leaves rows out in which both are 0;
     ``triangle`` keeps each pair of a table with itself once."""

@@ -13,7 +13,7 @@ from .ranking import same
 
 def extract(df: DataFrame, spec: list[tuple[str, str | dict | None, str]]) -> Column:
     """F1. A value from parts (column, pattern, suffix), one after another. A pattern gives its first group and must match
-    at the start; a dict translates; None takes the column as it is. A part without a value makes the whole null; absent columns are left
+    at the start; a dict translates (a table does in :func:`join_dictionaries`); None takes the column as it is. A part without a value makes the whole null; absent columns are left
     out; an empty result is null."""
     parts = []
     for column, how, suffix in spec:
@@ -28,6 +28,22 @@ def extract(df: DataFrame, spec: list[tuple[str, str | dict | None, str]]) -> Co
     return F.nullif(F.concat(*parts), F.lit("")) if parts else F.lit(None).cast("string")
 
 
+def join_dictionaries(df: DataFrame, specs: dict[str, list]) -> tuple[DataFrame, dict[str, list]]:
+    """F1, for dictionaries of any size. A part whose ``how`` is a table (key, value) becomes a column by a left join, and the part names that column. Of a key
+    with several values the least counts."""
+    out, told = df, {}
+    for field, parts in specs.items():
+        told[field] = []
+        for i, (column, how, suffix) in enumerate(parts):
+            if isinstance(how, DataFrame) and column in df.columns:
+                name = f"_joined_{field}_{i}"
+                words = how.groupBy(F.col("key").cast("string").alias("_key")).agg(F.min(F.col("value").cast("string")).alias(name))
+                out = out.join(words, F.col(f"`{column}`").cast("string") == F.col("_key"), "left").drop("_key")
+                column, how = name, None
+            told[field].append((column, how, suffix))
+    return out, told
+
+
 #: F4. The standard fields, and which of them are numbers and p values.
 FIELDS = "gene_symbol gene_id rsid position alleles ea oa beta beta_se n_tests p permuted_p bonferroni z fdr n af mac maf".split()
 NUMBERS = "beta beta_se n_tests p permuted_p bonferroni z fdr n af mac maf".split()
@@ -37,6 +53,7 @@ WHOLE, P_VALUES = ("n_tests", "n", "mac"), ("p", "permuted_p", "bonferroni", "fd
 def standardize(df: DataFrame, specs: dict[str, list], numbers: list[str], p_values: list[str]) -> DataFrame:
     """F4. The fields of the specs, numbers cast where they can be. Rows without gene or snp, or with a p value outside of 0 to 1,
     are dropped."""
+    df, specs = join_dictionaries(df, specs)
     out = df.select(*(extract(df, s).alias(n) for n, s in specs.items()))
     out = out.withColumns({n: F.col(n).try_cast("double") for n in numbers}).dropna(subset=["gene", "snp"])
     for p in p_values:
@@ -48,6 +65,7 @@ def standardize_all(df: DataFrame, specs: dict[str, list], gene: str = "gene_id"
     """F4 with all 19 fields. ``gene`` and ``snp`` name the fields that make the key. Whole numbers are cut toward zero ("180.0" is 180); a
     field that no row has is left out, as is the rate of the replication side (``include_fdr`` False)."""
     names = [f for f in FIELDS if f in specs and (include_fdr or f != "fdr")]
+    df, specs = join_dictionaries(df, specs)
     kind = lambda f: "long" if f in WHOLE else "double"
     out = df.select(*((extract(df, specs[f]).try_cast("double").cast(kind(f)) if f in NUMBERS else extract(df, specs[f])).alias(f) for f in names))
     out = out.where(F.col(gene).isNotNull() & F.col(snp).isNotNull())
@@ -146,6 +164,12 @@ def filter_variants(stats: DataFrame, least: dict[str, float], variants: DataFra
     return stats if variants is None else stats.join(variants.select("snp"), "snp", "left_semi")
 
 
+def filter_genotypes(genotypes: DataFrame, stats: DataFrame, least: dict[str, float], variants: DataFrame | None = None, chromosome: str | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """F12 on the genotypes themselves: those of variants that pass :func:`filter_variants` and, with ``samples`` (sample), of the listed samples alone."""
+    kept = genotypes.join(filter_variants(stats, least, variants, chromosome).select("snp"), "snp", "left_semi")
+    return kept if samples is None else kept.join(samples.select("sample"), "sample", "left_semi")
+
+
 def select_demultiplex_variants(genotypes: DataFrame, variants: DataFrame, exons: DataFrame, maf: float = 0.05, r2: float = 0.3, width: int = 10_000) -> DataFrame:
     """F18. Variants (snp, chr, pos, ref, alt, r2) for telling donors apart: MAF anew from the genotypes and R2 at least the bounds, two alleles of one
     base each, every sample called, and inside an exon (chr, start, end; start counts from 0). Exons and variants meet in buckets of

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import same
+from ..sources.scratch import written
+from .ranking import ranked, same
 
 
 def build_cell_metadata(cells: DataFrame, droplets: DataFrame, cell_types: DataFrame, donors: DataFrame, pairing: DataFrame | None = None) -> DataFrame:
@@ -125,6 +125,32 @@ def cell_filter_funnel(cells: DataFrame, steps: dict[str, Column], by: list[str]
     return cells.groupBy(*by).agg(*aggs)
 
 
+def threshold_grid(cells: DataFrame, steps: dict[str, Column | tuple[Column, str, list[float]]], by: list[str]) -> DataFrame:
+    """A14 for every combination of thresholds. A step is a condition, or a value, ``min`` or ``max``, and its thresholds (a value equal to one passes; null
+    never does). by, at_<step> for each step with thresholds, input and the cells left after each step, the steps before it included.
+
+    Each cell is reduced to how many thresholds of each step it passes, loosest first; these combinations are counted in one pass, and what
+    passes a combination of thresholds is a sum over that small table."""
+    levels, grids = {}, {}
+    for name, step in steps.items():
+        if isinstance(step, tuple):
+            value, kind, at = step
+            grids[name] = sorted(set(at), reverse=kind == "max")
+            passes = [F.coalesce((value >= t) if kind == "min" else (value <= t), F.lit(False)) for t in grids[name]]
+        else:
+            passes = [F.coalesce(step, F.lit(False))]
+        levels[name] = reduce(Column.__add__, (p.cast("int") for p in passes))
+    counted = cells.select(*by, *(c.alias(f"_l_{n}") for n, c in levels.items())).groupBy(*by, *(f"_l_{n}" for n in levels)).agg(F.count(F.lit(1)).alias("_n"))
+    out = counted
+    for n, at in grids.items():
+        out = out.withColumn(f"_g_{n}", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(at)))))
+    passed, aggs = F.lit(True), [F.sum("_n").alias("input")]
+    for n in levels:
+        passed = passed & (F.col(f"_l_{n}") >= (F.col(f"_g_{n}.i") if n in grids else F.lit(1)))
+        aggs.append(F.sum(F.when(passed, F.col("_n")).otherwise(0)).alias(n))
+    return out.groupBy(*by, *(F.col(f"_g_{n}.t").alias(f"at_{n}") for n in grids)).agg(*aggs)
+
+
 def qtl_results_overview(top: DataFrame, by: list[str], p_columns: list[str], alpha: float) -> DataFrame:
     """A16. By run: genes, single-nucleotide variants, mean N, and the genes below alpha for each p column."""
     below = (F.count_if(F.col(p).cast("string").try_cast("double") < alpha).alias(f"n_{p}") for p in p_columns)
@@ -196,26 +222,40 @@ def gene_batches(genes: DataFrame, n: int) -> DataFrame:
     return ranked.join(before.select("chr", "_before"), "chr").withColumn("batch", F.floor((F.col("_before") + F.col("_r") - 1) / n)).drop("_before", "_r")
 
 
-def grouped_batches(groups: DataFrame, n: int, overflow: int) -> DataFrame:
-    """W7 with groups. ``groups`` has chr, group, start and n_genes. Whole groups in order go into a batch of n genes; one that would make it larger than
-    n + overflow opens the next. The greedy scan is over groups, and each chromosome is one on its own: batches end with a chromosome."""
-
-    def scan(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["start", "group"])
-        batch, fill, out = 0, 0, []
-        for k in x["n_genes"]:
-            if fill and (fill >= n or fill + k > n + overflow):
-                batch, fill = batch + 1, 0
-            fill += k
-            out.append(batch)
-        return x.assign(chr_batch=out)[["chr", "group", "chr_batch"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
-    scanned = groups.select("chr", "group", "start", "n_genes").groupBy("chr").applyInPandas(scan, f"chr {kinds['chr']}, group {kinds['group']}, chr_batch int")
-    sizes = scanned.groupBy("chr").agg((F.max("chr_batch") + 1).alias("_k"))
-    order = Window.orderBy(F.col("chr").cast("string").try_cast("int").asc_nulls_last(), F.col("chr").cast("string")).rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("chr", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_before"))  # a row for each chromosome
-    return scanned.join(first, "chr").select("chr", "group", (F.col("_before") + F.col("chr_batch")).alias("batch"))
+def grouped_batches(genes: DataFrame, n: int, overflow: int) -> DataFrame:
+    """W7 with groups. group, batch of ``genes`` (gene, group, chr, chr_start). Groups lie in the order of their first gene (numeric chromosomes, then others;
+    start; gene), then of their name. Whole groups go into a batch until it has n genes; one that would make it larger than n + overflow
+    opens the next, and a batch may hold several chromosomes.
+
+    A batch that begins at a group ends at a place that follows from sums of genes alone, so every group first gets the next
+    batch's first group as if it began one: a frame of the next n + overflow genes, over pieces of the order that overlap by as many
+    groups. The beginnings that are reached from the first group are then marked by pointers of doubled length."""
+    number = F.col("chr").cast("string").try_cast("int")
+    place = F.struct(number.isNull().alias("t"), number.alias("n"), F.col("chr").cast("string").alias("c"), F.col("chr_start").alias("s"), F.col("gene").alias("g"))
+    groups = genes.groupBy("group").agg(F.min(place).alias("_p"), F.count(F.lit(1)).alias("_k"))
+    keys = [F.col(f"_p.{c}") for c in "tncs"]
+    r = ranked(groups, [], [*keys, F.col("group")])
+    parts = r.groupBy("_part").agg(F.sum("_k").alias("_in"))
+    parts = parts.select("_part", (F.sum("_in").over(Window.partitionBy(F.lit(1)).orderBy("_part")) - F.col("_in")).alias("_base"))  # a row for each range
+    inside = F.sum("_k").over(Window.partitionBy("_part").orderBy("_rank")) - F.col("_k")
+    rows = written(r.withColumn("_in", inside).join(F.broadcast(parts), "_part").select("group", (F.col("_rank") - 1).alias("_at"), (F.col("_base") + F.col("_in")).alias("_sum"), "_k"), "groups")
+    end = rows.agg(F.count(F.lit(1)).alias("_at"), F.coalesce(F.sum("_k"), F.lit(0)).alias("_sum")).select(F.lit(None).cast(rows.schema["group"].dataType).alias("group"), "_at", "_sum", F.lit(0).cast("long").alias("_k"))
+    halo = n + overflow + 1
+    piece = F.floor(F.col("_at") / halo)
+    pieces = rows.unionByName(end).withColumn("_piece", F.explode(F.array_compact(F.array(piece, F.when(piece > 0, piece - 1)))))
+    w = Window.partitionBy("_piece").orderBy("_sum")
+    full, most = (F.count(F.lit(1)).over(w.rangeBetween(Window.currentRow, k)) for k in (n - 1, n + overflow))
+    ahead = pieces.withColumns({"_full": full, "_most": most}).where((piece == F.col("_piece")) & F.col("group").isNotNull())
+    ahead = ahead.select(F.col("_at").alias("_from"), (F.col("_at") + F.least("_full", F.greatest(F.col("_most") - 1, F.lit(1)))).alias("_to"))
+    jumps = [written(ahead, "jumps")]
+    while (twice := jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a._to") == F.col("b._from")).select(F.col("a._from").alias("_from"), F.col("b._to").alias("_to"))).where("_from = 0").limit(1).count():
+        jumps.append(written(twice, "jumps"))
+    begun = rows.sparkSession.createDataFrame([(0,)], "_from long")
+    for jump in reversed(jumps):
+        begun = written(begun.union(begun.join(jump, "_from").select(F.col("_to").alias("_from"))).distinct(), "begun")
+    firsts = begun.join(jumps[0], "_from")
+    numbered = ranked(firsts, [], [F.col("_from")]).select((F.col("_rank") - 1).alias("batch"), F.explode(F.sequence("_from", F.col("_to") - 1)).alias("_at"))
+    return rows.join(numbered, "_at").select("group", "batch")
 
 
 def exclude_duplicate_donors(stats: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -255,13 +295,22 @@ def join_corrected(matrices: list[DataFrame]) -> DataFrame:
     return out.withColumn("_k", F.when(F.col("_k") > 1, F.raise_error(F.lit("sample in two matrices"))).otherwise(F.col("_k"))).where("_k = 1").drop("_k", "_of")
 
 
+#: Samples of a block of names.
+SAMPLES = 256
+
+
 def densify_genotypes(merged: DataFrame) -> DataFrame:
-    """U4, for an export. A row for every variant and sample, ./. where no study has one. The samples of each variant are an array beside the variant,
-    so no product of two tables is joined; the result has as many cells as the file."""
-    everyone = merged.agg(F.array_sort(F.collect_set("sample")).alias("_all"))  # one row: a file's header
-    held = merged.groupBy("snp").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("_m")).join(F.broadcast(everyone))
+    """U4, for an export. A row for every variant and sample, ./. where no study has one. Samples are dealt to blocks of ``SAMPLES`` names, and the cells of a
+    variant and a block are an array beside the block's names: they meet in a join on the block, so no row holds a whole header or a whole
+    variant; the result has as many cells as the file."""
+    names = merged.select("sample").distinct()
+    n = names.count()
+    block = F.pmod(F.xxhash64("sample"), F.lit(max(1, -(-n // SAMPLES))))
+    header = names.groupBy(block.alias("_b")).agg(F.collect_list("sample").alias("_all"))
+    held = merged.withColumn("_b", block).groupBy("snp", "_b").agg(F.map_from_entries(F.collect_list(F.struct("sample", "dosage"))).alias("_m"))
+    each = merged.select("snp").distinct().withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-n // SAMPLES)) - 1).cast("long"))))
     cells = F.transform("_all", lambda s: F.struct(s.alias("sample"), F.element_at("_m", s).alias("dosage")))
-    out = held.select("snp", F.explode(cells).alias("_c")).select("snp", "_c.sample", "_c.dosage")
+    out = each.join(held, ["snp", "_b"], "left").join(header, "_b").select("snp", F.explode(cells).alias("_c")).select("snp", "_c.sample", "_c.dosage")
     gt = F.when(F.col("dosage").isNull(), "./.").otherwise(F.element_at(F.array(F.lit("0/0"), F.lit("0/1"), F.lit("1/1")), F.col("dosage").cast("int") + 1))
     return out.withColumn("gt", gt)
 

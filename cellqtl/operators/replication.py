@@ -45,6 +45,20 @@ def prepared(study: Study, gene: str = "gene_id", snp: str = "position", infer:
     return chosen.select(F.lit(study.name).alias("study"), *(held(c, "string") for c in TEXT), *(held(c, "double") for c in VALUES), F.lit("fdr" in out.columns).alias("_own"))
 
 
+def titrated(effects: DataFrame, alpha: float, by: str = "n_pcs", of: str = "cell_type") -> DataFrame:
+    """A21, its second part. by, disc, repl, n, r, p, ac, pi1 (and Rb with standard errors): for each number of components, and each cell type as discovery against every
+    other one of the same number, the statistics (A19) over top effects that are significant in discovery. ``effects``: by, of, gene, snp, p, beta, ea. All
+    settings are keys of one job."""
+    rest = [c for c in effects.columns if c not in (by, of, "gene")]
+    best = effects.where("p is not null").groupBy(by, of, "gene").agg(F.min_by(F.struct(*rest), F.struct("p", "snp")).alias("_b"))
+    top = bh_fdr(best.select(by, F.col(of).alias("disc"), "gene", "_b.*"), "p", [by, "disc"], "fdr")
+    other = effects.select(by, F.col(of).alias("repl"), "gene", "snp", *(F.col(c).alias(f"repl_{c}") for c in rest if c != "snp"))
+    found = top.join(other, [by, "gene", "snp"]).where("disc <> repl")
+    turned = found.withColumn("repl_beta", F.when(F.col("ea") != F.col("repl_ea"), -F.col("repl_beta")).otherwise(F.col("repl_beta")))
+    stats = replication_stats(written(turned, "titrated"), alpha, "fdr", "repl_p", (by, "disc", "repl"))
+    return stats.where("subset = 'disc'").drop("subset")
+
+
 def replicate(studies: list[Study], alpha: float, fdr: str = "bh", gene: str = "gene_id", snp: str = "position", infer: bool = True, duplicates: str = "allbutfirst") -> tuple[DataFrame, DataFrame]:
     """H18. (pairs, statistics) of every study as discovery against every other as replication. A discovery's top effect of each gene (W3) is looked up in
     the other studies (J3, J4: alleles must agree where both studies have them, effects are turned to discovery's effect allele). Discovery's

@@ -7,10 +7,14 @@ import json
 from pyspark.sql import functions as F
 
 from ..operators import association as A
+from ..operators import expression as X
 from ..operators import genetics as G
 from ..operators import matrix as M
-from ..operators.replication import Study, replicate
+from ..operators import metadata as N
+from ..operators.replication import Study, replicate, titrated
+from ..sources import tables as T
 from ..sources.effects import source_specs
+from ..sources.scratch import scratch_path
 from .registry import quantile_sql, query
 from .statistics import _SCALED_PI0, _published, _t_p
 from .views import view
@@ -102,3 +106,89 @@ def h18_sources(spark, d):
 def h18_source_pairs(spark, d):
     pairs = replicate(_studies(spark, d), 0.6)[0].select("disc", "repl", "gene", "snp", "fdr", "repl_fdr", "repl_beta")
     return _round(pairs, "fdr", "repl_fdr", "repl_beta").withColumn("repl_beta", F.col("repl_beta") + 0.0)
+
+
+_QC = "v_cells LEFT JOIN (SELECT barcode, SUM(cnt) AS n_count, COUNT(*) AS n_feature FROM v_counts GROUP BY barcode) q USING (barcode)"
+
+
+@query("a14_threshold_grid", f"""SELECT cell_type, at_features, at_low, at_high, COUNT(*) AS input, COUNT(*) FILTER (droplet = 'singlet') AS singlet, COUNT(*) FILTER (droplet = 'singlet' AND n_feature >= at_features) AS features,
+COUNT(*) FILTER (droplet = 'singlet' AND n_feature >= at_features AND n_count >= at_low) AS low, COUNT(*) FILTER (droplet = 'singlet' AND n_feature >= at_features AND n_count >= at_low AND n_count <= at_high) AS high,
+COUNT(*) FILTER (droplet = 'singlet' AND n_feature >= at_features AND n_count >= at_low AND n_count <= at_high AND pool > 1993) AS late
+FROM {_QC}, (SELECT unnest([1.0::DOUBLE, 3, 5]) AS at_features) a, (SELECT unnest([20.0::DOUBLE, 60, 90]) AS at_low) b, (SELECT unnest([120.0::DOUBLE, 200]) AS at_high) c GROUP BY cell_type, at_features, at_low, at_high""")
+def a14_grid(spark, d):
+    qc = view(spark, d, "v_counts").groupBy("barcode").agg(F.sum("cnt").alias("n_count"), F.count("*").alias("n_feature"))
+    count, feature = F.col("n_count"), F.col("n_feature")
+    steps = {"singlet": F.col("droplet") == "singlet", "features": (feature, "min", [1, 3, 5]), "low": (count, "min", [20, 60, 90]), "high": (count, "max", [120, 200]), "late": F.col("pool") > 1993}
+    return N.threshold_grid(view(spark, d, "v_cells").join(qc, "barcode", "left"), steps, ["cell_type"])
+
+
+_PAIRED = """SELECT flag, column_a, column_b, x, y FROM (SELECT flag, unnest(['p', 'p', 'n', 'n']) AS column_a, unnest(['beta', 'z', 'beta', 'z']) AS column_b, unnest([p, p, n, n]) AS x, unnest([beta, z, beta, z]) AS y FROM
+(SELECT flag, CASE WHEN gene % 5 > 0 THEN p END AS p, CAST(n AS DOUBLE) AS n, CASE WHEN snp % 4 > 0 THEN beta END AS beta, z FROM v_study) a) b WHERE x IS NOT NULL AND y IS NOT NULL"""
+
+
+def _columns(spark, d, method):
+    e = view(spark, d, "v_study")
+    a = e.select("flag", "gene", "snp", F.when(F.col("gene") % 5 > 0, F.col("p")).alias("p"), "n")
+    b = e.select("flag", "gene", "snp", F.when(F.col("snp") % 4 > 0, F.col("beta")).alias("beta"), "z")
+    return _round(X.correlations_by_dataset(a.withColumnRenamed("flag", "dataset").withColumn("flag", F.col("dataset")), b, ["flag", "gene", "snp"], ["p", "n"], ["beta", "z"], ["dataset"], method), "r").drop("p")
+
+
+@query("h17_by_dataset", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(x, y), 6) AS r FROM ({_PAIRED}) q GROUP BY ALL")
+def h17_dataset(spark, d):
+    """Two tables with gaps of their own: every pair of columns over the rows that have both."""
+    return _columns(spark, d, "pearson")
+
+
+_RANK_OF = "RANK() OVER (PARTITION BY flag, column_a, column_b ORDER BY {0}) + (COUNT(*) OVER (PARTITION BY flag, column_a, column_b, {0}) - 1) / 2.0::DOUBLE"
+
+
+@query("h17_spearman", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(u, v), 6) AS r FROM (SELECT *, {_RANK_OF.format('x')} AS u, {_RANK_OF.format('y')} AS v FROM ({_PAIRED}) q) w GROUP BY flag, column_a, column_b")
+def h17_spearman(spark, d):
+    return _columns(spark, d, "spearman")
+
+
+@query("a21_titrated_replication", """WITH e AS (SELECT n % 4 AS n_pcs, flag AS cell_type, gene, snp, p, beta, ea FROM v_study),
+t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_pcs, cell_type, gene ORDER BY p, snp) AS r FROM e) x WHERE r = 1), k AS (SELECT *, ROW_NUMBER() OVER w AS k, COUNT(*) OVER (PARTITION BY n_pcs, cell_type) AS m FROM t WINDOW w AS (PARTITION BY n_pcs, cell_type ORDER BY p)),
+f AS (SELECT *, LEAST(1.0, MIN(p * m / k) OVER (PARTITION BY n_pcs, cell_type ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS fdr FROM k)
+SELECT f.n_pcs, f.cell_type AS disc, e.cell_type AS repl, COUNT(*) AS n, ROUND(100.0 * AVG(CASE WHEN f.beta * CASE WHEN f.ea <> e.ea THEN -e.beta ELSE e.beta END > 0 THEN 1.0 ELSE 0.0 END), 6) AS ac
+FROM f JOIN e ON e.n_pcs = f.n_pcs AND e.gene = f.gene AND e.snp = f.snp AND e.cell_type <> f.cell_type WHERE f.fdr <= 0.9 GROUP BY 1, 2, 3""")
+def a21_titrated(spark, d):
+    """All pairs of cell types at each number of components; r, pi1 and Rb are those of A19."""
+    e = view(spark, d, "v_study").select((F.col("n") % 4).alias("n_pcs"), F.col("flag").alias("cell_type"), "gene", "snp", "p", "beta", "ea")
+    return _round(titrated(e, 0.9), "ac").select("n_pcs", "disc", "repl", "n", "ac")
+
+
+@query("s2_unlike_headers", "SELECT CAST(gene AS VARCHAR) AS gene, CAST(snp AS VARCHAR) AS snp, CASE WHEN flag <> 'R' THEN ea END AS ea, CASE WHEN flag = 'N' THEN CAST(n AS VARCHAR) END AS n FROM v_study")
+def s2_unlike(spark, d):
+    """Three shards of other headers: columns in another order, one missing, one more."""
+    path = scratch_path(spark, "shards")
+    e = view(spark, d, "v_study").select("flag", *(F.col(c).cast("string").alias(c) for c in ("gene", "snp", "ea", "n")))
+    for flag, columns in {"A": ["gene", "snp", "ea"], "R": ["snp", "gene"], "N": ["n", "ea", "gene", "snp"]}.items():
+        e.where(F.col("flag") == flag).select(columns).write.csv(f"{path}/CT={flag}", sep="\t", header=True)
+    return T.read_sharded(spark, path + "/CT=<CT>", {"CT": ["A", "R", "N", "missing"]}).select("gene", "snp", "ea", "n")
+
+
+@query("h13_target_depth", "SELECT barcode, gene, cnt, ROUND(ln(1 + cnt * 10000.0 / s), 6) AS fit FROM v_counts JOIN (SELECT barcode, CAST(SUM(cnt) AS DOUBLE) AS s FROM v_counts GROUP BY barcode) x USING (barcode)")
+def h13_target(spark, d):
+    return _round(X.proportional_fit(view(spark, d, "v_counts"), True, 10_000), "fit")
+
+
+@query("h8_oriented", """SELECT CAST(sample AS VARCHAR) AS sample, 'intercept' AS "column", 1.0::DOUBLE AS value FROM v_donors WHERE sample IN (SELECT sample FROM v_expr) UNION ALL SELECT CAST(sample AS VARCHAR), 'pool', CAST(pool AS DOUBLE) FROM v_donors WHERE sample IN (SELECT sample FROM v_expr)""")
+def h8_oriented(spark, d):
+    """Covariates whose rows and columns are exchanged against the matrix."""
+    cov = view(spark, d, "v_donors").select(F.lit("pool").alias("sample"), F.col("sample").cast("string").alias("covariate"), F.col("pool").cast("string").alias("value"))
+    return M.design_matrix(M.oriented(cov, view(spark, d, "v_expr").select("sample")))
+
+
+@query("f12_filter_genotypes", """SELECT snp, sample, dosage FROM v_genotypes_all WHERE sample IN (SELECT sample FROM v_donors WHERE dataset = 'BUILDING') AND snp IN
+(SELECT snp FROM (SELECT snp, COUNT(dosage) AS called, COUNT(*) AS n, SUM(dosage) / 2 / COUNT(dosage) AS af FROM v_genotypes_all GROUP BY snp) x WHERE CAST(called AS DOUBLE) / n >= 0.965 AND LEAST(af, 1 - af) >= 0.48)""")
+def f12_genotypes(spark, d):
+    g = view(spark, d, "v_genotypes_all")
+    return G.filter_genotypes(g, G.variant_stats(g), {"call": 0.965, "maf": 0.48}, samples=view(spark, d, "v_donors").where("dataset = 'BUILDING'"))
+
+
+@query("f1_joined_dictionary", "SELECT symbol || '/' || gene AS gene, CAST(snp AS VARCHAR) AS snp, p, symbol || '/' || gene || '_' || snp AS key FROM v_effects JOIN (SELECT gene, MIN(symbol) AS symbol FROM v_genes GROUP BY gene) g USING (gene)")
+def f1_joined(spark, d):
+    """A dictionary with an entry for each gene, as a table."""
+    words = view(spark, d, "v_genes").select(F.col("gene").alias("key"), F.col("symbol").alias("value"))
+    return G.standardize(view(spark, d, "v_effects"), {"gene": [("gene", words, "/"), ("gene", None, "")], "snp": [("snp", None, "")], "p": [("p", None, "")]}, ["p"], ["p"])

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,7 +26,8 @@ def read_table(spark: SparkSession, path: str | list[str], sep: str = "\t", head
 
 def read_sharded(spark: SparkSession, template: str, values: dict[str, list[str]], fallback: str | None = None) -> DataFrame:
     """S2. The tables of a path template with <KEY> parts, one after another, in one read; missing shards are left out. A shard that is
-    missing or empty is read from ``fallback``, if that has it. All shards of a template have the same header."""
+    missing or empty is read from ``fallback``, if that has it. Headers may differ: columns meet by name, and those that a shard lacks are null. Only
+    the first line of each shard is read for that; shards of equal headers are read together."""
 
     def read(of: str) -> DataFrame | None:
         path, form = of, re.escape(of)
@@ -30,14 +35,23 @@ def read_sharded(spark: SparkSession, template: str, values: dict[str, list[str]
             path = path.replace(f"<{key}>", "{" + ",".join(map(str, options)) + "}")
             form = form.replace(re.escape(f"<{key}>"), "(" + "|".join(re.escape(str(o)) for o in options) + ")", 1)
         try:
-            df = spark.read.csv(path, sep="\t", header=True, inferSchema=False, enforceSchema=False)
+            files = [r.path for r in spark.read.format("binaryFile").load(path).where("length > 0").select("path").collect()]  # a row for each shard
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        csv = lambda p: spark.read.csv(p, sep="\t", header=True, inferSchema=False, enforceSchema=False)
+        alike = defaultdict(list)
+        with ThreadPoolExecutor(8) as pool:
+            for file, header in zip(files, pool.map(lambda f: tuple(csv(unquote(f)).columns), files), strict=True):
+                alike[header].append(unquote(file))
+        alike.pop((), None)
+        if not alike:
+            return None
         order = sorted(values, key=of.index)
         form = form.removeprefix("file://").replace("file:", "")
-        return df.select("*", *(F.regexp_extract("_metadata.file_path", form, i + 1).alias(f"_{k}") for i, k in enumerate(order)))
+        keyed = [csv(of_one).select("*", *(F.regexp_extract("_metadata.file_path", form, i + 1).alias(f"_{k}") for i, k in enumerate(order))) for of_one in alike.values()]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), keyed)
 
     keys = [f"_{k}" for k in values]
     found, other = read(template), read(fallback) if fallback else None
