@@ -7,31 +7,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import written
-from .ranking import same
-
-
-def _ranges(df: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(by, _value, _rows, _part) of distinct values that are not null, written; (by, _part, _base, _in, _all): of each range the rows before and
-    in it, and those of the group."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
-    ranged = written(counts.repartitionByRange(*by, "_value").withColumn("_part", F.spark_partition_id()), "values")
-    of = Window.partitionBy(*(by or [F.lit(1)]))  # a row for each range
-    parts = ranged.groupBy(*by, "_part").agg(F.sum("_rows").alias("_in"))
-    return ranged, parts.withColumns({"_base": F.sum("_in").over(of.orderBy("_part")) - F.col("_in"), "_all": F.sum("_in").over(of)})
-
-
-def _inside(by: list[str]) -> Column:
-    return F.sum("_rows").over(Window.partitionBy("_part", *by).orderBy("_value")) - F.col("_rows")
+from .ranking import rows_before, same, value_ranges
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """``df`` with rank: from 1 in each group, ties share their mean; null for null values. Rows meet their value's rank in a join on group and value."""
-    ranged, parts = _ranges(df, value, by)
-    at = same(ranged.withColumn("_at", _inside(by)), parts, [*by, "_part"])
+    ranged, parts = value_ranges(df, value, by)
+    at = same(ranged.withColumn("_at", rows_before(by)), parts, [*by, "_part"])
     ranks = at.select(*by, F.col("_value").alias(value), (F.col("_base") + F.col("_at") + (F.col("_rows") + 1) / 2.0).alias("rank"))
     return same(df, ranks, [*by, value], "left")
 
@@ -39,12 +24,12 @@ def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
     """by, and for each name of ``wanted`` the quantile at its fraction, between two values in proportion. Only ranges that hold a wanted rank are
     sorted, all of them in one pass; a group without values is left out."""
-    ranged, parts = _ranges(df, value, by)
+    ranged, parts = value_ranges(df, value, by)
     place = {n: (F.col("_all") - 1) * F.lit(float(f)) for n, f in wanted.items()}
     held = lambda k, first, n: (first <= k) & (k < first + n)
     ends = {n: (F.floor(h), F.ceil(h)) for n, h in place.items()}
     needed = reduce(Column.__or__, (held(k, F.col("_base"), F.col("_in")) for e in ends.values() for k in e))
-    rows = same(ranged, parts.where(needed), [*by, "_part"]).withColumn("_first", F.col("_base") + _inside(by))
+    rows = same(ranged, parts.where(needed), [*by, "_part"]).withColumn("_first", F.col("_base") + rows_before(by))
     at = [F.max(F.when(held(k, F.col("_first"), F.col("_rows")), F.col("_value").cast("double"))).alias(f"_{i}{j}") for i, e in enumerate(ends.values()) for j, k in enumerate(e)]
     g = rows.groupBy(*by).agg(F.max("_all").alias("_all"), *at)
     return g.select(*by, *((F.col(f"_{i}0") + (F.col(f"_{i}1") - F.col(f"_{i}0")) * (h - F.floor(h))).alias(n) for i, (n, h) in enumerate(place.items())))
