@@ -12,22 +12,21 @@ from ..functions.scalars import normal_quantile
 from .genetics import variant_stats, with_hwe
 from .order import average_ranks
 
-#: Variants and genes whose products are made at once; samples of a dataset at most.
-VARIANTS, GENES, MAX_SAMPLES = 512, 64, 5000
+#: Variants and genes whose products are made at once, and cells of either side: of datasets with many samples blocks are smaller.
+VARIANTS, GENES, CELLS = 512, 64, 4_000_000
 
 
 def sample_numbers(gte: DataFrame) -> DataFrame:
-    """``gte`` (genotype_id, expression_id, dataset) without repeats, with _k: 0, 1, ... in each dataset. More than MAX_SAMPLES are an error."""
-    at = F.row_number().over(Window.partitionBy("dataset").orderBy("genotype_id", "expression_id")) - 1
-    out = gte.dropna(subset=["genotype_id", "expression_id", "dataset"]).distinct().withColumn("_k", at)
-    return out.withColumn("_k", F.when(F.col("_k") < MAX_SAMPLES, F.col("_k")).otherwise(F.raise_error(F.lit(f"more than {MAX_SAMPLES} samples in a dataset"))))
+    """``gte`` (genotype_id, expression_id, dataset) without repeats, with _k: 0, 1, ... in each dataset."""
+    at = F.row_number().over(Window.partitionBy("dataset").orderBy("genotype_id", "expression_id")) - 1  # a row for each sample
+    return gte.dropna(subset=["genotype_id", "expression_id", "dataset"]).distinct().withColumn("_k", at)
 
 
 def normal_expression(expr: DataFrame, links: DataFrame) -> DataFrame:
     """dataset, gene, k, y: sample numbers and normal quantiles of the average ranks of a gene's values in a dataset."""
     e = expr.where(F.col("value").isNotNull()).select("gene", F.col("sample").alias("expression_id"), "value").join(links.select("expression_id", "dataset", "_k"), "expression_id")
     r = average_ranks(e, "value", ["dataset", "gene"])
-    n = F.count(F.lit(1)).over(Window.partitionBy("dataset", "gene"))  # MAX_SAMPLES rows at most
+    n = F.count(F.lit(1)).over(Window.partitionBy("dataset", "gene"))  # a row for each sample
     z = r.select("dataset", "gene", "_k", normal_quantile(F.col("rank") / (n + 1)).alias("y"))
     g = z.groupBy("dataset", "gene").agg(F.collect_list(F.struct("_k", "y")).alias("_e"))
     return g.select("dataset", "gene", F.col("_e._k").alias("k"), F.col("_e.y").alias("y"))
@@ -72,7 +71,7 @@ def cis_association(
     """H19. dataset, gene, snp, distance, n, r, p, z of every gene (gene, chr, tss) and variant (snp, chr, pos) of one chromosome within the window,
     in each dataset of ``gte``: correlation of the gene's rank-normalised expression (gene, sample, value) with the dosage (snp, sample, dosage) over
     the samples that have both, min_obs or more. Genes and variants are one array each; they meet in buckets of the window's width, cut
-    further into blocks of at most about GENES by VARIANTS by a hash where a bucket holds more. So what is shuffled has a row for each gene,
+    further into blocks of about GENES by VARIANTS, and of CELLS a side, by a hash where a bucket holds more. So what is shuffled has a row for each gene,
     variant and block, whatever the number of samples, and the sums of a block are matrix products. r, p and z are null where a
     side does not vary."""
     links = sample_numbers(gte)
@@ -83,8 +82,11 @@ def cis_association(
     g = g.withColumn("_b", F.explode(F.array(at - 1, at, at + 1)))
     v = v.withColumn("_b", F.floor(F.col("pos") / window))
     bucket = ["dataset", "chr", "_b"]
-    sizes = lambda df, most, name: df.groupBy(*bucket).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
-    blocks = sizes(g, GENES, "_gs").join(sizes(v, VARIANTS, "_vs"), bucket)  # a row for each bucket that has both
+    held = lambda most: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(CELLS / F.col("_samples"))))
+    sizes = lambda df, name: df.groupBy(*bucket).agg(F.count(F.lit(1)).alias(name))
+    of_set = links.groupBy("dataset").agg(F.count(F.lit(1)).alias("_samples"))
+    blocks = sizes(g, "_gs").join(sizes(v, "_vs"), bucket).join(of_set, "dataset")  # a row for each bucket that has both
+    blocks = blocks.select(*bucket, F.ceil(F.col("_gs") / held(GENES)).cast("int").alias("_gs"), F.ceil(F.col("_vs") / held(VARIANTS)).cast("int").alias("_vs"))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     g = g.join(blocks, bucket).select(*bucket, own("gene", "_gs").alias("_g"), every("_vs").alias("_v"), "gene", "tss", "k", "y")
