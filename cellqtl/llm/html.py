@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,21 +39,32 @@ BLOCKS = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption header footer aside nav form fieldset address hr br details summary center title".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg")
+#: Elements whose content is no markup; of the second kind a start tag without an end tag after it has no content.
+RAW, RAW_IF_CLOSED = ("script", "style", "textarea", "title"), ("noscript", "iframe")
+#: Elements in which a slash at the end of a tag closes it.
+FOREIGN = ("svg", "math")
 CLOSED_BY_NEXT = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words of class and id names, and roles, of elements that hold no main text.
 NAMES = set(
-    "ad ads advert adverts advertisement advertising banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing social comment comments disqus replies footer masthead promo promoted sponsor sponsored related widget pagination pager login signup search toolbar skip".split()
+    "ad ads advert adverts advertisement advertising banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription share sharing social comment comments disqus replies footer masthead promo promoted sponsor sponsored related widget pagination pager login signup search toolbar skip copyright colophon".split()
 )
+#: Words that tell reader comments as a part of a name, and those beside them that tell something else (``comments-open``).
+COMMENTS, NOT_COMMENTS = set("comment comments commentlist replies disqus".split()), set("open closed on off no has with without enabled disabled allowed".split())
+#: Further words of names that make a block inside an article doubtful.
+DOUBTFUL = set("teaser teasers recommended recommendations trending".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
+# Attributes as browsers take them: a quote opens a value after = only; nothing is tried twice.
+_ATTRS = r"(?>[\s/]+|=?[^\s/>=]+(?>\s*=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|<(?:/?[a-z][^>]*)?\Z",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>" + _ATTRS + r")>|<[!?][^>]*>|<(?:/?[a-z][^>]*)?\Z",
     re.I | re.S,
 )
-_ATTR = re.compile(r"([a-z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTR = re.compile(r"(=?[^\s/>=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)?")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPLIT = re.compile(r"[^a-z]+")
+_ENDS = {n: re.compile(f"</{n}(?=[\\s/>])[^>]*>", re.I) for n in RAW_IF_CLOSED}
 
 
 def _left_out(name: str, attrs: str, inside: bool) -> str:
@@ -63,13 +75,21 @@ def _left_out(name: str, attrs: str, inside: bool) -> str:
         return "" if inside else "out"
     if not attrs or name in ("html", "body", "article", "main"):
         return ""
-    a = {k.lower(): v.strip("\"'").lower() for k, v in _ATTR.findall(attrs)}
+    a = {}
+    for k, v in _ATTR.findall(attrs):
+        a.setdefault(k.lower(), v[1:-1] if v[:1] in ("'", '"') else v)  # of a repeated attribute the first counts
+    as_written = {*a.get("class", "").split(), *a.get("id", "").split()}
+    a = {k: v.lower() for k, v in a.items()}
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or "display:none" in a.get("style", "").replace(" ", ""):
         return "out"
     names = {*a.get("class", "").split(), *a.get("id", "").split()}
     if NAMES & names:
         return "out"
-    return "doubt" if any(NAMES.intersection(_SPLIT.split(n)) for n in names) else ""
+    for n in as_written:
+        parts = set(_SPLIT.split(_HUMP.sub(" ", n).lower())) | set(_SPLIT.split(n.lower()))
+        if parts & COMMENTS and not parts & NOT_COMMENTS:
+            return "out"
+    return "doubt" if any((NAMES | DOUBTFUL).intersection(_SPLIT.split(n)) for n in names) else ""
 
 
 def blocks(html: str | None) -> list[tuple[str, str, int]]:
@@ -78,7 +98,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     found: list[tuple[str, str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, str]] = []  # name, kind of its content
-    kind, linked, in_link = "other", 0, 0
+    kind, linked = "other", 0
+    opened: Counter[str] = Counter()  # elements of the stack by name
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -90,29 +112,32 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal kind, in_link
+        nonlocal kind
         while len(stack) > k:
-            if stack.pop()[0] == "a":
-                in_link -= 1
+            opened[stack.pop()[0]] -= 1
         kind = stack[-1][1] if stack else "other"
 
     at, source = 0, html or ""
     for m in _TOKEN.finditer(source):
+        if m.start() < at:
+            continue  # inside of what has no markup
         if m.start() > at:
             data = source[at : m.start()]
             buffer.append(data)
-            linked += len(data) * (in_link > 0)
+            linked += len(data) * (opened["a"] > 0)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
         block = name in BLOCKS or name in DROPPED
         if m["end"]:
-            places = [i for i, (n, _) in enumerate(stack) if n == name]
-            if places:
+            if opened[name]:
                 if block:
                     flush()
-                close(places[-1])
+                k = len(stack) - 1
+                while stack[k][0] != name:  # what is passed here is closed
+                    k -= 1
+                close(k)
             elif block:
                 flush()
             continue
@@ -120,7 +145,15 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             flush()
             while stack and name in CLOSED_BY_NEXT.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-        if name in VOID:  # a slash at the end of any other tag means nothing
+        foreign = name in FOREIGN or any(opened[f] for f in FOREIGN)
+        if name in VOID or foreign and m["attrs"].endswith("/"):  # a slash at the end of any other tag means nothing
+            continue
+        if name in RAW_IF_CLOSED:
+            end = None if name in endless else _ENDS[name].search(source, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(name)  # nor does a later one end
             continue
         inside = kind
         if kind != "out":
@@ -131,7 +164,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             elif name in ("article", "main") or (m["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", m["attrs"], re.I)):
                 inside = "main"
         stack.append((name, inside))
-        in_link += name == "a"
+        opened[name] += 1
         kind = inside
     if at < len(source):
         buffer.append(source[at:])
