@@ -213,13 +213,10 @@ def filter_log_tally(log: DataFrame, cr: float, maf: float, hwe: float) -> DataF
 
 
 def gene_batches(genes: DataFrame, n: int) -> DataFrame:
-    """W7, without groups. Batches of n genes in the order of chromosome, start and gene. Ranks are counted within a chromosome and
-    moved by the number of genes on those before it, so that a chromosome, not the genome, is one task."""
-    w = Window.partitionBy("chr")
-    order = [F.col("chr").cast("string").try_cast("int").isNull(), F.col("chr").cast("string").try_cast("int"), F.col("chr").cast("string")]
-    before = genes.groupBy("chr").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = genes.withColumn("_r", F.row_number().over(w.orderBy("chr_start", "gene")))
-    return ranked.join(before.select("chr", "_before"), "chr").withColumn("batch", F.floor((F.col("_before") + F.col("_r") - 1) / n)).drop("_before", "_r")
+    """W7, without groups. Batches of n genes in the order of chromosome (numbers first), start and gene, ranked by ranges."""
+    number = F.col("chr").cast("string").try_cast("int")
+    r = ranked(genes, [], [number.isNull(), number, F.col("chr").cast("string"), F.col("chr_start"), F.col("gene")])
+    return r.withColumn("batch", F.floor((F.col("_rank") - 1) / n)).select(*genes.columns, "batch")
 
 
 def grouped_batches(genes: DataFrame, n: int, overflow: int) -> DataFrame:

@@ -5,6 +5,7 @@ and written; a range needs of the others only how many rows lie before it. No gr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,12 @@ def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return same(df, ranks, [*by, value], "left")
 
 
-def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
-    """by, and for each name of ``wanted`` the quantile at its fraction, between two values in proportion. Only ranges that hold a wanted rank are
-    sorted, all of them in one pass; a group without values is left out."""
+def quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float | Callable[[Column], Column]]) -> DataFrame:
+    """by, and for each name of ``wanted`` the quantile at its fraction, between two values in proportion. Instead of a fraction, a function may
+    give the place (from 0) from the number of a group's values; a place outside of them has null. Only ranges that hold a wanted rank are
+    sorted, all of them in one pass; a group of which none is there is left out."""
     ranged, parts = value_ranges(df, value, by)
-    place = {n: (F.col("_all") - 1) * F.lit(float(f)) for n, f in wanted.items()}
+    place = {n: f(F.col("_all")) if callable(f) else (F.col("_all") - 1) * F.lit(float(f)) for n, f in wanted.items()}
     held = lambda k, first, n: (first <= k) & (k < first + n)
     ends = {n: (F.floor(h), F.ceil(h)) for n, h in place.items()}
     needed = reduce(Column.__or__, (held(k, F.col("_base"), F.col("_in")) for e in ends.values() for k in e))
