@@ -93,7 +93,7 @@ u AS (SELECT o.*, CASE WHEN m2 > 1 THEN rate END AS repl_fdr FROM o LEFT JOIN s
 
 
 @query("h18_from_sources", f"""{_RUNS}, v AS (SELECT *, unnest(CASE WHEN repl_fdr <= 0.6 AND fdr <= 0.6 THEN ['all', 'disc', 'both'] WHEN fdr <= 0.6 THEN ['all', 'disc'] ELSE ['all'] END) AS subset FROM u WHERE repl_beta IS NOT NULL),
-b AS (SELECT disc, repl, subset, COUNT(*) AS n, CASE WHEN COUNT(*) > 1 THEN corr(beta, repl_beta) END AS r, 100.0 * AVG(CASE WHEN beta * repl_beta > 0 THEN 1.0 ELSE 0.0 END) AS ac FROM v GROUP BY disc, repl, subset),
+b AS (SELECT disc, repl, subset, COUNT(*) AS n, CASE WHEN COUNT(*) > 1 AND MIN(beta) < MAX(beta) AND MIN(repl_beta) < MAX(repl_beta) THEN corr(beta, repl_beta) END AS r, 100.0 * AVG(CASE WHEN beta * repl_beta > 0 THEN 1.0 ELSE 0.0 END) AS ac FROM v GROUP BY disc, repl, subset),
 h AS (SELECT disc, repl, 1 - LEAST(1.0, {_SCALED_PI0}) AS pi1 FROM (SELECT *, MAX(repl_p) OVER (PARTITION BY disc, repl) AS top_p FROM v WHERE subset = 'disc') q GROUP BY disc, repl)
 SELECT disc, repl, subset, n, ROUND(r, 6) AS r, ROUND({_t_p('r', 'n')}, 5) AS p, ROUND(ac, 6) AS ac, ROUND(CASE WHEN subset = 'disc' THEN pi1 END, 6) AS pi1 FROM b LEFT JOIN h USING (disc, repl)""")
 def h18_sources(spark, d):
@@ -130,10 +130,10 @@ def _columns(spark, d, method):
     e = view(spark, d, "v_study")
     a = e.select("flag", "gene", "snp", F.when(F.col("gene") % 5 > 0, F.col("p")).alias("p"), "n")
     b = e.select("flag", "gene", "snp", F.when(F.col("snp") % 4 > 0, F.col("beta")).alias("beta"), "z")
-    return _round(X.correlations_by_dataset(a.withColumnRenamed("flag", "dataset").withColumn("flag", F.col("dataset")), b, ["flag", "gene", "snp"], ["p", "n"], ["beta", "z"], ["dataset"], method), "r").drop("p")
+    return _round(X.correlations_by_dataset(a.withColumnRenamed("flag", "dataset").withColumn("flag", F.col("dataset")), b, ["flag", "gene", "snp"], ["p", "n"], ["beta", "z"], ["dataset"], method), "r").withColumn("r", F.col("r") + 0.0).drop("p")
 
 
-@query("h17_by_dataset", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(x, y), 6) AS r FROM ({_PAIRED}) q GROUP BY ALL")
+@query("h17_by_dataset", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(x, y), 6) + 0 AS r FROM ({_PAIRED}) q GROUP BY ALL")
 def h17_dataset(spark, d):
     """Two tables with gaps of their own: every pair of columns over the rows that have both."""
     return _columns(spark, d, "pearson")
@@ -142,7 +142,7 @@ def h17_dataset(spark, d):
 _RANK_OF = "RANK() OVER (PARTITION BY flag, column_a, column_b ORDER BY {0}) + (COUNT(*) OVER (PARTITION BY flag, column_a, column_b, {0}) - 1) / 2.0::DOUBLE"
 
 
-@query("h17_spearman", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(u, v), 6) AS r FROM (SELECT *, {_RANK_OF.format('x')} AS u, {_RANK_OF.format('y')} AS v FROM ({_PAIRED}) q) w GROUP BY flag, column_a, column_b")
+@query("h17_spearman", f"SELECT flag AS dataset, column_a, column_b, COUNT(*) AS n, ROUND(corr(u, v), 6) + 0 AS r FROM (SELECT *, {_RANK_OF.format('x')} AS u, {_RANK_OF.format('y')} AS v FROM ({_PAIRED}) q) w GROUP BY flag, column_a, column_b")
 def h17_spearman(spark, d):
     return _columns(spark, d, "spearman")
 

@@ -211,17 +211,17 @@ def h15(spark, d):
 _LINKS = "(SELECT sample % 12 AS sample, CASE WHEN sample % 12 < 6 THEN 'x' ELSE 'y' END AS dataset FROM v_donors GROUP BY 1, 2)"
 
 
-@query("h16_by_dataset", f"""SELECT gene, dataset, COUNT(*) AS n, CASE WHEN stddev_samp(value) > 1e-7 AND stddev_samp(y) > 1e-7 THEN ROUND(corr(value::DOUBLE, y::DOUBLE), 6) END AS r FROM (SELECT gene, sample, value, value * value % 13 AS y FROM v_tall) a JOIN {_LINKS} l USING (sample) GROUP BY GROUPING SETS ((gene, dataset), (gene))""")
+@query("h16_by_dataset", f"""SELECT gene, dataset, COUNT(*) AS n, CASE WHEN stddev_samp(value) > 1e-7 AND stddev_samp(y) > 1e-7 THEN ROUND(corr(value::DOUBLE, y::DOUBLE), 6) + 0 END AS r FROM (SELECT gene, sample, value, value * value % 13 AS y FROM v_tall) a JOIN {_LINKS} l USING (sample) GROUP BY GROUPING SETS ((gene, dataset), (gene))""")
 def h16(spark, d):
     a = view(spark, d, "v_tall")
     links = view(spark, d, "v_donors").select((F.col("sample") % 12).alias("expression_id")).distinct().withColumn("dataset", F.when(F.col("expression_id") < 6, "x").otherwise("y"))
-    return _round(X.matched_correlation_by_dataset(a, a.withColumn("value", F.col("value") * F.col("value") % 13), links, center=True), "r")
+    return _round(X.matched_correlation_by_dataset(a, a.withColumn("value", F.col("value") * F.col("value") % 13), links, center=True), "r").withColumn("r", F.col("r") + 0.0)
 
 
-@query("h16_all_samples", "SELECT a.sample AS sample_a, b.sample AS sample_b, COUNT(*) AS n, ROUND(corr(a.value::DOUBLE, (b.value % 19)::DOUBLE), 6) AS r FROM v_tall a JOIN v_tall b USING (gene) GROUP BY a.sample, b.sample")
+@query("h16_all_samples", "SELECT a.sample AS sample_a, b.sample AS sample_b, COUNT(*) AS n, ROUND(corr(a.value::DOUBLE, (b.value % 19)::DOUBLE), 6) + 0 AS r FROM v_tall a JOIN v_tall b USING (gene) GROUP BY a.sample, b.sample")
 def h16_all_samples(spark, d):
     a = view(spark, d, "v_tall")
-    return _round(X.all_sample_correlations(a, a.withColumn("value", F.col("value") % 19)), "r")
+    return _round(X.all_sample_correlations(a, a.withColumn("value", F.col("value") % 19)), "r").withColumn("r", F.col("r") + 0.0)
 
 
 @query("h17_masked", f"""SELECT column_a, column_b, n, ROUND(r, 6) AS r, ROUND(CASE WHEN {_t_p('r', 'n')} < 0.05 THEN r ELSE 0 END, 6) AS masked_r FROM (SELECT column_a, column_b, COUNT(*) AS n, corr(x, y) AS r FROM
