@@ -5,9 +5,10 @@ pair of a hash of the first and one of the second, so the number of minhashes is
 separate tables would take. Two documents are candidates when any table holds both. At the similarity of 0.85 that is
 0.997 of pairs, at 0.9 all but one in 10,000.
 
-Documents with equal shingle sets are one class and compared once. Candidates are met in rounds: in each table whose
-classes are not yet of one component, every class is compared with one hub of the table, so large groups of copies join in
-linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other. Before a
+Documents with equal shingle sets are one class and compared once. Candidates are met in rounds: each table whose
+classes are not yet of one component has a hub. In the first round every class is compared with the least hub of all its tables
+alone, which joins most of a large group of copies in one comparison each; in the later ones with the hub of every table in which it is still
+apart. So large groups join in linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other. Before a
 pair is verified, ``PLANES`` bits of each of the same minhashes tell whether its similarity can reach the threshold (four and a
 half standard deviations below are let through); classes that are still apart after the rounds, few in all, get ``FINE`` more bits for that. Every link is confirmed on whole sets, which are joined to the pairs by rows.
 
@@ -199,7 +200,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     for r in range(ROUNDS):
         # tables whose classes are of several components, each with a hub that all others are compared with
         hub = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("hub"), F.col("c").alias("hub_c"))).alias("m")
-        mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo <> hi").select("key", "m.hub", "m.hub_c")
+        mixed = open_.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), hub).where("lo <> hi").select("key", "m.h", "m.hub", "m.hub_c")
         met = save(open_.join(mixed, "key"), "buckets")
         if not met.limit(1).count():
             return label
@@ -209,7 +210,10 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             wanted = nodes.select("doc_id").distinct()
             picked = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi")
             sets = save(shingle_sets(picked).dropDuplicates(["digest"]).join(nodes.select("id", "digest"), "digest").select("id", "shingles"), "sets")
-        pairs = met.where("c <> hub_c").select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
+        apart = met.where("c <> hub_c")
+        if r == 0:
+            apart = apart.groupBy("id").agg(F.min_by("hub", "h").alias("hub"))
+        pairs = apart.select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["x", "y"], "left_anti")
         tested.append(save(pairs, "pairs"))
