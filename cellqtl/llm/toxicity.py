@@ -325,20 +325,26 @@ def _fit_sentences(model: Model, toxic: list[str], clean: list[str]) -> Model:
     negative (multiple-instance form; two rounds, the first by the largest margin). Its features are the largest margin of a
     sentence and the sum of what other words have above 0; its weights and the scale of the score are fitted here."""
     scorer = Scorer(model)
-    bags = {y: [[m for m in scorer.sentence_margins(t) if m] for t in texts] for y, texts in ((1, toxic), (0, clean))}
 
-    def features(bag: list[list[float]]) -> tuple[float, float]:
-        best = max(bag, key=lambda m: model.evidence([m]), default=[-9.0])
-        top = max(best)
-        return max(top, -3.0), sum(x for x in best if x > 0) - max(0.0, top)
+    def parts(text: str) -> np.ndarray:
+        """Of each sentence the largest margin and what its other words have above 0; margins of single words are not kept."""
+        tops = ((max(m), m) for m in scorer.sentence_margins(text) if m)
+        found = [(top, sum(x for x in m if x > 0) - max(0.0, top)) for top, m in tops]
+        return np.array(found or [(-9.0, 0.0)])
+
+    bags = {y: [parts(t) for t in texts] for y, texts in ((1, toxic), (0, clean))}
+
+    def features(bag: np.ndarray) -> tuple[float, float]:
+        top, more = bag[np.argmax(bag[:, 0] + model.more * bag[:, 1])]
+        return max(top, -3.0), more
 
     for _ in range(2):
         x = np.array([features(b) for y in (1, 0) for b in bags[y]], float)
         y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
         w, _bias = _squared_hinge(x, y, np.where(y > 0, max(1.0, len(clean) / max(1, len(toxic))), 1.0))
         model.more = float(np.clip(w[1] / w[0], 0.0, 1.0)) if w[0] > 0 else 0.0
-    down = np.array([model.evidence(b) for b in bags[0]])
-    up = np.array([max((max(m) for m in b), default=-9.0) for b in bags[1]])
+    down = np.array([(b[:, 0] + model.more * b[:, 1]).max() for b in bags[0]])
+    up = np.array([b[:, 0].max() for b in bags[1]])
     # 0.7 lies two fifths of the way from the clean texts' upper end to the median of the toxic texts' largest margins
     low, high = np.quantile(down, 0.999), np.median(up)
     if high <= low:
