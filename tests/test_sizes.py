@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cellqtl.operators import expression as X
+from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
 
 
@@ -18,3 +19,17 @@ def test_a_distance_of_the_bound_itself_is_an_outlier(spark):
     gte = spark.createDataFrame([(i, i, "x") for i in range(9)], "genotype_id int, expression_id int, dataset string")
     scores = spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate(values)], "sample int, component int, score double").coalesce(1)
     assert [r.expression_id for r in M.pca_outliers(scores, gte, z=2.0).where("not include").collect()] == [0]
+
+
+def test_variants_in_long_short_and_overlapping_exons(spark):
+    exons = [(1, 95, 2050), (1, 3, 12), (1, 14, 14), (1, 40, 60), (1, 45, 50), (1, 2300, 2310), (1, 2309, 2311), (1, 2399, 2400), (2, 0, 100), (2, 99, 199), (2, 500, 400)]
+    variants = [(1000 * c + p, c, p, "A", "G", 0.9) for c, ps in ((1, [*range(0, 130), 1000, *range(2040, 2060), *range(2295, 2320), *range(2395, 2405)]), (2, [*range(0, 5), *range(95, 205), 450])) for p in ps]
+    variants = [(i, *v[1:]) for i, v in enumerate(variants)]
+    v = spark.createDataFrame(variants, "snp int, chr int, pos long, ref string, alt string, r2 double")
+    e = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({c}, {s}L, {t}L)" for c, s, t in exons) + " AS t (chr, start, end)")  # of a known size
+    genotypes = v.select("snp", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("dosage"))
+    found = G.select_demultiplex_variants(genotypes, v, e, width=100)
+    wanted = sorted((c, p) for _, c, p, *_ in variants if any(k == c and s < p <= t for k, s, t in exons))
+    assert [(r.chr, r.pos) for r in found.select("chr", "pos").collect()] == wanted
+    # exons in many buckets are no small table, though they come from one
+    assert "BroadcastHashJoin" not in "".join(line for line in plan(found).splitlines() if "LeftSemi" in line)
