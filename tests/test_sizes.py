@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellqtl.operators import expression as X
 from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
+from cellqtl.operators import metadata as N
 
 
 def plan(df):
@@ -33,3 +34,11 @@ def test_variants_in_long_short_and_overlapping_exons(spark):
     assert [(r.chr, r.pos) for r in found.select("chr", "pos").collect()] == wanted
     # exons in many buckets are no small table, though they come from one
     assert "BroadcastHashJoin" not in "".join(line for line in plan(found).splitlines() if "LeftSemi" in line)
+
+
+def test_names_of_studies_are_told_without_a_shuffle_of_genotypes(spark):
+    g = spark.range(2000).select((F.col("id") % 50).alias("snp"), F.when(F.col("id") > 0, F.floor(F.col("id") / 50)).alias("sample"), F.lit(1.0).alias("dosage"))
+    merged = N.merge_genotypes({"x": g.where("snp % 2 = 0"), "y": g.where("snp % 2 = 1 AND sample % 4 = 0")})
+    names = {r.sample: r.n for r in merged.groupBy("sample").agg(F.count("*").alias("n")).collect()}
+    assert names == {(f"x_{s}" if s % 4 == 0 else str(s)): 25 - (s == 0) for s in range(40)} | {f"y_{s}": 25 for s in range(0, 40, 4)}
+    assert "Exchange hashpartitioning" not in plan(merged)
