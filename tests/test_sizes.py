@@ -1,7 +1,10 @@
 """What must hold at size: plans that shuffle or gather no more than they have to, and results that do not hang on the order of rows."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cellqtl.operators import association as A
 from cellqtl.operators import expression as X
 from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
@@ -42,3 +45,34 @@ def test_names_of_studies_are_told_without_a_shuffle_of_genotypes(spark):
     names = {r.sample: r.n for r in merged.groupBy("sample").agg(F.count("*").alias("n")).collect()}
     assert names == {(f"x_{s}" if s % 4 == 0 else str(s)): 25 - (s == 0) for s in range(40)} | {f"y_{s}": 25 for s in range(0, 40, 4)}
     assert "Exchange hashpartitioning" not in plan(merged)
+
+
+def test_association_by_cells_that_meet_equals_dense_products(spark, monkeypatch):
+    """Tile by tile, where few samples have a cell."""
+    rng = np.random.default_rng(3)
+    lists = lambda n, name: pa.table({"k": pa.array(ks := [np.sort(rng.choice(40, rng.integers(0, 12), False)).astype(np.int32) for _ in range(n)], pa.list_(pa.int32())), name: pa.array([rng.normal(size=len(k)) for k in ks], pa.list_(pa.float64()))})
+    genes, variants = (A._cells(lists(n, "x"), "x") for n in (30, 20))
+    found = []
+    for tile, meet, sums in ((7, 5, 0), (1000, 1000, 0), (45, 9, 1), (1000, 1000, 1)):
+        for name, value in (("TILE", tile), ("MEET", meet), ("SIDE", 25 * tile)):
+            monkeypatch.setattr(A, name, value)
+        parts = list(A._dense_sums(genes, variants, 30, 20) if sums else A._sparse_sums(genes, variants, 20))
+        rows = np.concatenate([np.stack(p).T for p in parts])
+        found.append(rows[np.lexsort((rows[:, 1], rows[:, 0]))])
+    assert len(found[0]) > 100 and all(f.shape == found[0].shape and np.allclose(f, found[0]) for f in found)
+
+
+def test_blocks_of_association_follow_cells_not_samples(spark, monkeypatch):
+    n = 1000  # samples of the links; four of them have cells
+    gte = spark.range(n).select(F.col("id").alias("genotype_id"), F.col("id").alias("expression_id"), F.lit("x").alias("dataset"))
+    ids = spark.range(60).select(F.col("id"))
+    cells = lambda name: ids.select(F.col("id").alias(name), F.explode(F.lit(list(range(4)))).alias("sample"))
+    e = cells("gene").withColumn("value", F.col("gene") * F.col("sample") % 7)
+    g = cells("snp").withColumn("dosage", ((F.col("snp") + F.col("sample")) % 3).cast("double"))
+    place = lambda name, at: ids.select(F.col("id").alias(name), F.lit(1).alias("chr"), F.col("id").alias(at))
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    monkeypatch.setattr(A, "CELLS", 100)
+    before = shuffled()
+    got = A.cis_association(g, e, gte, place("gene", "tss"), place("snp", "pos"), maf=0.0, call=0.0, hwe=0.0, min_obs=4)
+    assert got.agg(F.count(F.lit(1)), F.sum("n")).first() == (3600, 14400)
+    assert shuffled() - before < 80_000
