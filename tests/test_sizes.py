@@ -5,6 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cellqtl.operators import association as A
+from cellqtl.operators import blocks as B
 from cellqtl.operators import expression as X
 from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
@@ -76,3 +77,19 @@ def test_blocks_of_association_follow_cells_not_samples(spark, monkeypatch):
     got = A.cis_association(g, e, gte, place("gene", "tss"), place("snp", "pos"), maf=0.0, call=0.0, hwe=0.0, min_obs=4)
     assert got.agg(F.count(F.lit(1)), F.sum("n")).first() == (3600, 14400)
     assert shuffled() - before < 80_000
+
+
+def test_sparse_tables_make_few_pieces(spark, monkeypatch):
+    counts, written = [], B.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(B, "written", counted)
+    monkeypatch.setattr(B, "DENSE", 300, raising=False)
+    cells = spark.range(2000).select(F.col("id").alias("row"), (F.col("id") % 4).alias("col"), F.lit(2.0).alias("x"))
+    got = B.column_products(cells, spark.range(4).select(F.col("id").alias("label")), [], diagonal=True).collect()
+    assert {(r.col_a, r.col_b): r.xy for r in got} == {(a, b): 2000.0 * (a == b) for a in range(4) for b in range(a + 1)}
+    assert counts == [1]  # 2,000 cells, which were eight pieces by the number of their rows
