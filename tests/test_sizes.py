@@ -10,6 +10,7 @@ from cellqtl.operators import expression as X
 from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
 from cellqtl.operators import metadata as N
+from cellqtl.operators import order as O
 
 
 def plan(df):
@@ -93,3 +94,37 @@ def test_sparse_tables_make_few_pieces(spark, monkeypatch):
     got = B.column_products(cells, spark.range(4).select(F.col("id").alias("label")), [], diagonal=True).collect()
     assert {(r.col_a, r.col_b): r.xy for r in got} == {(a, b): 2000.0 * (a == b) for a in range(4) for b in range(a + 1)}
     assert counts == [1]  # 2,000 cells, which were eight pieces by the number of their rows
+
+
+def counting(spark, cells):
+    """``cells`` whose values are computed row by row, and the number of rows computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tell(v):
+        seen.add(1)
+        return v
+
+    return cells.withColumn("value", F.udf(tell, "double").asNondeterministic()("value")), seen
+
+
+def matrix_of(spark):
+    return spark.range(40 * 6).select(F.floor(F.col("id") / 6).alias("gene"), (F.col("id") % 6).alias("sample"), (20 + F.col("id") * F.col("id") % 83 + F.col("id") % 6).cast("double").alias("value"))
+
+
+def test_matrices_are_computed_once(spark):
+    for run in (M.tmm_factors, lambda e: M.tmm_cpm(e), lambda e: M.log_cpm_filter(e, 1)[0], lambda e: M.log_cpm_filter(e, 1)[1], lambda e: M.pca(e, 2)["rotation"]):
+        expr, seen = counting(spark, matrix_of(spark).repartition(3))
+        assert run(expr).count() and seen.value == 240
+
+
+def test_cuts_by_rank_are_cuts_at_values(spark):
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 40):
+        x = rng.integers(0, 6, n).astype(float)
+        df = spark.createDataFrame([(1, float(v)) for v in x], "sample int, x double").repartition(3)
+        ranks = np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+        for share in (0.05, 0.3):
+            off = int(n * share)
+            r = O.values_at(df, "x", ["sample"], {"lo": lambda k, s=share: F.floor(k * s), "hi": lambda k, s=share: k - 1 - F.floor(k * s)}).first()
+            got = ((x > r.lo) | ((x == r.lo) & (r.lo_rank >= off + 1))) & ((x < r.hi) | ((x == r.hi) & (r.hi_rank <= n - off)))
+            assert (got == ((ranks >= off + 1) & (ranks <= n - off))).all()
