@@ -210,13 +210,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             picked = texts.join(wanted, texts["_doc"].eqNullSafe(wanted["doc_id"]), "left_semi")
             sets = save(shingle_sets(picked).dropDuplicates(["digest"]).join(nodes.select("id", "digest"), "digest").select("id", "shingles"), "sets")
         pairs = met.where("c <> hub_c").select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["x", "y"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["x", "y"], "left_anti")
         tested.append(save(pairs, "pairs"))
         found = save(verified(tested[-1], classes, sets, percent), "links")
         if found.limit(1).count():
             links.append(found)
-            label = save(components(reduce(DataFrame.union, links)), "label")
+            # what two rounds leave apart is merged by the next call, before the rest is compared by the last one
+            label = components(reduce(DataFrame.union, links), label, None if r == ROUNDS - 1 else 2)
         open_ = met.select("id", "key")
         open_ = open_.join(label, "id", "left").select("id", "key", F.coalesce("c", "id").alias("c")) if label is not None else open_.withColumn("c", F.col("id"))
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
@@ -235,10 +236,9 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     on = on & (F.expr(f"{FINE} - (" + " + ".join(f"bit_count(l.fine[{i}] ^ r.fine[{i}])" for i in range(FINE // 64)) + ")") >= least_fine(percent))
     on = on & F.expr(f"{meets} AND ({tabled})")
     cross = placed.alias("l").join(placed.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
-    for t in tested:
-        cross = cross.join(t, ["x", "y"], "left_anti")
+    cross = cross.join(reduce(DataFrame.union, tested), ["x", "y"], "left_anti")
     found = save(verified(cross, classes, sets, percent), "links")
-    return components(reduce(DataFrame.union, [*links, found])) if found.limit(1).count() else label
+    return components(reduce(DataFrame.union, [*links, found]), label) if found.limit(1).count() else label
 
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:

@@ -636,6 +636,18 @@ def test_components_of_odd_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_go_on_from_labels(spark):
+    from cellqtl.llm.components import components
+
+    rows = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(1, 12) if k != 7]
+    links = spark.createDataFrame(rows, "a long, b long")
+    some = components(links.where("a % 3 <> 1"), rounds=1)
+    assert all(r.c <= r.id for r in some.collect())
+    star = {r.id: r.c for r in components(links.where("a = 7"), rounds=1).collect()}
+    assert star == dict.fromkeys(range(1, 12), 1)
+    assert {r.id: r.c for r in components(links, some).collect()} == {**dict.fromkeys(range(1, 12), 1), **dict.fromkeys(range(100, 141), 100)}
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "cellqtl").rglob("*.py"):
