@@ -128,7 +128,7 @@ def multiple_testing(top: DataFrame, p: str, alpha: float, by: list[str], n_test
     out, chosen = top.where(F.col(p).isNotNull()), beta_p or p
     if n_tests:
         out = bh_fdr(bonferroni(out, p, n_tests), "bonferroni", by, "bonferroni_bh")
-    out = fdr_rates(out, chosen, by, "bh", "q")
+    out = written(fdr_rates(out, chosen, by, "bh", "q"), "rated")
     ends = out.groupBy(*by).agg(F.max(F.when(F.col("q") <= alpha, F.col(chosen))).alias("_lo"), F.min(F.when(F.col("q") > alpha, F.col(chosen))).alias("_hi"))
     out = same(out, ends.select(*by, ((F.col("_lo") + F.col("_hi")) / 2).alias("p_threshold")), by)
     return out.withColumn("nominal_threshold", beta_threshold("p_threshold", *beta)) if beta else out

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from cellqtl.operators import association as A
 from cellqtl.operators import blocks as B
+from cellqtl.operators import effects as E
 from cellqtl.operators import expression as X
 from cellqtl.operators import genetics as G
 from cellqtl.operators import matrix as M
 from cellqtl.operators import metadata as N
 from cellqtl.operators import order as O
+from cellqtl.operators import ranking as R
 
 
 def plan(df):
@@ -128,3 +130,12 @@ def test_cuts_by_rank_are_cuts_at_values(spark):
             r = O.values_at(df, "x", ["sample"], {"lo": lambda k, s=share: F.floor(k * s), "hi": lambda k, s=share: k - 1 - F.floor(k * s)}).first()
             got = ((x > r.lo) | ((x == r.lo) & (r.lo_rank >= off + 1))) & ((x < r.hi) | ((x == r.hi) & (r.hi_rank <= n - off)))
             assert (got == ((ranks >= off + 1) & (ranks <= n - off))).all()
+
+
+def test_rows_that_are_ranked_or_rated_are_computed_once(spark):
+    ranks = lambda e: O.average_ranks(e, "value", ["sample"]).select("rank")
+    rates = lambda e: R.fdr_rates(e.withColumn("p", F.col("value") / 200), "p", ["sample"], "bh", "q").select("bh", "q")
+    tests = lambda e: E.multiple_testing(e.withColumns({"p": F.col("value") / 200, "k": F.lit(2)}), "p", 0.9, ["sample"], n_tests="k")
+    for run in (ranks, rates, tests):
+        expr, seen = counting(spark, matrix_of(spark).repartition(3))
+        assert len(run(expr).collect()) == 240 and seen.value == 240
