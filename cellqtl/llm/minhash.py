@@ -7,8 +7,8 @@ separate tables would take. Two documents are candidates when any table holds bo
 
 Documents with equal shingle sets are one class and compared once. Candidates are met in rounds: in each table whose
 classes are not yet of one component, every class is compared with one hub of the table, so large groups of copies join in
-linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other. Before a
-pair is verified, ``PLANES`` bits of each of the same minhashes tell whether its similarity can reach the threshold (four and a
+linear work. After ``ROUNDS`` rounds the classes that share a table and are still apart are compared with each other, but for those
+that have too few shingles in common with all classes of other components together. Before a pair is verified, ``PLANES`` bits of each of the same minhashes tell whether its similarity can reach the threshold (four and a
 half standard deviations below are let through); classes that are still apart after the rounds, few in all, get ``FINE`` more bits for that. Every link is confirmed on whole sets, which are joined to the pairs by rows.
 
 Defined cases: null text, empty text and text without words have no shingles and are linked with nothing; documents with
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .shared import fresh, save, slices, table
 
 SHINGLE = 5
@@ -192,10 +192,19 @@ def tables(classes: DataFrame) -> DataFrame:
     return keys.select("id", F.xxhash64("p", "q").alias("key"))
 
 
+def shared_elsewhere(sets: DataFrame, apart: DataFrame) -> DataFrame:
+    """``apart`` (id, c) with ``common``: how many shingles of a class are in a class of another component, too. No intersection with one of those is
+    larger, so most texts of a template with words of their own need no comparison. Classes without such a shingle are left out."""
+    held = sets.join(apart, "id").select("id", "c", F.explode("shingles").alias("s"))
+    several = held.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("s")
+    common = held.join(several, "s", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    return apart.join(common, "id")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame | None:
     """id, c: components of the classes (id, n_shingles, digest, a, b, bits) that have a link to another; None without links."""
     open_ = save(tables(classes), "tables").withColumn("c", F.col("id"))
-    sets, links, label, tested = None, [], None, []
+    sets, loose, label, tested = None, None, None, []
     for r in range(ROUNDS):
         # tables whose classes are of several components, each with a hub that all others are compared with
         hub = F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("h"), F.col("id").alias("hub"), F.col("c").alias("hub_c"))).alias("m")
@@ -215,20 +224,22 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         tested.append(save(pairs, "pairs"))
         found = save(verified(tested[-1], classes, sets, percent), "links")
         if found.limit(1).count():
-            links.append(found)
             # what two rounds leave apart is merged by the next call, before the rest is compared by the last one
-            label = components(reduce(DataFrame.union, links), label, None if r == ROUNDS - 1 else 2)
+            label, loose = merged(found if loose is None else found.union(loose), label, None if r == ROUNDS - 1 else 2)
         open_ = met.select("id", "key")
         open_ = open_.join(label, "id", "left").select("id", "key", F.coalesce("c", "id").alias("c")) if label is not None else open_.withColumn("c", F.col("id"))
     # classes that share a hash of the first collection, but are still apart; a pair is met under its first shared hash only
     # and has to share a hash of the second collection, which makes it a pair of the same tables
     n = bands(percent)
-    placed = classes.join(open_.select("id", "c").distinct(), "id").select("id", "c", "n_shingles", "a", "b", "bits", F.posexplode("a").alias("band", "v"))
+    apart = save(shared_elsewhere(sets, save(open_.select("id", "c").distinct(), "apart")), "common")
+    may = classes.join(apart, "id").where(100 * F.col("common") >= percent * F.col("n_shingles"))
+    placed = may.select("id", "c", "common", "n_shingles", "a", "b", "bits", F.posexplode("a").alias("band", "v"))
     mixed = placed.groupBy("band", "v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "v")
     pair = [f"l.a[{i}] = r.a[{i}]" for i in range(n)]
     meets = "CASE " + " ".join(f"WHEN {p} THEN {i}" for i, p in enumerate(pair)) + " END = l.band"
     tabled = " OR ".join(p.replace(".a[", ".b[") for p in pair)
     sized = f"100 * least(l.n_shingles, r.n_shingles) >= {percent} * greatest(l.n_shingles, r.n_shingles)"
+    sized += f" AND {100 + percent} * least(l.common, r.common) >= {percent} * (l.n_shingles + r.n_shingles)"
     placed = save(placed.join(mixed, ["band", "v"], "left_semi"), "apart")
     placed = save(placed.join(fine(sets.join(placed.select("id").distinct(), "id", "left_semi")), "id"), "fine")
     # the cheap conditions first: most pairs end there
@@ -238,7 +249,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     cross = placed.alias("l").join(placed.alias("r"), on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
     cross = cross.join(reduce(DataFrame.union, tested), ["x", "y"], "left_anti")
     found = save(verified(cross, classes, sets, percent), "links")
-    return components(reduce(DataFrame.union, [*links, found]), label) if found.limit(1).count() else label
+    rest = found if loose is None else found.union(loose)
+    return components(rest, label) if rest.limit(1).count() else label
 
 
 def _labelled(docs: DataFrame, percent: int) -> DataFrame:

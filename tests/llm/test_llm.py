@@ -648,6 +648,32 @@ def test_components_go_on_from_labels(spark):
     assert {r.id: r.c for r in components(links, some).collect()} == {**dict.fromkeys(range(1, 12), 1), **dict.fromkeys(range(100, 141), 100)}
 
 
+def test_minhash_compares_no_texts_whose_own_words_keep_them_apart(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for i in range(80):  # ten words of its own each: a similarity of some 0.7 to each other
+        own = set(rng.choice(300, 10, replace=False).tolist())
+        texts.append(" ".join(f"own{i}x{j}" if j in own else w for j, w in enumerate(base)))
+    pairs, verified = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda p, *more: pairs.append(p.count()) or verified(p, *more))
+    monkeypatch.setattr(minhash, "least_fine", lambda percent: 0)  # all that share a table
+    texts += [" ".join(base), " ".join(base[:-1])]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: c for k, (_, c) in brute_components(dict(enumerate(texts))).items()} and got[81] == 80
+    assert len(pairs) == minhash.ROUNDS + 1 and pairs[0] > 0 and pairs[-1] == 0
+
+
+def test_components_go_on_with_the_links_that_are_left(spark):
+    from cellqtl.llm.components import components, merged
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (1, 3), *((k, k + 1) for k in range(100, 140))], "a long, b long")
+    label, left = merged(links, rounds=1)
+    assert 0 < left.count() < 80 and not left.where("a < 100").count()  # links inside of a label are dropped
+    got = {r.id: r.c for r in components(left.union(spark.createDataFrame([(3, 140)], "a long, b long")), label).collect()}
+    assert got == dict.fromkeys([1, 2, 3, *range(100, 141)], 1)
+
+
 def test_nothing_else_imports_this_subpackage():
     root = Path(__file__).resolve().parents[2]
     for f in (root / "cellqtl").rglob("*.py"):
