@@ -165,6 +165,16 @@ def pc_titration(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumns({"pct_eqtl": 100 * F.try_divide(F.col("n_eqtl").cast("double"), F.col("n_genes")), "cum_explained": F.sum("explained").over(w)})
 
 
+def replication_rates(pairs: DataFrame, rate, runs: list[str]) -> DataFrame:
+    """``pairs`` with repl_fdr in place of _tested: the rate of repl_p over the tested rows of a run, two at least. The others, which are most, have none and are
+    neither ranked nor joined."""
+    marked = written(pairs, "marked")
+    tested, rest = marked.where("_tested").drop("_tested"), marked.where("NOT _tested").drop("_tested")
+    enough = tested.groupBy(*runs).agg(F.count(F.lit(1)).alias("_n"))
+    rated = same(rate(tested, "repl_p", runs, "_rate"), enough, runs).withColumn("repl_fdr", F.when(F.col("_n") > 1, F.col("_rate"))).drop("_n", "_rate")
+    return rated.unionByName(rest.withColumn("repl_fdr", F.lit(None).cast("double")))
+
+
 def replication_pipeline(disc: DataFrame, repl: DataFrame, alpha: float, fdr: str = "bh", p: str = "p", runs: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """H18. (pairs, statistics) of two standardized studies: discovery's top effect of each gene, the replication's rows of those pairs,
     the overlap, discovery's rate over its p values where it has no ``fdr`` of its own, the replication's rate over pairs that are
@@ -178,10 +188,6 @@ def replication_pipeline(disc: DataFrame, repl: DataFrame, alpha: float, fdr: st
     if "fdr" not in pairs.columns:
         pairs = rate(pairs, p, list(runs), "fdr")
     tested = (F.col("fdr") <= alpha) & F.col("repl_beta").isNotNull()
-    by = [*runs, "_tested"]
-    marked = pairs.drop("repl_fdr").withColumn("_tested", F.coalesce(tested, F.lit(False)))
-    enough = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rated = same(rate(marked, "repl_p", by, "_rate"), enough, by)
-    pairs = rated.withColumn("repl_fdr", F.when(F.col("_tested") & (F.col("_n") > 1), F.col("_rate"))).drop("_tested", "_n", "_rate")
+    pairs = replication_rates(pairs.drop("repl_fdr").withColumn("_tested", F.coalesce(tested, F.lit(False))), rate, list(runs))
     pairs = written(pairs, "pairs")
     return pairs, replication_stats(pairs, alpha, "fdr", "repl_fdr", runs)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .effects import drop_duplicates, overlap_effects, replication_stats
+from .effects import drop_duplicates, overlap_effects, replication_rates, replication_stats
 from .genetics import fill_missing_stats, standardize_all, translate_genes
-from .ranking import bh_fdr, qvalues, same
+from .ranking import bh_fdr, qvalues
 
 #: What a study brings into the comparison; a column that it lacks is null.
 TEXT = ["gene", "snp", "alleles", "ea", "oa"]
@@ -76,9 +76,5 @@ def replicate(studies: list[Study], alpha: float, fdr: str = "bh", gene: str = "
     wanted = top.withColumn("repl", F.explode(F.filter(names, lambda n: n != F.col("disc"))))
     found = overlap_effects(wanted, effects.drop("fdr", "_own").withColumnRenamed("study", "repl"), by=("repl",))
     tested = F.coalesce((F.col("fdr") <= alpha) & F.col("repl_beta").isNotNull(), F.lit(False))
-    by = ["disc", "repl", "_tested"]
-    marked = written(found.withColumn("_tested", tested), "found")
-    enough = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    rated = same(rate(marked, "repl_p", by, "_rate"), enough, by)
-    pairs = written(rated.withColumn("repl_fdr", F.when(F.col("_tested") & (F.col("_n") > 1), F.col("_rate"))).drop("_tested", "_n", "_rate"), "pairs")
+    pairs = written(replication_rates(found.withColumn("_tested", tested), rate, ["disc", "repl"]), "pairs")
     return pairs, replication_stats(pairs, alpha, "fdr", "repl_fdr", ("disc", "repl"))

@@ -14,7 +14,7 @@ def _round(df, *cols):
 
 
 def _flag(spark, d, flag):
-    return view(spark, d, "v_effects").where(F.col("flag") == flag).drop("flag")
+    return view(spark, d, "v_effects", flag).drop("flag")
 
 
 @query("f4_standardize", """SELECT 'G' || gene AS gene, CAST(snp AS VARCHAR) AS snp, CASE ea WHEN 'A' THEN 'T' END AS ea, p * 2 AS p, 'G' || gene || '_' || snp AS key FROM v_effects WHERE p * 2 <= 1""")

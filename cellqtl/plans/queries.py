@@ -13,8 +13,7 @@ from .registry import QUERIES, SQL, quantile_sql, query as _query
 from .views import view
 
 def _effects(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
-    e = view(spark, d, "v_effects")
-    return e.where(F.col("flag") == flag).drop("flag") if flag else e
+    return view(spark, d, "v_effects", flag).drop("flag") if flag else view(spark, d, "v_effects")
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:

@@ -139,3 +139,19 @@ def test_rows_that_are_ranked_or_rated_are_computed_once(spark):
     for run in (ranks, rates, tests):
         expr, seen = counting(spark, matrix_of(spark).repartition(3))
         assert len(run(expr).collect()) == 240 and seen.value == 240
+
+
+def test_effects_of_one_flag_are_chosen_before_they_are_ranked(spark):
+    from cellqtl.plans.association import _flag
+    from cellqtl.plans.statistics import _study
+
+    for one in (_flag(spark, "/root/testdata/sf0.001", "A"), _study(spark, "/root/testdata/sf0.001", "A")):
+        assert "EqualTo(l_returnflag,A)" in plan(one)  # the reader's, below the window
+
+
+def test_rows_without_p_are_not_joined_to_rates(spark):
+    rows = [(g, i, None if i % 3 else 0.001 * (i + 1)) for g in (1, 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "g int, i int, p double")
+    got = R.fdr_rates(df, "p", ["g"], "bh", "q")
+    assert got.where("p IS NULL").count() == got.where("bh IS NULL AND q IS NULL AND p IS NULL").count() == 40 and got.where("bh IS NOT NULL").count() == 20
+    assert "Union" in plan(got)
