@@ -13,6 +13,9 @@ from ..sources.scratch import written
 from .genetics import rb_by
 from .ranking import bh_fdr, fdr_rates, pi1, qvalues, same
 
+#: Genes of one task of :func:`cis_pairs`.
+GENES = 10_000
+
 
 def top_effects(effects: DataFrame, gene: str = "gene", p: str = "p", ties: tuple[str, ...] = ("snp",)) -> DataFrame:
     """W3. Each gene's row of least p and its number of rows, by an aggregate that combines on the map side."""
@@ -84,11 +87,13 @@ def replication_stats(overlap: DataFrame, alpha: float, disc: str = "p", repl: s
 
 
 def cis_pairs(genes: DataFrame, variants: DataFrame, window: int = 1_000_000) -> DataFrame:
-    """J9. Same chromosome and within the window of the gene's start: genes go to three buckets of the window's width,
-    variants to one, so the join is an equality join."""
-    g = genes.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("tss") / window) - 1, F.floor(F.col("tss") / window) + 1)))
-    v = variants.withColumn("bucket", F.floor(F.col("pos") / window))
-    near = g.join(v, ["chr", "bucket"]).withColumn("distance", F.col("pos") - F.col("tss"))
+    """J9. Same chromosome and within the window of the gene's start: variants go to one bucket of an eighth of the window's width, genes to
+    all that the window touches, so the join is an equality join and few of its rows lie outside. Genes are dealt by chromosome and bucket to a task
+    for each ``GENES`` of them, as one small file of genes may have pairs without number."""
+    width, tasks = max(1, window // 8), max(1, -(-genes.count() // GENES))
+    bucket = lambda at: F.floor(at / width)
+    g = genes.withColumn("bucket", F.explode(F.sequence(bucket(F.col("tss") - window), bucket(F.col("tss") + window)))).repartition(tasks, "chr", "bucket")
+    near = g.join(variants.withColumn("bucket", bucket(F.col("pos"))), ["chr", "bucket"]).withColumn("distance", F.col("pos") - F.col("tss"))
     return near.where(F.abs("distance") <= window).drop("bucket")
 
 

@@ -155,3 +155,16 @@ def test_rows_without_p_are_not_joined_to_rates(spark):
     got = R.fdr_rates(df, "p", ["g"], "bh", "q")
     assert got.where("p IS NULL").count() == got.where("bh IS NULL AND q IS NULL AND p IS NULL").count() == 40 and got.where("bh IS NOT NULL").count() == 20
     assert "Union" in plan(got)
+
+
+def test_cis_pairs_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(E, "GENES", 40, raising=False)
+    genes = [(i, 1 + i % 2, i * 7919 % 3000 - 50) for i in range(200)] + [(200, 1, None), (201, None, 5)]
+    variants = [(i, 1 + i % 3, i * 104729 % 3000) for i in range(100)] + [(100, 1, 1000), (101, 1, None)]
+    g = spark.createDataFrame(genes, "gene int, chr int, tss long").coalesce(1)
+    v = spark.createDataFrame(variants, "snp int, chr int, pos long")
+    wanted = lambda w: sorted((i, j, p - t) for i, c, t in genes for j, k, p in variants if c == k and None not in (c, t, p) and abs(p - t) <= w)
+    for w in (1000, 100, 3, 0):
+        found = E.cis_pairs(g, v, w).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.gene, r.snp, r.distance) for r in found) == wanted(w)
+        assert w < 1000 or len({r.task for r in found}) > 3
