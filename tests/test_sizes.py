@@ -168,3 +168,16 @@ def test_cis_pairs_of_one_file_are_dealt_to_tasks(spark, monkeypatch):
         found = E.cis_pairs(g, v, w).withColumn("task", F.spark_partition_id()).collect()
         assert sorted((r.gene, r.snp, r.distance) for r in found) == wanted(w)
         assert w < 1000 or len({r.task for r in found}) > 3
+
+
+def test_dense_genotypes_compute_their_cells_once_and_keep_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "SAMPLES", 7)
+    rows = [(v, f"s{s}", float((v + s) % 3)) for v in range(5) for s in range(40) if v * s % 4] + [(1, "s1", 2.0), (None, "s3", 1.0), (4, None, 1.0), (4, "s0", None)]
+    merged, seen = counting(spark, spark.createDataFrame(rows, "snp int, sample string, value double").repartition(3))
+    got = N.densify_genotypes(merged.withColumnRenamed("value", "dosage")).collect()
+    known = sorted((v, s, -1.0 if d is None else d) for v, s, d in rows if v is not None and s is not None)
+    held = {(v, s) for v, s, _ in known}
+    absent = [(v, s, -1.0) for v in {v for v, _, _ in rows} for s in {s for _, s, _ in rows if s} if (v, s) not in held]
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    assert sorted(((r.snp, r["sample"], -1.0 if r.dosage is None else r.dosage) for r in got), key=key) == sorted(known + absent, key=key)
+    assert all((r.gt == "./.") == (r.dosage is None) for r in got) and seen.value == len(rows)
