@@ -181,3 +181,26 @@ def test_dense_genotypes_compute_their_cells_once_and_keep_copies(spark, monkeyp
     key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
     assert sorted(((r.snp, r["sample"], -1.0 if r.dosage is None else r.dosage) for r in got), key=key) == sorted(known + absent, key=key)
     assert all((r.gt == "./.") == (r.dosage is None) for r in got) and seen.value == len(rows)
+
+
+def test_calls_of_a_vcf_are_shuffled_as_words(spark):
+    from cellqtl.plans.queries import QUERIES
+
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = shuffled()
+    assert QUERIES["s3_read_vcf"](spark, "/root/testdata/sf0.01").agg(F.count("*"), F.count("dosage")).first()[0] == 15000
+    assert shuffled() - before < 60_000
+
+
+def test_odd_calls_and_fields_in_any_place(spark, tmp_path):
+    from cellqtl.sources import genome
+
+    calls = ["0/0:5", "1|0:6", ".|.:.", "./1:7", "1/2:8", "1:9", ".:1", "1|1"]
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"s{i}" for i in range(8))])
+    fixed = lambda i, form: f"1\t5\t{i}\tA\tG\t.\tPASS\t.\t{form}\t"
+    turned = [":".join(reversed(c.split(":"))) for c in calls]
+    (tmp_path / "a.vcf").write_text("##x\n" + head + "\n" + fixed("v", "GT:DS") + "\t".join(calls) + "\n" + fixed("w", "DS:GT") + "\t".join(turned) + "\n")
+    rows = {(r.id, r["sample"]): (r.gt, r.dosage, r.ds) for r in genome.genotypes_long(genome.read_vcf(spark, str(tmp_path))).collect()}
+    assert [rows["v", f"s{i}"][1] for i in range(8)] == [0, 1, None, None, 3, None, None, 2]
+    assert [rows["v", f"s{i}"][2] for i in range(8)] == [5, 6, None, 7, 8, 9, 1, None]
+    assert all(rows["v", f"s{i}"] == rows["w", f"s{i}"] for i in range(7)) and rows["w", "s7"] == (None, None, None)
