@@ -9,7 +9,7 @@ from ..operators import compare as X
 from ..operators import genetics as G
 from ..operators import metadata as M
 from .registry import query
-from .views import view
+from .views import deltas, view
 
 
 def _round(df, *cols, to=6):
@@ -85,12 +85,12 @@ _DELTA = "SELECT a.barcode, a.gene, a.cnt, a.cnt - COALESCE(b.cnt, 0) AS delta F
 @query("a9_by_cell_type", f"""SELECT cell_type, COUNT(*) AS n_cells, CAST(SUM(c) AS BIGINT) AS counts, CAST(SUM(l) AS BIGINT) AS delta, CAST(MIN(l) AS BIGINT) AS low, CAST(MAX(l) AS BIGINT) AS high, ROUND(AVG(l), 6) AS mean, ROUND(100.0 * abs(SUM(l)) / SUM(c), 6) AS prop
 FROM (SELECT barcode, SUM(cnt) AS c, SUM(delta) AS l FROM ({_DELTA}) x GROUP BY barcode) y JOIN v_cells USING (barcode) GROUP BY cell_type""")
 def a9(spark, d):
-    return _round(X.delta_by_cell_type(X.count_delta(view(spark, d, "v_counts"), view(spark, d, "v_counts_open")), view(spark, d, "v_cells")), "mean", "prop")
+    return _round(X.delta_by_cell_type(deltas(spark, d), view(spark, d, "v_cells")), "mean", "prop")
 
 
 @query("a9_by_include", f"SELECT barcode, CAST(COALESCE(SUM(delta) FILTER (gene % 2 = 0), 0) AS BIGINT) AS included, CAST(COALESCE(SUM(delta) FILTER (gene % 2 = 1), 0) AS BIGINT) AS excluded, CAST(SUM(delta) AS BIGINT) AS total FROM ({_DELTA}) x GROUP BY barcode")
 def a9_include(spark, d):
-    return X.delta_by_include(X.count_delta(view(spark, d, "v_counts"), view(spark, d, "v_counts_open")), view(spark, d, "v_genes").where("gene % 2 = 0"))
+    return X.delta_by_include(deltas(spark, d), view(spark, d, "v_genes").where("gene % 2 = 0"))
 
 
 _PANEL = "SELECT pool, CASE tool_a WHEN 'click' THEN 'view' ELSE tool_a END AS a, CASE tool_b WHEN 'click' THEN 'view' ELSE tool_b END AS b FROM v_calls"

@@ -10,7 +10,7 @@ from ..operators import cells as C
 from ..operators import compare as X
 from ..operators import effects as E
 from .registry import QUERIES, SQL, quantile_sql, query as _query
-from .views import view
+from .views import deltas, view
 
 def _effects(spark: SparkSession, d: str, flag: str | None = None) -> DataFrame:
     return view(spark, d, "v_effects", flag).drop("flag") if flag else view(spark, d, "v_effects")
@@ -167,7 +167,7 @@ def f8(spark, d):
 
 @_query("j7_count_delta", "SELECT a.barcode, a.gene, a.cnt, COALESCE(b.cnt, 0) AS cnt_b, a.cnt - COALESCE(b.cnt, 0) AS delta FROM v_counts a LEFT JOIN v_counts_open b ON a.barcode = b.barcode AND a.gene = b.gene")
 def j7(spark, d):
-    return X.count_delta(view(spark, d, "v_counts"), view(spark, d, "v_counts_open"))
+    return deltas(spark, d)
 
 
 @_query("a9_delta_summary", """SELECT gene, CAST(SUM(cnt) AS BIGINT) AS a, CAST(SUM(cb) AS BIGINT) AS b, CAST(SUM(cnt - cb) AS BIGINT) AS delta, ROUND(SUM(cnt - cb) / CAST(GREATEST(SUM(cnt), SUM(cb)) AS DOUBLE), 6) AS delta_pct FROM

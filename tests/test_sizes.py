@@ -204,3 +204,14 @@ def test_odd_calls_and_fields_in_any_place(spark, tmp_path):
     assert [rows["v", f"s{i}"][1] for i in range(8)] == [0, 1, None, None, 3, None, None, 2]
     assert [rows["v", f"s{i}"][2] for i in range(8)] == [5, 6, None, 7, 8, 9, 1, None]
     assert all(rows["v", f"s{i}"] == rows["w", f"s{i}"] for i in range(7)) and rows["w", "s7"] == (None, None, None)
+
+
+def test_deltas_are_dealt_to_tasks_by_the_number_of_rows(spark, monkeypatch):
+    from cellqtl.plans import views
+    from cellqtl.plans.queries import QUERIES
+
+    monkeypatch.setattr(views, "ROWS", 1000, raising=False)
+    d = "/root/testdata/sf0.001"
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 1000)
+    got = QUERIES["j7_count_delta"](spark, d).withColumn("task", F.spark_partition_id())
+    assert tasks > 4 and got.select("task").distinct().count() == tasks
