@@ -46,19 +46,20 @@ def h13(spark, d):
 _OTHER = "(SELECT gene, sample, value * value + gene AS value FROM v_dense)"
 
 
-def _other(spark, d, expr):
-    return view(spark, d, expr).withColumn("value", F.col("value") * F.col("value") + F.col("gene"))
+def _both(spark, d, expr):
+    e = view(spark, d, expr, deal=("l_partkey", "o_custkey"))
+    return e, e.withColumn("value", F.col("value") * F.col("value") + F.col("gene"))
 
 
 @query("h16_matched_correlation", f"SELECT gene, COUNT(*) AS n, ROUND(corr(a.value::DOUBLE, b.value::DOUBLE), 6) AS r FROM v_dense a JOIN {_OTHER} b USING (gene, sample) GROUP BY gene", whole=("v_dense", "v_expr"))
 def h16(spark, d, expr="v_dense"):
-    return _round(E.matched_correlation(view(spark, d, expr), _other(spark, d, expr), "gene"), "r")
+    return _round(E.matched_correlation(*_both(spark, d, expr), "gene"), "r")
 
 
 @query("h16_spearman", f"""SELECT sample, COUNT(*) AS n, ROUND(corr(x, y), 6) AS r FROM (SELECT sample, RANK() OVER (PARTITION BY sample ORDER BY a.value) + (COUNT(*) OVER (PARTITION BY sample, a.value) - 1) / 2.0::DOUBLE AS x,
 RANK() OVER (PARTITION BY sample ORDER BY b.value) + (COUNT(*) OVER (PARTITION BY sample, b.value) - 1) / 2.0::DOUBLE AS y FROM v_dense a JOIN {_OTHER} b USING (gene, sample)) q GROUP BY sample""", whole=("v_dense", "v_expr"))
 def h16s(spark, d, expr="v_dense"):
-    return _round(E.matched_correlation(view(spark, d, expr), _other(spark, d, expr), "sample", "spearman"), "r")
+    return _round(E.matched_correlation(*_both(spark, d, expr), "sample", "spearman"), "r")
 
 
 @query("h17_column_correlations", """SELECT column_a, 'p' AS column_b, COUNT(*) AS n, ROUND(corr(x, p), 6) AS r FROM (SELECT unnest(['beta', 'n']) AS column_a, unnest([beta, CAST(n AS DOUBLE)]) AS x, p FROM v_effects) q GROUP BY column_a""")

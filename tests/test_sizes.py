@@ -215,3 +215,15 @@ def test_deltas_are_dealt_to_tasks_by_the_number_of_rows(spark, monkeypatch):
     tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 1000)
     got = QUERIES["j7_count_delta"](spark, d).withColumn("task", F.spark_partition_id())
     assert tasks > 4 and got.select("task").distinct().count() == tasks
+
+
+def test_matrices_that_are_matched_are_dealt_to_tasks_by_the_number_of_rows(spark, monkeypatch):
+    from cellqtl.plans import views
+    from cellqtl.plans.queries import QUERIES
+
+    monkeypatch.setattr(views, "ROWS", 1000, raising=False)
+    d = "/root/testdata/sf0.001"
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 1000)
+    p = plan(QUERIES["h16_matched_correlation"](spark, d))
+    assert tasks > 4 and p.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and "Exchange hashpartitioning(gene#" in p
+    assert not any("sample#" in line for line in p.splitlines() if "Exchange" in line)  # no further shuffle before the join
