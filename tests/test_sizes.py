@@ -227,3 +227,14 @@ def test_matrices_that_are_matched_are_dealt_to_tasks_by_the_number_of_rows(spar
     p = plan(QUERIES["h16_matched_correlation"](spark, d))
     assert tasks > 4 and p.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and "Exchange hashpartitioning(gene#" in p
     assert not any("sample#" in line for line in p.splitlines() if "Exchange" in line)  # no further shuffle before the join
+
+
+def test_weighted_correlation_computes_its_counts_once(spark):
+    counts, seen = counting(spark, matrix_of(spark).repartition(3))
+    counts = counts.select(F.col("sample").alias("barcode"), "gene", F.col("value").alias("cnt"))
+    weights = spark.range(6).select(F.col("id").alias("barcode"), F.lit("x").alias("donor"), (1 + F.col("id") % 3).alias("weight"))
+    got = M.weighted_gene_correlation(counts, weights, "donor", 2).collect()
+    cells = np.array([r.value for r in matrix_of(spark).orderBy("gene", "sample").collect()]).reshape(40, 6)
+    want = np.cov(cells, aweights=[1, 2, 3, 1, 2, 3], ddof=0)
+    want /= np.sqrt(np.outer(np.diag(want), np.diag(want)))
+    assert len(got) == 780 and all(abs(r.r - want[r.gene_a, r.gene_b]) < 1e-9 for r in got) and seen.value == 240
