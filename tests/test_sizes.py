@@ -238,3 +238,14 @@ def test_weighted_correlation_computes_its_counts_once(spark):
     want = np.cov(cells, aweights=[1, 2, 3, 1, 2, 3], ddof=0)
     want /= np.sqrt(np.outer(np.diag(want), np.diag(want)))
     assert len(got) == 780 and all(abs(r.r - want[r.gene_a, r.gene_b]) < 1e-9 for r in got) and seen.value == 240
+
+
+def test_counts_of_weighted_correlation_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    from cellqtl.plans import statistics, views
+
+    monkeypatch.setattr(views, "ROWS", 1000, raising=False)
+    counts, kept = [], statistics.M.weighted_gene_correlation
+    monkeypatch.setattr(statistics.M, "weighted_gene_correlation", lambda c, *a: counts.append(c) or kept(c, *a))
+    statistics._correlations(spark, "/root/testdata/sf0.001")
+    exchanges = [line for line in plan(counts[0]).splitlines() if "Exchange" in line]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # both sums of a barcode are made where its line items are
