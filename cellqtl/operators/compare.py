@@ -28,9 +28,13 @@ def delta_by_cell_type(delta: DataFrame, cells: DataFrame) -> DataFrame:
     return g.withColumn("prop", F.try_divide(100.0 * F.abs("delta"), F.col("counts")))
 
 
-def delta_by_include(delta: DataFrame, include: DataFrame) -> DataFrame:
-    """A9. By barcode: the loss of genes that are included, of the others, and in total. ``include`` is a list of genes."""
-    j = delta.join(include.select("gene").distinct().withColumn("_in", F.lit(True)), "gene", "left")
+def delta_by_include(delta: DataFrame, include: DataFrame, tasks: int | None = None) -> DataFrame:
+    """A9. By barcode: the loss of genes that are included, of the others, and in total. ``include`` is a list of genes; ``tasks``: deltas are dealt to as many where they
+    meet it, as a long list makes Spark sort them."""
+    include = include.select("gene")
+    if tasks:
+        delta, include = delta.repartition(tasks, "gene"), include.repartition(tasks, "gene")
+    j = delta.join(include.distinct().withColumn("_in", F.lit(True)), "gene", "left")
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("delta"))), F.lit(0))
     return j.groupBy("barcode").agg(part(F.col("_in").isNotNull()).alias("included"), part(F.col("_in").isNull()).alias("excluded"), F.sum("delta").alias("total"))
 

@@ -9,7 +9,7 @@ from ..operators import compare as X
 from ..operators import genetics as G
 from ..operators import metadata as M
 from .registry import query
-from .views import deltas, view
+from .views import deltas, tasks_of, view
 
 
 def _round(df, *cols, to=6):
@@ -90,7 +90,7 @@ def a9(spark, d):
 
 @query("a9_by_include", f"SELECT barcode, CAST(COALESCE(SUM(delta) FILTER (gene % 2 = 0), 0) AS BIGINT) AS included, CAST(COALESCE(SUM(delta) FILTER (gene % 2 = 1), 0) AS BIGINT) AS excluded, CAST(SUM(delta) AS BIGINT) AS total FROM ({_DELTA}) x GROUP BY barcode")
 def a9_include(spark, d):
-    return X.delta_by_include(deltas(spark, d), view(spark, d, "v_genes").where("gene % 2 = 0"))
+    return X.delta_by_include(deltas(spark, d), view(spark, d, "v_genes").where("gene % 2 = 0"), tasks_of(spark.read.parquet(f"{d}/lineitem.parquet")))
 
 
 _PANEL = "SELECT pool, CASE tool_a WHEN 'click' THEN 'view' ELSE tool_a END AS a, CASE tool_b WHEN 'click' THEN 'view' ELSE tool_b END AS b FROM v_calls"

@@ -249,3 +249,11 @@ def test_counts_of_weighted_correlation_are_dealt_by_the_number_of_rows(spark, m
     statistics._correlations(spark, "/root/testdata/sf0.001")
     exchanges = [line for line in plan(counts[0]).splitlines() if "Exchange" in line]
     assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0]  # both sums of a barcode are made where its line items are
+
+
+def test_deltas_meet_a_long_list_of_genes_in_dealt_tasks(spark, monkeypatch):
+    from cellqtl.plans import views
+    from cellqtl.plans.queries import QUERIES
+
+    monkeypatch.setattr(views, "ROWS", 1000)
+    assert "Exchange hashpartitioning(gene#" in (p := plan(QUERIES["a9_by_include"](spark, "/root/testdata/sf0.001"))) and p.count("REPARTITION_BY_NUM") == 4
