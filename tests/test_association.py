@@ -7,12 +7,16 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cellqtl.functions import distributions as D
 from cellqtl.operators import association as A
 from cellqtl.operators import cells as C
 from cellqtl.operators import genetics as G
 from cellqtl.operators import order as O
+from cellqtl.plans.queries import QUERIES
+from cellqtl.plans.views import view
 
 
 def mean_rank(values, x):
@@ -98,3 +102,24 @@ def test_hardy_weinberg_by_ratio(spark):
         n, rare = a + h + b, h + 2 * min(a, b)
         w = {k: 2.0**k * math.comb(n, k) * math.comb(n - k, (rare - k) // 2) for k in range(rare % 2, rare + 1, 2)}
         assert math.isclose(p, sum(x for x in w.values() if x <= w[h] * (1 + 1e-9)) / sum(w.values()), rel_tol=1e-9)
+
+
+def test_the_association_query_takes_every_step_of_the_method(spark):
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["h19_cis_association"](spark, d)
+    assert got.columns == ["dataset", "gene", "snp", "distance", "n", "r", "p", "z"]  # these three were left out, so no correlation was computed
+    rows = got.collect()
+    genes, variants = ({r[0]: (r.chr, r[2]) for r in view(spark, d, v).select(k, "chr", at).collect()} for v, k, at in (("v_genes", "gene", "chr_start"), ("v_variants", "snp", "pos")))
+    near = {(g, s): p - t for g, (c, t) in genes.items() for s, (k, p) in variants.items() if c == k and abs(p - t) <= 1_000_000}
+    assert all(near.get((r.gene, r.snp)) == r.distance for r in rows)  # pairs of any distance were tested
+    stats = G.with_hwe(G.variant_stats(view(spark, d, "v_genotypes_all").withColumn("dataset", F.col("sample") % 2), ("dataset", "snp"))).collect()
+    passed = {(r.dataset, r.snp) for r in stats if r.maf >= 0.3 and r.call >= 0.93 and r.hwe >= 1e-12}
+    assert 0 < len({(r.dataset, r.snp) for r in rows}) and {(r.dataset, r.snp) for r in rows} <= passed
+    told = [r for r in rows if r.n > 2 and r.r is not None and 0 < r.p < 1]
+    assert len(told) > 50 and all(r.r * r.z > 0 and abs(abs(r.z) - NormalDist().inv_cdf(1 - r.p / 2)) < 1e-2 for r in told if r.p > 1e-3)
+
+
+def test_correlations_of_one_do_not_hang_on_their_last_bits(spark):
+    y = np.array([0.1, 0.7, 0.1, 0.3, 1.3]) * 0.1
+    sides = [pa.table({"k": pa.array([range(5)] * 2, pa.list_(pa.int32())), name: pa.array([x, -x], pa.list_(pa.float64())), at: pa.array([0, 1])}) for name, at, x in (("y", "tss", y), ("g", "pos", y * 3))]
+    assert A._correlated(*sides, 10, 2)[3].tolist() == [1, -1, -1, 1]

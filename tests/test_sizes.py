@@ -257,3 +257,12 @@ def test_deltas_meet_a_long_list_of_genes_in_dealt_tasks(spark, monkeypatch):
 
     monkeypatch.setattr(views, "ROWS", 1000)
     assert "Exchange hashpartitioning(gene#" in (p := plan(QUERIES["a9_by_include"](spark, "/root/testdata/sf0.001"))) and p.count("REPARTITION_BY_NUM") == 4
+
+
+def test_association_computes_its_matrices_once(spark):
+    (expr, seen), (dosages, also) = (counting(spark, matrix_of(spark).repartition(3)) for _ in range(2))
+    g = dosages.select(F.col("gene").alias("snp"), "sample", (F.col("value") % 3).alias("dosage"))
+    gte = spark.range(6).select(F.col("id").alias("genotype_id"), F.col("id").alias("expression_id"), F.lit("x").alias("dataset"))
+    place = lambda name, at: spark.range(40).select(F.col("id").alias(name), F.lit(1).alias("chr"), F.col("id").alias(at))
+    got = A.cis_association(g, expr, gte, place("gene", "tss"), place("snp", "pos"), maf=0.0, call=0.0, hwe=0.0, min_obs=6)
+    assert got.count() == 1600 and (seen.value, also.value) == (240, 240)
