@@ -266,3 +266,24 @@ def test_association_computes_its_matrices_once(spark):
     place = lambda name, at: spark.range(40).select(F.col("id").alias(name), F.lit(1).alias("chr"), F.col("id").alias(at))
     got = A.cis_association(g, expr, gte, place("gene", "tss"), place("snp", "pos"), maf=0.0, call=0.0, hwe=0.0, min_obs=6)
     assert got.count() == 1600 and (seen.value, also.value) == (240, 240)
+
+
+def test_known_cells_of_a_vcf_are_read_without_a_row_for_each_absent_one(spark, tmp_path, monkeypatch):
+    from cellqtl.plans.queries import QUERIES
+    from cellqtl.sources import genome
+
+    rng = np.random.default_rng(2)
+    odd = ["0/0", "0|1", "1/1", ".|.", ".", "./1", "1/2", "0/./.", "./.:.", "0/0:5", "./.:5", "1", "", "0/1:0.5:0,1,0"]
+    line = lambda i, form: "\t".join(["1", "5", f"v{i}", "A", "G", ".", "PASS", ".", form, *("./." if rng.random() < 0.95 else str(rng.choice(odd)) for _ in range(400))])
+    lines = [line(i, form) for i, form in enumerate(["GT", "GT:DS", "DS:GT", "GT:DS:GP", "DS"] * 6)]
+    lines += ["\t".join(["1", "5", "none", "A", "G", ".", "PASS", ".", "GT", *["./."] * 400])]
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"s{i}" for i in range(400))])
+    (tmp_path / "a.vcf").write_text("\n".join(["##x", head, *lines]) + "\n")
+    key = lambda df: sorted(map(str, df.collect()))
+    want = key(genome.genotypes_long(genome.read_vcf(spark, str(tmp_path))).where("dosage IS NOT NULL"))
+    for cells, text in ((64, 1 << 22), (3, 2000), (1, 1)):
+        monkeypatch.setattr(genome, "RUN_CELLS", cells)
+        monkeypatch.setattr(genome, "TEXT", text)
+        assert len(want) > 100 and key(genome.known_genotypes(spark, str(tmp_path))) == want
+    # by names alone are rows made, not by calls
+    assert plan(QUERIES["s3_read_vcf_all"](spark, "/root/testdata/sf0.001")).count("Generate") == 1
